@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .fields import whole_div
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed number of decimals, rounding the exact binary value as C's printf does."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def duration(seconds: Column) -> Column:
     """1h02m, 3m04s, 5s, 250ms or 0s."""
     total = seconds.cast("bigint")
@@ -16,7 +21,7 @@ def duration(seconds: Column) -> Column:
     s = total % 60
     return (
         F.when(seconds <= 0, F.lit("0s"))
-        .when(seconds < 1, F.concat(F.bround(seconds * 1000).cast("bigint").cast("string"), F.lit("ms")))
+        .when(seconds < 1, F.concat(fixed(seconds * 1000, 0), F.lit("ms")))
         .when(h > 0, F.format_string("%dh%02dm", h, m))
         .when(m > 0, F.format_string("%dm%02ds", m, s))
         .otherwise(F.format_string("%ds", s))
@@ -32,9 +37,9 @@ def compact(n: Column) -> Column:
     """1,234 below a thousand grouped, then 1.2k, 1.2M, 1.2B."""
     return (
         F.when(n < 1000, grouped(n))
-        .when(n < 1_000_000, F.format_string("%.1fk", n / F.lit(1e3)))
-        .when(n < 1_000_000_000, F.format_string("%.1fM", n / F.lit(1e6)))
-        .otherwise(F.format_string("%.1fB", n / F.lit(1e9)))
+        .when(n < 1_000_000, F.concat(fixed(n / F.lit(1e3), 1), F.lit("k")))
+        .when(n < 1_000_000_000, F.concat(fixed(n / F.lit(1e6), 1), F.lit("M")))
+        .otherwise(F.concat(fixed(n / F.lit(1e9), 1), F.lit("B")))
     )
 
 

@@ -44,10 +44,17 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
-def share(df: DataFrame, column: str) -> Column:
-    """``column`` as a percentage of its sum over all of ``df``; 0 when that is not positive."""
-    whole = df.select(F.sum(column)).scalar()
-    return F.when(whole > 0, F.col(column) / whole * 100).otherwise(F.lit(0.0))
+def share(df: DataFrame, part: str, whole: Column) -> Column:
+    """``part`` as a percentage of ``whole`` over all of ``df``; 0 when that is not positive.
+
+    ``whole`` must add up exactly, so that it does not depend on the order of addition.
+    """
+    total = df.select(whole).scalar()
+    return F.when(total > 0, F.col(part) / total * 100).otherwise(F.lit(0.0))
+
+
+def whole_cost() -> Column:
+    return money(F.sum("cost_usd"))
 
 
 def first_ts() -> Column:
@@ -121,7 +128,7 @@ def models_report(calls: DataFrame) -> DataFrame:
     """Models with their share of the shown cost and output tokens per second, dearest first."""
     table = models(calls).withColumn("cost", money("cost_usd"))
     return (
-        table.withColumn("pct", share(table, "cost"))
+        table.withColumn("pct", share(table, "cost", whole_cost()))
         .withColumn("avg_tps", ratio(F.col("output_tokens"), F.col("llm_seconds")))
         .drop("cost_usd")
         .orderBy(F.desc("cost"), "model")
@@ -159,7 +166,7 @@ def providers_from_models(per_model: DataFrame, named: int = MAX_NAMED_PROVIDERS
         .withColumn("cost", money("cost_usd"))
     )
     return (
-        shown.withColumn("pct", share(shown, "cost"))
+        shown.withColumn("pct", share(shown, "cost", whole_cost()))
         .withColumn("avg_tps", ratio(F.col("output_tokens"), F.col("llm_seconds")))
         .drop("llm_us", "cost_usd")
         .orderBy(F.col("provider") == OTHER, F.desc("cost"), F.desc("calls"), F.desc("total_tokens"), "provider")
@@ -275,11 +282,12 @@ def tools(tool_calls: DataFrame, calls: DataFrame) -> DataFrame:
     ``calls`` is every stored call: what a tool is charged does not depend on
     which calls the report shows.
     """
-    table = tool_rollup(tool_calls, calls, ["tool"]).withColumn("cost", money("cost_usd")).drop("cost_usd")
+    table = tool_rollup(tool_calls, calls, ["tool"]).withColumn("cost", money("cost_usd"))
     return (
-        table.withColumn("pct", share(table, "seconds"))
-        .withColumn("cost_pct", share(table, "cost"))
+        table.withColumn("pct", share(table, "seconds", sum_seconds("seconds")))
+        .withColumn("cost_pct", share(table, "cost", whole_cost()))
         .withColumn("avg_seconds", ratio(F.col("seconds"), F.col("calls")))
+        .drop("cost_usd")
         .orderBy(F.desc("calls"), "tool")
     )
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fields
 from .fixtures import MODELS, table
 
 START = 1704067200
@@ -292,3 +293,82 @@ def heads_filter(sessions: DataFrame, absent: int) -> DataFrame:
     """Sessions of a generation: conversation ids of one residue modulo 3 are only in the other."""
     number = F.substring("id", 2, 20).cast("bigint")
     return sessions.filter(number % 3 != absent)
+
+
+# ---------------------------------------------------------------- agy
+
+
+def _hex_byte(n: Column) -> Column:
+    return F.lpad(F.hex(n), 2, "0")
+
+
+def _varint(n: Column) -> Column:
+    """Wire-format bytes, as hex, of a number below 2^35: seven bits a byte, the last unmarked."""
+    groups = F.filter(
+        F.transform(F.array(*[F.lit(7 * i) for i in range(5)]), lambda s: F.call_function("shiftright", n, s)),
+        lambda g: g > 0,
+    )
+    marked = F.transform(groups, lambda g: _hex_byte(g.bitwiseAND(F.lit(127)) + F.when(g > 127, 128).otherwise(0)))
+    return F.when(n == 0, "00").otherwise(F.array_join(marked, ""))
+
+
+def _key(number: int, shape: int) -> Column:
+    """Wire-format bytes, as hex, of a field's key."""
+    key, out = (number << 3) | shape, ""
+    while True:
+        out += f"{(key & 127) | (128 if key > 127 else 0):02X}"
+        key >>= 7
+        if not key:
+            return F.lit(out)
+
+
+def _number_field(number: int, value: Column) -> Column:
+    return F.concat(_key(number, 0), _varint(value.cast("bigint")))
+
+
+def _bytes_field(number: int, hexed: Column) -> Column:
+    """A nested field; every message here is shorter than 128 bytes."""
+    return F.concat(_key(number, 2), _hex_byte(fields.whole_div(F.length(hexed).cast("bigint"), 2)), hexed)
+
+
+def agy_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a step: assistant turns call a model, user turns run a tool.
+
+    Some blobs are cut short, and each turn votes for a working directory.
+    """
+    c, n, l, t = (F.col(x) for x in "cnlt")
+    rows = turns(spark, sf_dir)
+    said = F.col("role") == "assistant"
+    ids = [342, 1016, 1035, 1266, 1402, 1417, 9999]
+    model = F.element_at(F.array(*map(F.lit, ids)), (l % 7 + 1).cast("int"))
+    usage = F.concat(
+        _number_field(1, model), _number_field(2, l), _number_field(3, l % 900), _number_field(5, (l * 7) % 3000),
+        _number_field(9, l % 300),
+    )
+    home = F.concat(F.lit("/w/"), F.when(l % 3 == 0, c % 5).otherwise(l % 2))
+    # Inner messages first, one projection per level of nesting.
+    rows = rows.select(
+        "*", said.alias("said"), usage.alias("usage"),
+        _number_field(1, t).alias("start"),
+        _number_field(1, t + F.when(l % 5 == 0, 700).otherwise(l % 40)).alias("end"),
+        _bytes_field(2, F.hex(F.concat(F.lit("tool"), l % 25))).alias("tool"),
+        _bytes_field(2, F.hex(home)).alias("home"),
+    )
+    rows = rows.select(
+        "*",
+        F.concat(
+            _bytes_field(1, F.col("start")), _bytes_field(8, F.col("end")),
+            F.when(said, _bytes_field(9, F.col("usage"))).otherwise(_bytes_field(4, F.col("tool"))),
+        ).alias("meta"),
+        F.when(l % 2 == 0, F.col("home")).otherwise(_bytes_field(1, F.col("home"))).alias("inner"),
+    )
+    cut = F.when((l % 11 == 0) & said, F.substring("meta", 1, 44)).otherwise(F.col("meta"))
+    payload = F.when(l % 2 == 0, _bytes_field(28, F.col("inner"))).otherwise(_bytes_field(140, F.col("inner")))
+    return rows.select(
+        F.concat(F.lit("c"), c).alias("conversation"),
+        (n + 1).alias("idx"),
+        F.when(said & (l % 2 == 0), 15).when(said, 23).otherwise(132).alias("step_type"),
+        F.when(l % 4 == 0, 7).otherwise(3).alias("status"),
+        F.unhex(cut).alias("metadata"),
+        F.unhex(payload).alias("step_payload"),
+    )
