@@ -25,20 +25,27 @@ def _call_moments(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session_uid", "ts").agg(F.min("cost_usd").alias("moment_cost"))
 
 
-def _charged(asks: DataFrame, calls: DataFrame) -> DataFrame:
+def _charged(asks: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFrame:
     """``asks`` (session_uid, ts, ...) plus ``charge``, the cost of the next call or 0."""
     names = [c for c in asks.columns if c not in ("session_uid", "ts")]
     line = asks.withColumn("side", F.lit(0)).unionByName(
         _call_moments(calls).withColumn("side", F.lit(1)), allowMissingColumns=True
     )
+    # What each chunk holds follows from the bare rows: the cheapest call of a
+    # chunk's first second wins because cost is part of the order here.
+    bare = tools.select("session_uid", "ts", F.lit(0).alias("side")).unionByName(
+        calls.select("session_uid", "ts", F.lit(1).alias("side"), F.col("cost_usd").alias("moment_cost")),
+        allowMissingColumns=True,
+    )
     carried = carry(
         line,
         ["session_uid"],
         # Asks come before calls of the same second. Asks of one second are
         # interchangeable here, so their order among themselves does not matter.
-        ["ts", "side"],
+        ["ts", "side", "moment_cost"],
         chunk=whole_div(F.col("ts"), CHUNK_SECONDS),
         first_from={"charge": F.col("moment_cost")},
+        summary_of=bare,
     )
     return carried.filter("side = 0").select(
         "session_uid", "ts", *names, F.coalesce("charge", F.lit(0).cast(COST)).alias("charge")
@@ -47,7 +54,7 @@ def _charged(asks: DataFrame, calls: DataFrame) -> DataFrame:
 
 def tool_cost_asof(tools: DataFrame, calls: DataFrame) -> DataFrame:
     """Every tool call with ``cost_usd``, the cost of the call that read its result."""
-    answers = _charged(tools.select("session_uid", "ts").distinct(), calls)
+    answers = _charged(tools.select("session_uid", "ts").distinct(), calls, tools)
     # One answer per (session, second): a hot second splits on the tools' side.
     return tools.join(answers, ["session_uid", "ts"], "left").withColumnRenamed("charge", "cost_usd")
 
@@ -59,7 +66,7 @@ def tool_rollup(tools: DataFrame, calls: DataFrame, by: Sequence[str]) -> DataFr
         F.sum(F.round(F.col("seconds") * 1e6).cast("bigint")).alias("us"),
         F.sum(F.col("is_error").cast("bigint")).alias("bad"),
     )
-    charged = _charged(per_second, calls)
+    charged = _charged(per_second, calls, tools)
     return charged.groupBy(*by).agg(
         F.sum("n").alias("calls"),
         (F.sum("us") / 1e6).alias("seconds"),

@@ -31,6 +31,7 @@ def carry(
     first_from: Mapping[str, Column] | None = None,
     first_of_key: Mapping[str, Column] | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    summary_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns that look along each key's rows in ``order``, skipping nulls.
 
@@ -42,6 +43,10 @@ def carry(
     ``order`` must be total within a key. ``chunk`` must not decrease along it and
     must bound the rows per chunk; by default the single order column is taken as
     a row number and cut every ``rows_per_chunk``.
+
+    The chunk table is a second look at the rows. Where ``df`` is the result of
+    dear work, pass cheaper rows with the same keys, order and values as
+    ``summary_of``, or cut the lineage of ``df`` before.
     """
     if chunk is None:
         (number,) = order
@@ -54,11 +59,12 @@ def carry(
     }
     names = [name for group in wanted.values() for name in group]
     plain = df.columns
-    base = df.select(
-        "*",
+    parts = [
         chunk.alias("_chunk"),
         *[value.alias(f"_v_{name}") for group in wanted.values() for name, value in group.items()],
-    )
+    ]
+    base = df.select("*", *parts)
+    summary = base if summary_of is None else summary_of.select("*", *parts)
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
 
     # What each chunk offers to the others.
@@ -80,7 +86,7 @@ def carry(
         "first_of_key": (F.first, everywhere),
     }
     around = (
-        base.groupBy(*keys, "_chunk")
+        summary.groupBy(*keys, "_chunk")
         .agg(*offers)
         .select(
             *keys,

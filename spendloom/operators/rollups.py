@@ -44,17 +44,23 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
-def share(df: DataFrame, part: str, whole: Column) -> Column:
-    """``part`` as a percentage of ``whole`` over all of ``df``; 0 when that is not positive.
-
-    ``whole`` must add up exactly, so that it does not depend on the order of addition.
+def share(part: str, exact: Column, digest=lambda total: total) -> Column:
+    """``part`` as a percentage of its whole over all rows; 0 when that is not positive.
+
+    Used on reports only, where rows are already one per distinct name, so the
+    window without partition sees names, never calls. A scalar subquery would
+    scan the calls a second time. ``exact`` must add up exactly, so that the whole
+    does not depend on the order of addition; ``digest`` turns it into the unit
+    of ``part``.
     """
-    total = df.select(whole).scalar()
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = digest(F.sum(exact).over(everything))
     return F.when(total > 0, F.col(part) / total * 100).otherwise(F.lit(0.0))
 
 
-def whole_cost() -> Column:
-    return money(F.sum("cost_usd"))
+def cost_share() -> Column:
+    """Share of ``cost``, of which ``cost_usd`` is the exact amount."""
+    return share("cost", F.col("cost_usd"), money)
 
 
 def first_ts() -> Column:
@@ -128,7 +134,7 @@ def models_report(calls: DataFrame) -> DataFrame:
     """Models with their share of the shown cost and output tokens per second, dearest first."""
     table = models(calls).withColumn("cost", money("cost_usd"))
     return (
-        table.withColumn("pct", share(table, "cost", whole_cost()))
+        table.withColumn("pct", cost_share())
         .withColumn("avg_tps", ratio(F.col("output_tokens"), F.col("llm_seconds")))
         .drop("cost_usd")
         .orderBy(F.desc("cost"), "model")
@@ -166,7 +172,7 @@ def providers_from_models(per_model: DataFrame, named: int = MAX_NAMED_PROVIDERS
         .withColumn("cost", money("cost_usd"))
     )
     return (
-        shown.withColumn("pct", share(shown, "cost", whole_cost()))
+        shown.withColumn("pct", cost_share())
         .withColumn("avg_tps", ratio(F.col("output_tokens"), F.col("llm_seconds")))
         .drop("llm_us", "cost_usd")
         .orderBy(F.col("provider") == OTHER, F.desc("cost"), F.desc("calls"), F.desc("total_tokens"), "provider")
@@ -284,8 +290,8 @@ def tools(tool_calls: DataFrame, calls: DataFrame) -> DataFrame:
     """
     table = tool_rollup(tool_calls, calls, ["tool"]).withColumn("cost", money("cost_usd"))
     return (
-        table.withColumn("pct", share(table, "seconds", sum_seconds("seconds")))
-        .withColumn("cost_pct", share(table, "cost", whole_cost()))
+        table.withColumn("pct", share("seconds", micros("seconds"), lambda us: us / 1e6))
+        .withColumn("cost_pct", cost_share())
         .withColumn("avg_seconds", ratio(F.col("seconds"), F.col("calls")))
         .drop("cost_usd")
         .orderBy(F.desc("calls"), "tool")
