@@ -94,22 +94,38 @@ def inherit_project(incoming: DataFrame, sessions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 
-def fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``prefix_hash`` and ``prefix_len`` of the first bytes of each file."""
-    head = F.substring(F.col(content), 1, PREFIX_BYTES)
-    return files.withColumn("prefix_len", F.octet_length(head).cast("bigint")).withColumn(
-        "prefix_hash", F.substring(F.sha2(head.cast("binary"), 256), 1, 32)
+def file_heads(lines: DataFrame) -> DataFrame:
+    """``path, head, consumed``: first bytes and size of the complete lines of each file.
+
+    Every line is at least its newline, so the head lies within the first
+    ``PREFIX_BYTES`` lines, and no line counts for more than its own head.
+    """
+    piece = F.struct("ordinal", F.substring("line", 1, PREFIX_BYTES).alias("text"))
+    first = F.collect_list(F.when(F.col("ordinal") < PREFIX_BYTES, piece))
+    joined = F.array_join(F.transform(F.array_sort(first), lambda x: F.concat(x["text"], F.lit("\n"))), "")
+    return lines.groupBy("path").agg(
+        F.substring(joined.cast("binary"), 1, PREFIX_BYTES).alias("head"),
+        F.sum(F.octet_length("line") + 1).cast("bigint").alias("consumed"),
+    )
+
+
+def _digest(head):
+    return F.substring(F.sha2(head, 256), 1, 32)
+
+
+def fingerprint(heads: DataFrame) -> DataFrame:
+    """Add ``prefix_hash`` and ``prefix_len`` of each head."""
+    return heads.withColumn("prefix_len", F.octet_length("head").cast("bigint")).withColumn(
+        "prefix_hash", _digest(F.col("head"))
     )
 
 
-def head_matches(files: DataFrame, file_state: DataFrame, content: str = "content") -> DataFrame:
+def head_matches(heads: DataFrame, file_state: DataFrame) -> DataFrame:
     """``path, same_head``: whether each known file still begins with the recorded bytes."""
     known = file_state.select("path", F.col("prefix_hash").alias("_hash"), F.col("prefix_len").alias("_len"))
-    head = F.substring(F.col(content), F.lit(1), F.col("_len").cast("int"))
-    same = (F.octet_length(head) == F.col("_len")) & (
-        F.substring(F.sha2(head.cast("binary"), 256), 1, 32) == F.col("_hash")
-    )
-    return files.join(known, "path").select("path", same.alias("same_head"))
+    head = F.substring(F.col("head"), F.lit(1), F.col("_len").cast("int"))
+    same = (F.octet_length(head) == F.col("_len")) & (_digest(head) == F.col("_hash"))
+    return heads.join(known, "path").select("path", same.alias("same_head"))
 
 
 def classify_files(listing: DataFrame, file_state: DataFrame) -> DataFrame:

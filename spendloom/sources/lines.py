@@ -39,12 +39,12 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\Afile:/+", "/")
 
 
-def _reader_paths(spark: SparkSession, roots: Sequence[str], ext: str, recurse: bool, depth: int) -> list[str]:
-    """Roots plus the underscore names a Spark listing hides, to ``depth`` levels below a root."""
-    levels = depth if recurse else 0
-    hidden = [f"{r}{'/*' * d}/_{_any_case(ext)}" for r in roots for d in range(levels + 1)]
-    if recurse:
-        hidden += [f"{r}{'/*' * d}/_*" for r in roots for d in range(levels)]
+def _reader_paths(spark: SparkSession, roots: Sequence[str], recurse: bool, depth: int = 4) -> list[str]:
+    """Roots plus, to ``depth`` levels, the underscore directories a Spark listing hides.
+
+    A *file* whose own name starts with an underscore stays hidden.
+    """
+    hidden = [f"{r}{'/*' * d}/_*/" for r in roots for d in range(depth)] if recurse else []
     return list(dict.fromkeys(_existing(spark, roots) + _existing(spark, hidden)))
 
 
@@ -62,10 +62,10 @@ def _shown(files: DataFrame, roots: Sequence[str], recurse: bool) -> DataFrame:
 
 
 def discover(
-    spark: SparkSession, roots: Sequence[str], ext: str = ".jsonl", recurse: bool = True, underscore_depth: int = 4
+    spark: SparkSession, roots: Sequence[str], ext: str = ".jsonl", recurse: bool = True
 ) -> DataFrame:
     """``path, size, mtime`` of the log files below some roots. Missing roots are skipped."""
-    paths = _reader_paths(spark, roots, ext, recurse, underscore_depth)
+    paths = _reader_paths(spark, roots, recurse)
     if not paths:
         return spark.createDataFrame([], "path STRING, size BIGINT, mtime TIMESTAMP")
     files = (
@@ -106,16 +106,21 @@ def read_lines(
     ext: str = ".jsonl",
     recurse: bool = True,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
+    files: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``path, agent, ordinal, line`` of every complete line below some roots.
+    """``path, agent, ordinal, line`` of every complete line below some roots, or of some files.
 
     Session-sized files come one per row. A file too large for that is read as
     split text: lines are numbered inside their split and shifted by what the
     splits before hold, so no task ever sees the whole file.
     """
-    paths = _reader_paths(spark, roots, ext, recurse, 4)
+    paths = _reader_paths(spark, roots, recurse) if files is None else list(files)
     if not paths:
         return spark.createDataFrame([], "path STRING, agent STRING, ordinal BIGINT, line STRING")
+
+    def shown(df: DataFrame) -> DataFrame:
+        return _shown(df, roots, recurse) if files is None else df
+
     glob = _any_case(ext)
     small = (
         spark.read.format("binaryFile")
@@ -132,15 +137,14 @@ def read_lines(
         .text(paths)
         .select(
             F.col("value").alias("line"),
-            _plain_path(F.col("_metadata.file_path")).alias("path"),
+            # This column is percent-encoded, unlike the other reader's.
+            _plain_path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.col("_metadata.file_size").alias("size"),
         )
         .filter(F.col("size") > whole_file_bytes)
     )
-    lines = complete_lines(_shown(small, roots, recurse)).unionByName(
-        _split_lines(_shown(split, roots, recurse))
-    )
+    lines = complete_lines(shown(small)).unionByName(_split_lines(shown(split)))
     return lines.filter(F.octet_length("line") <= MAX_LINE_BYTES).select(
         "path", F.lit(agent).alias("agent"), "ordinal", "line"
     )

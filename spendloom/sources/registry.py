@@ -26,8 +26,8 @@ class LogSource:
     def files(self, spark: SparkSession) -> DataFrame:
         return discover(spark, self.roots, self.ext, self.recurse)
 
-    def lines(self, spark: SparkSession) -> DataFrame:
-        return read_lines(spark, self.roots, self.agent, self.ext, self.recurse)
+    def lines(self, spark: SparkSession, files: list[str] | None = None) -> DataFrame:
+        return read_lines(spark, self.roots, self.agent, self.ext, self.recurse, files=files)
 
     def rows(self, lines: DataFrame) -> Normalised:
         return self.normalise(lines, **self.options)
