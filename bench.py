@@ -1,0 +1,58 @@
+"""Benchmark: prints one JSON line with the seconds each headline query takes.
+
+Each query runs twice in one session and the better run counts, so that the
+figure is the work and not the compilation of its first plan.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from spendloom.plans.catalog import QUERIES  # noqa: E402
+from spendloom.session import local_session  # noqa: E402
+
+HEADLINE = [
+    # rollups over calls and tool calls
+    "models", "daily_by_model", "project_models", "tools", "totals", "providers", "sessions_rollup",
+    "tool_cost_asof", "activity_hourly", "activity_filled", "burn_windows", "filter_sessions_semi", "project_tree",
+    # prices
+    "tiered_cost", "resolve_price", "reprice",
+    # logs to rows
+    "ingest_pi", "ingest_claude", "ingest_codex", "ingest_gemini", "ingest_opencode", "ingest_agy",
+    "complete_lines", "response_time", "counter_deltas",
+    # keyed writes
+    "upsert_calls", "upsert_tools", "classify_files",
+]
+RUNS = 2
+
+
+def main() -> None:
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
+    spark = local_session(cpus, app="bench")
+    seconds: dict[str, float] = {}
+    for name in HEADLINE:
+        best = None
+        for _ in range(RUNS):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took = time.perf_counter() - start
+            best = took if best is None else min(best, took)
+        seconds[name] = round(best, 3)
+    spark.stop()
+    print(json.dumps({
+        "metric": "headline queries, sum of best of two runs",
+        "value": round(sum(seconds.values()), 3),
+        "unit": "sec",
+        "queries": seconds,
+        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+    }))
+
+
+if __name__ == "__main__":
+    main()

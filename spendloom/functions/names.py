@@ -65,7 +65,10 @@ OTHER = "Other"
 def normalize_model(model: Column) -> Column:
     """Vendor- and format-agnostic key: bare name, lower case, no release date, '.' as '-'."""
     bare = F.lower(F.substring_index(model, "/", -1))
-    return F.translate(F.regexp_replace(bare, r"-20[0-9]{6}\z", ""), ".", "-")
+    # Most ids carry no date, and a substring test is far cheaper than the pattern.
+    dated = F.contains(bare, F.lit("-20"))
+    undated = F.when(dated, F.regexp_replace(bare, r"-20[0-9]{6}\z", "")).otherwise(bare)
+    return F.replace(undated, F.lit("."), F.lit("-"))
 
 
 def hyphenate_label(label: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_model
-from ..schemas import PRICES
 
 # Price lists up to this many rows are broadcast and their keys inlined; longer
 # ones go through shuffled joins.
@@ -24,19 +24,26 @@ ONE_HOUR_WRITE_FACTOR = 2
 SAFE_FACTOR = 10**9
 COST = "decimal(24,12)"
 RATES = ["input", "output", "cache_read", "cache_write"]
+_ARROW_RATES = [(r, pa.decimal128(18, 6)) for r in RATES]
+ARROW_PRICES = pa.schema([
+    ("key", pa.string()), ("source", pa.string()), *_ARROW_RATES,
+    ("tiers", pa.list_(pa.struct([("min_prompt", pa.int64()), *_ARROW_RATES]))),
+])
 
 
 def prices_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """(key, source, input, output, cache_read, cache_write, tiers) rows as a price DataFrame."""
 
-    def dec(v):
-        return Decimal(str(v))
+    def rates(*values):
+        return {r: Decimal(str(v)).quantize(Decimal("0.000001")) for r, v in zip(RATES, values)}
 
     clean = [
-        (k, s, dec(i), dec(o), dec(cr), dec(cw), [(p, dec(a), dec(b), dec(c), dec(d)) for p, a, b, c, d in tiers])
-        for k, s, i, o, cr, cw, tiers in rows
+        {"key": key, "source": source, **rates(i, o, cr, cw),
+         "tiers": [{"min_prompt": start, **rates(*tier)} for start, *tier in tiers]}
+        for key, source, i, o, cr, cw, tiers in rows
     ]
-    return spark.createDataFrame(clean, PRICES)
+    # An Arrow table becomes a local relation: no task is needed to read it.
+    return spark.createDataFrame(pa.Table.from_pylist(clean, ARROW_PRICES))
 
 
 def rate_bands(prices: DataFrame) -> DataFrame:
@@ -61,19 +68,25 @@ def rate_bands(prices: DataFrame) -> DataFrame:
 class PriceList:
     """A price DataFrame plus what is needed to choose a physical strategy for it."""
 
-    def __init__(self, prices: DataFrame):
+    def __init__(self, prices: DataFrame, names: list[tuple[str, str]] | None = None):
+        """``names`` are the (key, source) pairs of ``prices`` where the caller knows them."""
         self.prices = prices
         # A bounded look at a configuration-sized table decides the strategy.
-        head = prices.select("key", "source").limit(SMALL_PRICE_LIST + 1).collect()
+        head = prices.select("key", "source").limit(SMALL_PRICE_LIST + 1).collect() if names is None else names
         keys: dict[str, list[str]] = {"override": [], "catalogue": [], "manual": []}
-        for row in head:
-            keys[row.source].append(row.key)
+        for key, source in head:
+            keys[source].append(key)
         self.overrides = sorted(set(keys["override"]))
         self.catalogue = sorted(set(keys["catalogue"]))
         # Longest first, ties alphabetical: the first hit is the most specific.
         self.patterns = sorted(set(keys["manual"]), key=lambda k: (-len(k), k))
         self.small = len(head) <= SMALL_PRICE_LIST and len(self.patterns) <= SMALL_PATTERN_LIST
 
+    @classmethod
+    def of(cls, spark: SparkSession, rows: list[tuple]) -> PriceList:
+        """Price list of literal rows, see ``prices_frame``."""
+        return cls(prices_frame(spark, rows), [(key, source) for key, source, *_ in rows])
+
     def rate_key(self, model: Column, normal: Column) -> Column:
         """Price row a model resolves to: exact override, exact catalogue, longest fallback pattern."""
         none = F.lit(None).cast("string")

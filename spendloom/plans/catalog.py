@@ -269,8 +269,7 @@ CALL_OUT = [
 
 
 def priced_calls(spark, rows: common.Normalised) -> DataFrame:
-    book = pricing.PriceList(fx.prices(spark))
-    return with_money(pricing.price_calls(rows.calls, book)).select(*CALL_OUT)
+    return with_money(pricing.price_calls(rows.calls, fx.price_list(spark))).select(*CALL_OUT)
 
 
 @query
@@ -445,7 +444,7 @@ def tiered_cost(spark, sf):
 
 @query
 def reprice(spark, sf):
-    again = pricing.reprice(fx.calls(spark, sf), pricing.PriceList(fx.doubled_prices(spark)))
+    again = pricing.reprice(fx.calls(spark, sf), fx.doubled_price_list(spark))
     rows = sessions.sessions_rollup(again, fx.tool_calls(spark, sf))
     return with_money(rows).select("uid", "calls", "total_tokens", "cost")
 
@@ -455,7 +454,7 @@ def price_coverage(spark, sf):
     """Every price row, whether a fallback is reachable only through it, and how many calls pay it."""
     listed = fx.prices(spark)
     used = (
-        pricing.with_rate_key(fx.unpriced_calls(spark, sf), pricing.PriceList(listed))
+        pricing.with_rate_key(fx.unpriced_calls(spark, sf), fx.price_list(spark))
         .groupBy("rate_key")
         .agg(F.count(F.lit(1)).alias("calls"))
     )

@@ -47,7 +47,11 @@ def prices(spark: SparkSession) -> DataFrame:
     return prices_frame(spark, PRICE_ROWS)
 
 
-def doubled_prices(spark: SparkSession) -> DataFrame:
+def price_list(spark: SparkSession) -> PriceList:
+    return PriceList.of(spark, PRICE_ROWS)
+
+
+def doubled_price_list(spark: SparkSession) -> PriceList:
     def twice(v):
         return str(2 * float(v))
 
@@ -55,7 +59,7 @@ def doubled_prices(spark: SparkSession) -> DataFrame:
         (k, s, *map(twice, (i, o, cr, cw)), [(p, *map(twice, t)) for p, *t in tiers])
         for k, s, i, o, cr, cw, tiers in PRICE_ROWS
     ]
-    return prices_frame(spark, rows)
+    return PriceList.of(spark, rows)
 
 
 def _pick(values: list[str], index) -> F.Column:
@@ -113,7 +117,7 @@ def unpriced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return price_calls(unpriced_calls(spark, sf_dir), PriceList(prices(spark)))
+    return price_calls(unpriced_calls(spark, sf_dir), price_list(spark))
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
