@@ -25,10 +25,10 @@ def _call_moments(calls: DataFrame) -> DataFrame:
     return calls.groupBy("session_uid", "ts").agg(F.min("cost_usd").alias("moment_cost"))
 
 
-def _charged(asks: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """``asks`` (session_uid, ts, ...) plus ``charge``, the cost of the next call or 0."""
-    names = [c for c in asks.columns if c not in ("session_uid", "ts")]
-    line = asks.withColumn("side", F.lit(0)).unionByName(
+def _answers(tools: DataFrame, calls: DataFrame) -> DataFrame:
+    """``session_uid, ts, charge`` for every second some tool ran in: the cost of the next call."""
+    seconds = tools.select("session_uid", "ts").distinct()
+    line = seconds.withColumn("side", F.lit(0)).unionByName(
         _call_moments(calls).withColumn("side", F.lit(1)), allowMissingColumns=True
     )
     # What each chunk holds follows from the bare rows: the cheapest call of a
@@ -40,36 +40,27 @@ def _charged(asks: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFrame:
     carried = carry(
         line,
         ["session_uid"],
-        # Asks come before calls of the same second. Asks of one second are
-        # interchangeable here, so their order among themselves does not matter.
+        # A tool comes before the calls of its second.
         ["ts", "side", "moment_cost"],
         chunk=whole_div(F.col("ts"), CHUNK_SECONDS),
         first_from={"charge": F.col("moment_cost")},
         summary_of=bare,
     )
-    return carried.filter("side = 0").select(
-        "session_uid", "ts", *names, F.coalesce("charge", F.lit(0).cast(COST)).alias("charge")
-    )
+    return carried.filter("side = 0 and charge is not null").select("session_uid", "ts", "charge")
 
 
 def tool_cost_asof(tools: DataFrame, calls: DataFrame) -> DataFrame:
-    """Every tool call with ``cost_usd``, the cost of the call that read its result."""
-    answers = _charged(tools.select("session_uid", "ts").distinct(), calls, tools)
+    """Every tool call with ``cost_usd``, the cost of the call that read its result, else 0."""
     # One answer per (session, second): a hot second splits on the tools' side.
-    return tools.join(answers, ["session_uid", "ts"], "left").withColumnRenamed("charge", "cost_usd")
+    charged = tools.join(_answers(tools, calls), ["session_uid", "ts"], "left")
+    return charged.withColumn("cost_usd", F.coalesce("charge", F.lit(0).cast(COST))).drop("charge")
 
 
 def tool_rollup(tools: DataFrame, calls: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, seconds, errors and attributed cost of tool calls per ``by``."""
-    per_second = tools.groupBy("session_uid", "ts", *by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.round(F.col("seconds") * 1e6).cast("bigint")).alias("us"),
-        F.sum(F.col("is_error").cast("bigint")).alias("bad"),
-    )
-    charged = _charged(per_second, calls, tools)
-    return charged.groupBy(*by).agg(
-        F.sum("n").alias("calls"),
-        (F.sum("us") / 1e6).alias("seconds"),
-        F.sum("bad").alias("errors"),
-        F.sum(F.col("charge") * F.col("n").cast("decimal(12,0)")).alias("cost_usd"),
+    return tool_cost_asof(tools, calls).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("calls"),
+        (F.sum(F.round(F.col("seconds") * 1e6).cast("bigint")) / 1e6).alias("seconds"),
+        F.sum(F.col("is_error").cast("bigint")).alias("errors"),
+        F.sum("cost_usd").alias("cost_usd"),
     )

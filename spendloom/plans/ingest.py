@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state
 from ..operators.pricing import PriceList, price_calls, reprice
-from ..operators.sessions import sessions_rollup
+from ..operators.sessions import session_calls, sessions_rollup
 from ..session import cut_lineage
 from ..sources.common import Normalised
 from ..sources.registry import LogSource
@@ -167,3 +167,18 @@ def sessions(store: Store, version: int | None = None) -> DataFrame:
     """Sessions of one version of the store."""
     version = store.version() if version is None else version
     return sessions_rollup(store.read("calls", version), store.read("tool_calls", version), store.read("identities", version))
+
+
+def one_session(store: Store, uid: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A session's row, none if there is no such session, and its calls in time order.
+
+    Only the session's bucket is read, and in it only the row groups that may hold it.
+    """
+    spark = store.spark
+    version = store.version() if version is None else version
+    slots = store.touched(spark.createDataFrame([(uid,)], "uid STRING"), "uid")
+
+    def own(table: str) -> DataFrame:
+        return store.read(table, version, slots).filter(F.col(TABLES[table][0]) == uid)
+
+    return sessions_rollup(own("calls"), own("tool_calls"), own("identities")), session_calls(own("calls"), uid)

@@ -27,8 +27,10 @@ TABLES = {
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    """``buckets`` bounds what a pass rewrites; ``files`` is how many a bucket is written as."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, files: int = 4):
+        self.spark, self.root, self.buckets, self.files = spark, root.rstrip("/"), buckets, files
 
     # -- manifests: one small file per version, written under another name first
 
@@ -86,10 +88,15 @@ class Store:
         for table, (rows, buckets) in changes.items():
             key, _ = TABLES[table]
             folder = f"{self.root}/{table}/{base + 1:010d}-{run}"
-            # Spread by the whole key, so that one bucket may be many files and a
-            # very large session is written by many tasks.
+            # Spread by the whole row key, so that a very large session is written
+            # by several tasks; sorted, so that a reader of one session skips
+            # the row groups of the others.
+            whole_key = [c for c in (key, "call_key") if c in rows.columns]
+            slot = F.pmod(F.xxhash64(*whole_key), F.lit(self.files))
             (
                 rows.withColumn("bucket", self.bucket(key))
+                .repartition(F.col("bucket"), slot)
+                .sortWithinPartitions("bucket", *whole_key)
                 .write.partitionBy("bucket").mode("overwrite").parquet(folder)
             )
             fs, _ = self._fs(folder)

@@ -98,6 +98,9 @@ def test_reprice_is_idempotent_and_sessions_follow(world, spark):
     ingest.reprice_store(store, builtin_prices(spark))
     again = ingest.sessions(store).first()
     assert before.cost_usd == again.cost_usd > 0
+    row, calls = ingest.one_session(store, "s")
+    assert row.first().cost_usd == again.cost_usd and [r.call_key for r in calls.collect()] == ["msg:m1", "msg:m2"]
+    assert ingest.one_session(store, "none")[0].count() == 0
     totals = rollups.totals(store.read("calls"), store.read("tool_calls"), ingest.sessions(store)).first()
     assert (totals.calls, totals.unpriced) == (2, 1)
 
