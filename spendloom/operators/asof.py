@@ -2,7 +2,7 @@
 
 Which call that is depends on the session and the second alone, so both sides are
 first reduced to one row per session and second. A session is then handled in
-chunks of an hour, at most 3,600 distinct seconds a side, however many rows it
+chunks of a day, at most 86,400 distinct seconds a side, however many rows it
 has.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import whole_div
 from .ordered import carry
 
-CHUNK_SECONDS = 3600
+CHUNK_SECONDS = 86_400
 COST = "decimal(24,12)"
 
 

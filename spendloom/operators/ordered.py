@@ -77,12 +77,14 @@ def carry(
             offers.append(pick(value, where).alias(f"_o_{name}"))
     along = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    later = along.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back in reverse: a frame that starts at the row and
+    # ends at the last one would be summed up anew for every row.
+    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     everywhere = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     reach = {
         "last_before": (F.last, earlier),
         "first_before": (F.first, earlier),
-        "first_from": (F.first, later),
+        "first_from": (F.last, later),
         "first_of_key": (F.first, everywhere),
     }
     around = (
@@ -102,11 +104,12 @@ def carry(
     # What the row's own chunk says.
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    backward = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
+    onward = backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {
         "last_before": lambda v: F.last(v, True).over(before),
         "first_before": lambda v: F.first(v, True).over(before),
-        "first_from": lambda v: F.first(v, True).over(onward),
+        "first_from": lambda v: F.last(v, True).over(onward),
     }
     rows = base.select(
         *plain,
