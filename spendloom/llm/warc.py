@@ -252,7 +252,7 @@ def page_captures(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     path = shared_folder(spark)
     write_archives(captures(pages), path)
-    whole = store(assemble(read_archives(spark, path, payloads=False)))
+    whole = store(assemble(store(read_archives(spark, path, payloads=False))))
     got = whole.select(
         F.expr("try_cast(regexp_extract(CAST(get(metadata, 0).payload AS STRING), 'page-id: ?([-0-9]*)', 1) AS BIGINT)").alias("page_id"),
         "record_id", "record_type", F.col("refers_to").alias("refers_record"), F.col("target_uri").alias("url"), "response")
