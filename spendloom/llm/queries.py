@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, packing, warc
+from . import bpe, exact_dedup, language, near_dedup, packing, quality, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade, tail probabilities and verdict."""
+    return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(spark, table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -37,7 +42,17 @@ def op8_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_transactions, op3_chunk_recipes, op5_sum_of_squares, op7_minhash_stars, op8_rank_array_bpe)}
+def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ordinal_quality, op2_warc_transactions, op3_chunk_recipes, op5_sum_of_squares, op7_minhash_stars, op8_rank_array_bpe,
+        op9_rank_order_language,
+    )
+}
 
 ORACLE = {
     "op2_warc_transactions": r"""
