@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, near_dedup, packing, quality, warc
+from . import bpe, exact_dedup, language, merkle, near_dedup, packing, quality, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents")).drop("edits")
+
+
 def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -49,8 +53,8 @@ def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ordinal_quality, op2_warc_transactions, op3_chunk_recipes, op5_sum_of_squares, op7_minhash_stars, op8_rank_array_bpe,
-        op9_rank_order_language,
+        op1_ordinal_quality, op2_warc_transactions, op3_chunk_recipes, op4_merkle_fingerprints, op5_sum_of_squares,
+        op7_minhash_stars, op8_rank_array_bpe, op9_rank_order_language,
     )
 }
 
