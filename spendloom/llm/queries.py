@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, merkle, near_dedup, packing, quality, warc
+from . import bpe, exact_dedup, html_text, language, merkle, near_dedup, packing, quality, warc
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -54,7 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ordinal_quality, op2_warc_transactions, op3_chunk_recipes, op4_merkle_fingerprints, op5_sum_of_squares,
-        op7_minhash_stars, op8_rank_array_bpe, op9_rank_order_language,
+        op6_text_density, op7_minhash_stars, op8_rank_array_bpe, op9_rank_order_language,
     )
 }
 
