@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, language, merkle, near_dedup, packing, quality, warc
+from . import bpe, exact_dedup, html_text, language, merkle, near_dedup, packing, quality, quotes, warc
 from .common import table
 
 
@@ -54,11 +54,16 @@ def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ordinal_quality, op2_warc_transactions, op3_chunk_recipes, op4_merkle_fingerprints, op5_sum_of_squares,
         op6_text_density, op7_minhash_stars, op8_rank_array_bpe, op9_rank_order_language,
+        op10_quotation_links,
     )
 }
 
@@ -87,4 +92,35 @@ r(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.seen
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.node = w.doc_id""",
+    "op10_quotation_links": r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS raw FROM conversations),
+l AS (SELECT id, pos, length(regexp_replace(regexp_extract(line, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^(?:[ \t]{0,3}>)+ ?', '') AS body
+  FROM (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos
+    FROM (SELECT id, regexp_replace(raw, '\r\n?', chr(10), 'g') AS t FROM m))),
+n AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY id ORDER BY pos), 0) AS after FROM l),
+o AS (SELECT id, max(level) > 0 AS has, string_agg(body, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (after > 0 AND regexp_matches(body,
+    '(?i)\b(?:wrote|schrieb|a écrit|escribió|ha scritto|schreef)\b[^\n]*:[ \t]*$'))) AS said FROM n GROUP BY id),
+t AS (SELECT m.*, CASE WHEN has THEN regexp_replace(regexp_replace(coalesce(said, ''), '\n[ \t]*(?:\n[ \t]*)+\n', chr(10) || chr(10), 'g'),
+    '^\s+|\s+$', '', 'g') ELSE raw END AS text FROM m JOIN o USING (id)),
+lv AS (SELECT DISTINCT id, level FROM l WHERE level > 0),
+q AS (SELECT lv.id, lv.level, string_agg(CASE WHEN l.level = lv.level THEN l.body ELSE '' END, chr(10) ORDER BY pos) AS text
+  FROM lv JOIN l USING (id) GROUP BY 1, 2),
+parts AS (SELECT id, level, unnest(regexp_split_to_array(text, '\n[ \t]*(?:\n[ \t]*)*\n')) AS p FROM (SELECT id, level, text FROM q UNION ALL SELECT id, 0, text FROM t)),
+pas AS (SELECT DISTINCT id, level, p FROM (SELECT id, level, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS p
+  FROM (SELECT id, level, p AS x FROM parts UNION ALL SELECT id, level, unnest(string_split(p, chr(10))) FROM parts)) WHERE p <> ''),
+said AS (SELECT conv_id, p, min(turn) AS said FROM pas JOIN m USING (id) WHERE level = 0 AND turn IS NOT NULL GROUP BY 1, 2),
+hits AS (SELECT DISTINCT m.conv_id, m.turn, level, pas.p, said FROM pas JOIN m USING (id) JOIN said s ON s.conv_id = m.conv_id AND s.p = pas.p
+  WHERE level > 0 AND said < turn),
+par AS (SELECT conv_id, turn, reply_to FROM (SELECT conv_id, turn, said AS reply_to,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, sum(length(p)) DESC, said DESC) AS rn FROM hits GROUP BY conv_id, turn, level, said) WHERE rn = 1),
+num AS (SELECT conv_id, turn, count(DISTINCT p) AS n_linked FROM hits GROUP BY 1, 2),
+up(conv_id, turn, thread, depth) AS (SELECT conv_id, turn, reply_to, 1 FROM par UNION ALL
+  SELECT up.conv_id, up.turn, par.reply_to, depth + 1 FROM up JOIN par ON par.conv_id = up.conv_id AND par.turn = up.thread),
+root AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM up GROUP BY 1, 2),
+nq AS (SELECT id, count(DISTINCT p) AS n FROM pas WHERE level > 0 GROUP BY 1)
+SELECT t.conv_id, t.turn, t.role, t.text, coalesce(nq.n, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, reply_to,
+  coalesce(root.thread, t.turn) AS thread, coalesce(root.depth, 0)::BIGINT AS depth
+FROM t LEFT JOIN nq USING (id) LEFT JOIN par ON par.conv_id = t.conv_id AND par.turn = t.turn
+LEFT JOIN num ON num.conv_id = t.conv_id AND num.turn = t.turn LEFT JOIN root ON root.conv_id = t.conv_id AND root.turn = t.turn""",
 }
