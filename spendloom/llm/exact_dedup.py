@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACES, store
+from .common import SPACES, keep_documents, store
 
 # A chunk ends behind a sentence mark that follows one of a few letters, at the
 # earliest after 128 code points; where no such place comes, after 4096.
@@ -89,3 +89,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "n_chars",
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The document that stays of every group of equal texts, with all its columns."""
+    return keep_documents(docs, exact_groups(docs).where("kept").select("doc_id"))

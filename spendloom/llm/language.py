@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import keep_documents, store
+from .common import store
 
 #: n-grams of a profile, of a document, and the longest n.
 PROFILE, TOP, LONGEST = 400, 300, 3
@@ -187,6 +187,21 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_unknown(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents, with all their columns, that are in some language: not ``und``, and of score ``least`` or more."""
-    said = identified(docs)
-    return keep_documents(docs, said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc_id"))
+    """The documents, with all their columns, that are in some language: not ``und``, and of score ``least`` or more.
+
+    The profiles come from the documents that are not held out. Every row is
+    judged where it lies; nothing but counts is shuffled. Where nothing can be
+    learned, all documents stay.
+    """
+    found = profiles(docs.where(~held_out(F.col("doc_id"))))
+    if not found:
+        return docs
+    profile_of = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(profile_of.value)
+        for batch in batches:
+            said = [matcher.predict(t.as_py()) for t in batch.column("text")]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

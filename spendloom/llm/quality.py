@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_documents, store
+from .common import store
 
 #: Hash buckets of words and of word shapes together.
 BUCKETS = 1 << 18
@@ -166,7 +166,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, bound: int = SAMPLE) -> Da
                 [batch.column("doc_id"), batch.column("grade"), pa.array([i.tobytes() for i, _ in found], pa.binary()),
                  pa.array([v.tobytes() for _, v in found], pa.binary())], names=["doc_id", "grade", "idx", "val"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
     return store(rows.mapInArrow(run, "doc_id BIGINT, grade INT, idx BINARY, val BINARY"))
 
 
@@ -261,6 +261,26 @@ def rated(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     return judged(docs, fit(rated_sample(docs, ratings, bound)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that are good enough."""
-    return keep_documents(docs, rated(docs, labels).where("kept").select("doc_id"))
+def keep_good(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The documents, with all their columns, that are in the best grade with probability ``keep_from`` or more.
+
+    Every row is judged where it lies, by what ``judged`` says of it; nothing is
+    shuffled. Without labelled documents all stay.
+    """
+    ratings = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = fit(rated_sample(docs, ratings, bound))
+    if model is None:
+        return docs
+    shared_model = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared_model.value
+
+        def good(text: str | None) -> bool:
+            idx, val = features(text)
+            return len(idx) > 0 and m.tails(idx, val)[-1] >= keep_from
+
+        for batch in batches:
+            yield batch.filter(pa.array([bool(good(t.as_py())) for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
