@@ -9,6 +9,7 @@ the least density is the threshold that what stands beside the way must reach.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -46,6 +47,8 @@ OUT_WORDS = {
 #: Words that name the page's head, unless they are inside the article.
 HEAD_WORDS = {"header", "head"}
 NEVER_OUT = {"html", "body", "main", "article"}
+#: A tag that the page breaks off in.
+UNFINISHED = re.compile(r"<[A-Za-z/][^<>]*\Z")
 
 
 def _words(names: str) -> set[str]:
@@ -152,11 +155,12 @@ def main_blocks(html: str | None) -> list[str]:
 
     What is out (menus, page heads and feet, asides, notices, adverts, forms,
     scripts, styles, comments, hidden parts) neither counts nor shows. Containers
-    are nodes that hold blocks, or the body. Of equal sums the first node in page
+    are nodes that hold blocks, or the body; right below the body, blocks of links
+    alone are no text. Of equal sums the first node in page
     order is taken. A page without a body is one from its root.
     """
     tree = _Tree()
-    tree.feed(html or "")
+    tree.feed(UNFINISHED.sub("", html or ""))
     tree.close()
     n = len(tree.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -214,6 +218,8 @@ def main_blocks(html: str | None) -> list[str]:
             if tree.tag[item] in ("br", "hr"):
                 now.append(" ")
                 continue
+            if node == body and tree.tag[item] in BLOCK and 0 < chars[item] == link_chars[item]:
+                continue  # a list of links beside the text
             taken = whole or item == best or (item not in way and density[item] >= least > 0)
             if not taken and item not in way:
                 continue
