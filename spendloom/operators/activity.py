@@ -19,6 +19,9 @@ BUCKET_SUMS = [
     "reasoning_tokens", "total_tokens",
 ]
 
+# Buckets of one block of a filled grid.
+BLOCK_BUCKETS = 10_000
+
 
 def auto_step(span: Column) -> Column:
     """Bucket width for a span of seconds."""
@@ -81,9 +84,11 @@ def activity_filled(buckets: DataFrame, step: int) -> DataFrame:
     if step not in ALLOWED_STEPS:
         raise ValueError(f"step must be one of {', '.join(map(str, ALLOWED_STEPS))} seconds")
     ends = buckets.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
-    grid = ends.filter("low is not null").select(
-        F.explode(F.sequence("low", "high", F.lit(step).cast("bigint"))).alias("bucket"), "high"
-    )
+    # Laid out in blocks of bounded length that are dealt to tasks, however far the ends are apart.
+    block = F.lit(step * BLOCK_BUCKETS).cast("bigint")
+    blocks = ends.filter("low is not null").select(F.explode(F.sequence("low", "high", block)).alias("start"), "high").repartition("start")
+    inside = F.sequence("start", F.least(F.col("start") + block - step, F.col("high")), F.lit(step).cast("bigint"))
+    grid = blocks.select(F.explode(inside).alias("bucket"), "high")
     figures = [c for c in buckets.columns if c != "bucket"]
     return (
         grid.join(buckets, "bucket", "left")

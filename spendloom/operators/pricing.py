@@ -10,18 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalize_model
 
-# Price lists up to this many rows are broadcast and their keys inlined; longer
-# ones go through shuffled joins.
-SMALL_PRICE_LIST = 10_000
-# Fallback patterns up to this many become one CASE chain.
-SMALL_PATTERN_LIST = 300
-
 # A one-hour cache write costs this many times the input rate.
 ONE_HOUR_WRITE_FACTOR = 2
 
-# Up to this many tokens in one bucket, at rates up to as many millionths of a
-# dollar, the products and their sum fit a BIGINT.
-SAFE_FACTOR = 10**9
 COST = "decimal(24,12)"
 RATES = ["input", "output", "cache_read", "cache_write"]
 _ARROW_RATES = [(r, pa.decimal128(18, 6)) for r in RATES]
@@ -50,7 +41,7 @@ def rate_bands(prices: DataFrame) -> DataFrame:
     """One row per (price, prompt-size band): a tiered price becomes an equi-join plus a range test.
 
     Rates are turned into whole millionths of a dollar per million tokens, so a
-    token count times a rate is an exact BIGINT in units of 1e-12 dollars.
+    token count times a rate is a whole number of 1e-12 dollars.
     """
     base = F.array(F.struct(F.lit(0).cast("bigint").alias("min_prompt"), *RATES))
     ladder = F.array_sort(F.concat(base, F.coalesce("tiers", F.array().cast(prices.schema["tiers"].dataType))))
@@ -66,39 +57,17 @@ def rate_bands(prices: DataFrame) -> DataFrame:
 
 
 class PriceList:
-    """A price DataFrame plus what is needed to choose a physical strategy for it."""
-
-    def __init__(self, prices: DataFrame, names: list[tuple[str, str]] | None = None):
-        """``names`` are the (key, source) pairs of ``prices`` where the caller knows them."""
-        self.prices = prices
-        # A bounded look at a configuration-sized table decides the strategy.
-        head = prices.select("key", "source").limit(SMALL_PRICE_LIST + 1).collect() if names is None else names
-        keys: dict[str, list[str]] = {"override": [], "catalogue": [], "manual": []}
-        for key, source in head:
-            keys[source].append(key)
-        self.overrides = sorted(set(keys["override"]))
-        self.catalogue = sorted(set(keys["catalogue"]))
-        # Longest first, ties alphabetical: the first hit is the most specific.
-        self.patterns = sorted(set(keys["manual"]), key=lambda k: (-len(k), k))
-        self.small = len(head) <= SMALL_PRICE_LIST and len(self.patterns) <= SMALL_PATTERN_LIST
+    """A price DataFrame with one row per source and key, the last of several winning."""
+
+    def __init__(self, prices: DataFrame):
+        row = F.struct(*[c for c in prices.columns if c not in ("source", "key")])
+        latest = prices.withColumn("_n", F.monotonically_increasing_id()).groupBy("source", "key").agg(F.max_by(row, "_n").alias("_row"))
+        self.prices = latest.select("key", "source", "_row.*").select(*prices.columns)
 
     @classmethod
     def of(cls, spark: SparkSession, rows: list[tuple]) -> PriceList:
         """Price list of literal rows, see ``prices_frame``."""
-        return cls(prices_frame(spark, rows), [(key, source) for key, source, *_ in rows])
-
-    def rate_key(self, model: Column, normal: Column) -> Column:
-        """Price row a model resolves to: exact override, exact catalogue, longest fallback pattern."""
-        none = F.lit(None).cast("string")
-        chain = F.when(F.coalesce(model, F.lit("")) == "", none)
-        if self.overrides:
-            chain = chain.when(normal.isin(self.overrides), F.concat(F.lit("override|"), normal))
-        if self.catalogue:
-            chain = chain.when(normal.isin(self.catalogue), F.concat(F.lit("catalogue|"), normal))
-        low = F.lower(model)
-        for pattern in self.patterns:
-            chain = chain.when(F.contains(low, F.lit(pattern)), F.lit(f"manual|{pattern}"))
-        return chain.otherwise(none)
+        return cls(prices_frame(spark, rows))
 
 
 def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
@@ -145,10 +114,10 @@ def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def with_rate_key(calls: DataFrame, prices: PriceList) -> DataFrame:
-    """Add ``rate_key``; null where nothing prices the model."""
-    if prices.small:
-        normal = calls.withColumn("_normal", normalize_model(F.col("model")))
-        return normal.withColumn("rate_key", prices.rate_key(F.col("model"), F.col("_normal"))).drop("_normal")
+    """Add ``rate_key``; null where nothing prices the model.
+
+    Distinct models are resolved, once each, and joined back; how is Spark's choice.
+    """
     resolved = resolve_models(calls.select("model"), prices.prices)
     return calls.join(resolved, "model", "left")
 
@@ -167,11 +136,8 @@ def cost_units() -> Column:
         (F.col("cache_write_tokens") - long_write, F.col("rate_cache_write")),
         (long_write, F.col("rate_input") * ONE_HOUR_WRITE_FACTOR),
     ]
-    exact = sum((n * r for n, r in terms[1:]), terms[0][0] * terms[0][1])
-    # Only a corrupt record gets here; its figure need not be exact, only not wrap.
-    rough = sum((n.cast("double") * r for n, r in terms[1:]), terms[0][0].cast("double") * terms[0][1])
-    biggest = F.greatest(*[n for n, _ in terms], *[F.col(f"rate_{r}") for r in RATES])
-    return F.when(biggest <= SAFE_FACTOR, exact.cast("decimal(24,0)")).otherwise(rough.try_cast("decimal(24,0)"))
+    products = [n.cast("decimal(19,0)") * r.cast("decimal(19,0)") for n, r in terms]
+    return sum(products[1:], products[0])
 
 
 def price_calls(calls: DataFrame, prices: PriceList) -> DataFrame:
@@ -183,15 +149,14 @@ def price_calls(calls: DataFrame, prices: PriceList) -> DataFrame:
     sized = F.col("sized") if "sized" in calls.columns else F.lit(True)
     keyed = with_rate_key(calls.drop("cost_usd", "priced"), prices).withColumn("_prompt", prompt_tokens())
     bands = rate_bands(prices.prices).withColumnRenamed("rate_key", "_band_key")
-    if prices.small:
-        bands = F.broadcast(bands)
     hit = (
         (F.col("rate_key") == F.col("_band_key"))
         & (F.col("_prompt") >= F.col("band_from"))
         & (F.col("_prompt") < F.col("band_to"))
     )
-    priced = F.col("_band_key").isNotNull() & sized & F.col("_units").isNotNull()
-    exact = (F.col("_units") * F.lit(Decimal("0.000000000001"))).cast(COST)
+    # Null beyond a trillion dollars, which no record can mean.
+    exact = (F.col("_units").try_cast("decimal(24,0)") * F.lit(Decimal("0.000000000001"))).try_cast(COST)
+    priced = F.col("_band_key").isNotNull() & sized & exact.isNotNull()
     return (
         keyed.join(bands, hit, "left")
         .withColumn("_units", cost_units())

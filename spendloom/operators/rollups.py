@@ -120,7 +120,7 @@ def facets(calls: DataFrame) -> DataFrame:
             F.lit("max_ts"), F.col("newest").cast("string"),
         ).alias("axis", "value")
     )
-    return values.unionByName(span)
+    return values.unionByName(span).orderBy("axis", "value")
 
 
 # ------------------------------------------------------------------ by model

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..schemas import TOKEN_COLUMNS
 from .rollups import flag_sum, micros
 
-# Most session rows one listing returns.
-MAX_LISTED = 5000
-
 
 def sessions_rollup(calls: DataFrame, tools: DataFrame, identities: DataFrame | None = None) -> DataFrame:
     """One row per session.
@@ -66,9 +63,10 @@ def sessions_rollup(calls: DataFrame, tools: DataFrame, identities: DataFrame |
     return grouped.withColumn("wall_seconds", open_for)
 
 
-def sessions_top(sessions: DataFrame, limit: int = MAX_LISTED) -> DataFrame:
-    """Newest sessions first."""
-    return sessions.orderBy(F.desc("last_ts"), "uid").limit(limit if limit > 0 else MAX_LISTED)
+def sessions_top(sessions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest sessions first: all, or the first ``limit``."""
+    ordered = sessions.orderBy(F.desc("last_ts"), "uid")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def session_by_uid(sessions: DataFrame, uid) -> DataFrame:

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from .ordered import newest_per_key
 
 KEY = ["session_uid", "call_key"]
-# How much of a file's head is fingerprinted.
-PREFIX_BYTES = 4096
-# Changed files one source may have ingested per pass.
-MAX_CHANGED_PER_PASS = 200
 
 
 def _stack(stored: DataFrame, incoming: DataFrame, seq: str | None) -> DataFrame:
@@ -94,46 +90,35 @@ def inherit_project(incoming: DataFrame, sessions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 
-def file_heads(lines: DataFrame) -> DataFrame:
-    """``path, head, consumed``: first bytes and size of the complete lines of each file.
+def file_digests(lines: DataFrame, file_state: DataFrame) -> DataFrame:
+    """``path, consumed, prefix_len, prefix_hash, same_head`` of the complete lines of each file.
 
-    Every line is at least its newline, so the head lies within the first
-    ``PREFIX_BYTES`` lines, and no line counts for more than its own head.
+    The digest is a sum over all lines of a hash of number and text, so it takes
+    in everything consumed, in any order, and adds up in the map tasks.
+    ``same_head`` tells whether the lines that were consumed before still give
+    the digest recorded then; null for a file not known.
     """
-    piece = F.struct("ordinal", F.substring("line", 1, PREFIX_BYTES).alias("text"))
-    first = F.collect_list(F.when(F.col("ordinal") < PREFIX_BYTES, piece))
-    joined = F.array_join(F.transform(F.array_sort(first), lambda x: F.concat(x["text"], F.lit("\n"))), "")
-    return lines.groupBy("path").agg(
-        F.substring(joined.cast("binary"), 1, PREFIX_BYTES).alias("head"),
+    known = file_state.select("path", F.col("prefix_hash").alias("_hash"), F.col("prefix_len").alias("_len"))
+    one = F.xxhash64("ordinal", "line").cast("decimal(20,0)")
+    before = F.when(F.col("ordinal") < F.col("_len"), one)
+    sums = lines.join(known, "path", "left").groupBy("path", "_hash", "_len").agg(
         F.sum(F.octet_length("line") + 1).cast("bigint").alias("consumed"),
+        F.count(F.lit(1)).alias("prefix_len"),
+        F.sum(one).cast("string").alias("prefix_hash"),
+        F.count(before).alias("_n"),
+        F.coalesce(F.sum(before), F.lit(0)).cast("string").alias("_before"),
     )
-
-
-def _digest(head):
-    return F.substring(F.sha2(head, 256), 1, 32)
-
-
-def fingerprint(heads: DataFrame) -> DataFrame:
-    """Add ``prefix_hash`` and ``prefix_len`` of each head."""
-    return heads.withColumn("prefix_len", F.octet_length("head").cast("bigint")).withColumn(
-        "prefix_hash", _digest(F.col("head"))
-    )
-
-
-def head_matches(heads: DataFrame, file_state: DataFrame) -> DataFrame:
-    """``path, same_head``: whether each known file still begins with the recorded bytes."""
-    known = file_state.select("path", F.col("prefix_hash").alias("_hash"), F.col("prefix_len").alias("_len"))
-    head = F.substring(F.col("head"), F.lit(1), F.col("_len").cast("int"))
-    same = (F.octet_length(head) == F.col("_len")) & (_digest(head) == F.col("_hash"))
-    return heads.join(known, "path").select("path", same.alias("same_head"))
+    same = (F.col("_n") == F.col("_len")) & (F.col("_before") == F.coalesce(F.nullif("_hash", F.lit("")), F.lit("0")))
+    return sums.select("path", "consumed", "prefix_len", "prefix_hash", same.alias("same_head"))
 
 
 def classify_files(listing: DataFrame, file_state: DataFrame) -> DataFrame:
     """What to do with each listed file: complete, unchanged, append or replace.
 
     ``listing`` is ``agent, path, size, mtime, same_head``. A log that grew and
-    still begins with the recorded bytes is appended to; one that shrank, begins
-    differently or has a cursor of another kind is read anew.
+    still begins with everything consumed is appended to; one that shrank, begins
+    differently or has a cursor of another kind is read anew. A log of the
+    recorded size and time is unchanged, also when nothing of it was complete yet.
     """
     known = file_state.select(
         "path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), "consumed",
@@ -147,21 +132,22 @@ def classify_files(listing: DataFrame, file_state: DataFrame) -> DataFrame:
     done = F.coalesce("consumed", F.lit(0)) > 0
     action = (
         F.when(F.coalesce("complete", F.lit(False)), "complete")
-        .when(done & (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")), "unchanged")
+        .when((F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")), "unchanged")
         .when(done & resumable, "append")
         .otherwise("replace")
     )
     return listing.join(known, "path", "left").select(*listing.columns, "consumed", action.alias("action"))
 
 
-def take_changed(classified: DataFrame, limit: int = MAX_CHANGED_PER_PASS) -> DataFrame:
-    """Changed files of this pass, at most ``limit`` per source in path order.
+def take_changed(classified: DataFrame, limit: int | None = None) -> DataFrame:
+    """Changed files: all of them, or for a bounded look the first ``limit`` per source in path order.
 
-    The rest is picked up by the next pass. Files are first thinned to the
-    smallest ``limit`` paths inside slices of a source, so a source with very many
-    changed files is not ranked in one task.
+    With a limit, files are first thinned to the smallest paths inside slices of
+    a source, so a source with very many changed files is not ranked in one task.
     """
     changed = classified.filter(F.col("action").isin("append", "replace"))
+    if limit is None:
+        return changed
     slices = Window.partitionBy("agent", "_slice").orderBy("path")
     thin = (
         changed.withColumn("_slice", F.pmod(F.xxhash64("path"), F.lit(1024)))

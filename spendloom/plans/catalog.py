@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,12 @@ from ..functions import display, fields, names, tokens
 from ..operators import activity as act
 from ..operators import asof, filters, ordered, pricing, rollups, sessions, state
 from ..schemas import AGENTS
+from ..session import shared_folder
 from ..sources import agy, claude, codex, common, gemini, lines, opencode, pi, prices
 from . import fixture_logs as logs
 from . import fixtures as fx
 from . import report
+from .store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,6 +445,14 @@ def tiered_cost(spark, sf):
     return with_money(fx.calls(spark, sf)).select("session_uid", "call_key", "model", "priced", "cost")
 
 
+@query
+def price_duplicates(spark, sf):
+    """Every key of the price list is given twice; the last of them holds and no call is multiplied."""
+    first = [(k, s, 99, 99, 99, 99, [(1, 98, 98, 98, 98)]) for k, s, *_ in fx.PRICE_ROWS]
+    priced = pricing.price_calls(fx.unpriced_calls(spark, sf), pricing.PriceList.of(spark, [*first, *fx.PRICE_ROWS]))
+    return with_money(priced).select("session_uid", "call_key", "model", "priced", "cost")
+
+
 @query
 def reprice(spark, sf):
     again = pricing.reprice(fx.calls(spark, sf), fx.doubled_price_list(spark))
@@ -746,6 +757,17 @@ def inherit_project(spark, sf):
     return state.inherit_project(appended, stored).select("session_uid", "call_key", "project")
 
 
+@query
+def read_latest(spark, sf):
+    """Two passes into stored tables: the second rewrites some calls and resets the sessions that used one model."""
+    c = fx.calls(spark, sf)
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    second = c.filter("ts % 2 = 0")
+    store.append({"calls": c.filter("ts % 3 = 0").withColumn("model", F.lit("old"))})
+    store.append({"calls": second}, {"calls": second.filter("model = 'o3'").select("session_uid")})
+    return store.read("calls").select("session_uid", "call_key", "model", "total_tokens")
+
+
 def file_rows(spark, sf):
     return fx.unpriced_calls(spark, sf).groupBy("session_uid", "agent").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
 

@@ -14,7 +14,7 @@ from ..operators.sessions import session_calls, sessions_rollup
 from ..session import cut_lineage
 from ..sources.common import Normalised
 from ..sources.registry import LogSource
-from .store import TABLES, Store
+from .store import TABLES, OldBaseError, Store
 
 
 @dataclass(frozen=True)
@@ -25,8 +25,56 @@ class PassResult:
     errors: dict[str, str]
 
 
-def _columns(table: str, spark: SparkSession) -> list[str]:
-    return spark.createDataFrame([], TABLES[table][1]).columns
+@dataclass
+class _Read:
+    """What one source gave: everything of it or nothing."""
+
+    calls: DataFrame
+    tools: DataFrame
+    identities: DataFrame
+    actions: DataFrame
+
+
+# After this many files of a source failed by themselves, the rest is not tried in this pass.
+FAILURES_TRIED = 20
+
+
+def _read(source: LogSource, paths: list[str], picked: DataFrame, known: DataFrame, book: PriceList) -> _Read:
+    """Rows and new file states of some logs, all of them written out before any is used."""
+    lines = cut_lineage(source.lines(picked.sparkSession, paths))
+    # Only what was picked is compared with what was consumed of it before.
+    digests = cut_lineage(state.file_digests(lines, known))
+    mine = picked.where(F.col("path").isin(paths)) if len(paths) <= 100 else picked
+    chosen = state.classify_files(mine.join(digests.select("path", "same_head"), "path", "left"), known)
+    chosen = chosen.join(digests.select("path", F.col("consumed").alias("read"), "prefix_hash", "prefix_len"), "path", "left")
+    rows: Normalised = source.rows(lines)
+    return _Read(
+        cut_lineage(price_calls(rows.calls, book).drop("sized")), cut_lineage(rows.tools), cut_lineage(rows.identities),
+        cut_lineage(chosen.drop("same_head", "consumed")),
+    )
+
+
+def _read_what_can_be(source: LogSource, paths: list[str], picked: DataFrame, known: DataFrame,
+                      book: PriceList) -> tuple[list[_Read], list[tuple[str, str]]]:
+    """Read all logs at once; where that fails, halves, down to the files that fail by themselves."""
+    failed: list[tuple[str, str]] = []
+
+    def some(part: list[str]) -> list[_Read]:
+        if len(failed) >= FAILURES_TRIED:
+            failed.extend((p, "not tried after other failures") for p in part)
+            return []
+        here = picked if len(part) == len(paths) else picked.join(
+            picked.sparkSession.createDataFrame([(p,) for p in part], "path STRING"), "path", "left_semi").select(*picked.columns)
+        try:
+            return [_read(source, part, here, known, book)]
+        except Exception as error:  # noqa: BLE001 - one bad log must not stop the rest
+            if len(part) == 1:
+                failed.append((part[0], f"{type(error).__name__}: {str(error).splitlines()[0]}"))
+                return []
+            half = len(part) // 2
+            return some(part[:half]) + some(part[half:])
+
+    return some(paths), failed
 
 
 def run_pass(
@@ -35,98 +83,82 @@ def run_pass(
     sources: list[LogSource],
     prices: DataFrame,
     now: datetime,
-    max_changed: int = state.MAX_CHANGED_PER_PASS,
+    max_changed: int | None = None,
 ) -> PassResult:
     """Read what changed, replace or append its sessions, flag vanished logs, record the status.
 
-    A source that fails is reported and leaves the others alone. A pass that finds
-    nothing to do writes nothing.
+    All changed logs are read unless ``max_changed`` asks for fewer. A log that
+    fails is reported with its path and leaves the others alone; of a log either
+    everything is stored or nothing. A pass that finds nothing to do writes
+    nothing.
     """
     version = store.version()
-    known = store.read("file_state", version)
+    known = cut_lineage(store.read("file_state", version))
     book = PriceList(prices)
     stamp = F.lit(now).cast("timestamp")
     errors: dict[str, str] = {}
-    calls = tools = identities = files = actions = None
+    parts: list[_Read] = []
+    files: DataFrame | None = None
 
-    def stack(a: DataFrame | None, b: DataFrame) -> DataFrame:
-        return b if a is None else a.unionByName(b)
+    def stacked(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for more in frames[1:]:
+            out = out.unionByName(more)
+        return out
 
     for source in sources:
         try:
-            if not source.files(spark).head(1):
-                continue
-            # Which files changed, taking it that their beginnings did not. The
-            # decision is used several times below and must not move in between.
-            listing = source.files(spark).select(F.lit(source.agent).alias("agent"), "path", "size", "mtime")
-            guess = cut_lineage(state.classify_files(listing.withColumn("same_head", F.lit(True)), known))
-            files = stack(files, guess)
-            picked = state.take_changed(guess, max_changed).select(*listing.columns)
-            paths = [r.path for r in picked.select("path").collect()]  # at most max_changed
-            if not paths:
-                continue
-            lines = cut_lineage(source.lines(spark, paths))
-            # Only what was picked is compared with its recorded beginning.
-            heads = cut_lineage(state.fingerprint(state.file_heads(lines)))
-            same = state.head_matches(heads, known)
-            chosen = state.classify_files(picked.join(same, "path", "left"), known)
-            chosen = cut_lineage(
-                chosen.join(heads.select("path", F.col("consumed").alias("read"), "prefix_hash", "prefix_len"), "path", "left")
-            )
-            rows: Normalised = source.rows(lines)
-            ident = cut_lineage(rows.identities)
-            calls = stack(calls, cut_lineage(price_calls(rows.calls, book).drop("sized")))
-            tools = stack(tools, cut_lineage(rows.tools))
-            identities = stack(identities, ident)
-            actions = stack(actions, chosen.drop("same_head", "consumed"))
+            # The listing is used several times below and must not move in between.
+            listing = cut_lineage(source.files(spark).select(F.lit(source.agent).alias("agent"), "path", "size", "mtime"))
+            guess = state.classify_files(listing.withColumn("same_head", F.lit(True)), known)
+            picked = cut_lineage(state.take_changed(guess, max_changed).select(*listing.columns))
+            paths = [r.path for r in picked.select("path").orderBy("path").collect()]
+            got, failed = _read_what_can_be(source, paths, picked, known, book) if paths else ([], [])
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
             errors[source.agent] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
+            continue
+        files = guess if files is None else files.unionByName(guess)
+        parts += got
+        if failed:
+            errors[source.agent] = f"{len(failed)} of {len(paths)} failed; first: {failed[0][0]}: {failed[0][1]}"
 
     listing = files if files is not None else spark.createDataFrame([], "path STRING")
-    gone = cut_lineage(state.vanished(known.filter(F.col("agent").isin([s.agent for s in sources if s.agent not in errors])), listing))
+    whole = [s.agent for s in sources if files is not None and (s.agent not in errors or " failed; first: " in errors[s.agent])]
+    gone = cut_lineage(state.vanished(known.filter(F.col("agent").isin(whole)), listing))
     n_gone = gone.count()
-    n_changed = 0 if actions is None else actions.count()
+    n_changed = sum(p.actions.count() for p in parts)
     if n_changed == 0 and n_gone == 0 and not errors:
         return PassResult(version, 0, 0, errors)
 
-    changes: dict[str, tuple[DataFrame, list[int]]] = {}
-    if n_changed:
-        replaced = identities.join(actions.filter("action = 'replace'").select("path"), "path", "left_semi")
-        touched = store.touched(identities, "uid")
-        for table, new in (("calls", calls), ("tool_calls", tools)):
-            new = new.select(*_columns(table, spark))
-            kept = state.forget_sessions(store.read(table, version, touched), replaced)
-            merge = state.upsert_calls if table == "calls" else state.upsert_tools
-            changes[table] = (merge(kept, state.inherit_project(new, identities)), touched)
+    changes: dict[str, DataFrame] = {}
+    resets: dict[str, DataFrame] = {}
     lost = gone.select(F.col("session_uid").alias("uid"))
-    seen = lost if identities is None else lost.unionByName(identities.select("uid"))
-    who = store.touched(seen, "uid")
-    old = store.read("identities", version, who)
+    old = store.read("identities", version)
+    back = spark.createDataFrame([], "uid STRING")
+    seen = lost
     if n_changed:
+        identities, actions = stacked([p.identities for p in parts]), stacked([p.actions for p in parts])
+        replaced = identities.join(actions.filter("action = 'replace'").select("path"), "path", "left_semi").select("uid")
+        for table, rows in (("calls", stacked([p.calls for p in parts])), ("tool_calls", stacked([p.tools for p in parts]))):
+            columns = spark.createDataFrame([], TABLES[table][1]).columns
+            changes[table] = state.inherit_project(rows.select(*columns), identities)
+            resets[table] = replaced
+        back = identities.select("uid")
+        seen = lost.unionByName(back)
         # A title is set when a session is first stored and stays.
         old = state.upsert(old, identities.select(*old.columns), keys=["uid"], keep=["title"], keep_if_empty=["project"])
-    back = spark.createDataFrame([], "uid STRING") if identities is None else identities.select("uid")
-    changes["identities"] = (state.mark_orphaned(old, gone, back), who)
+        changes["file_state"] = _file_rows(actions, identities, stamp)
+    changes["identities"] = state.mark_orphaned(old.join(seen.distinct(), "uid", "left_semi"), gone, back)
+    resets["file_state"] = gone.select("path")
 
-    cursors = gone.select("path")
-    if n_changed:
-        consumed = _file_rows(actions, identities, stamp)
-        cursors = cursors.unionByName(consumed.select("path"))
-    slots = store.touched(cursors, "path")
-    before = store.read("file_state", version, slots).join(gone.select("path"), "path", "left_anti")
-    before = before.select(*_columns("file_state", spark))
-    changes["file_state"] = (state.save_file_state(before, consumed) if n_changed else before, slots)
-
-    if files is not None or errors:
-        counted = spark.createDataFrame([], "agent STRING, calls BIGINT") if calls is None else calls.groupBy("agent").agg(
-            F.count(F.lit(1)).alias("calls")
-        )
-        failed = spark.createDataFrame(list(errors.items()), "agent STRING, error STRING")
-        classified = spark.createDataFrame([], "agent STRING, action STRING") if files is None else files
-        this_pass = state.scan_status(classified, counted, failed, stamp)
-        every = list(range(store.buckets))
-        changes["scan_status"] = (state.record_status(store.read("scan_status", version), this_pass), every)
-    return PassResult(store.publish(changes), n_changed, n_gone, errors)
+    counted = spark.createDataFrame([], "agent STRING, calls BIGINT")
+    if parts:
+        counted = stacked([p.calls.select("agent") for p in parts]).groupBy("agent").agg(F.count(F.lit(1)).alias("calls"))
+    failed = spark.createDataFrame(list(errors.items()), "agent STRING, error STRING")
+    classified = spark.createDataFrame([], "agent STRING, action STRING") if files is None else files
+    changes["scan_status"] = state.record_status(
+        store.read("scan_status", version), state.scan_status(classified, counted, failed, stamp))
+    return PassResult(store.append(changes, resets), n_changed, n_gone, errors)
 
 
 def _file_rows(actions: DataFrame, identities: DataFrame, stamp) -> DataFrame:
@@ -143,24 +175,23 @@ def _file_rows(actions: DataFrame, identities: DataFrame, stamp) -> DataFrame:
 
 
 def reprice_store(store: Store, prices: DataFrame) -> int:
-    """Price every stored call anew; sessions follow because they are rolled up on read."""
-    everything = list(range(store.buckets))
-    again = reprice(store.read("calls"), PriceList(prices))
-    names = store.read("calls").columns
-    return store.publish({"calls": (again.select(*names), everything)})
+    """Price every stored call anew; sessions follow because they are rolled up on read.
+
+    If another pass comes in between, the prices are worked out once more.
+    """
+    while True:
+        version = store.version()
+        rows = store.read("calls", version)
+        try:
+            return store.append({"calls": reprice(rows, PriceList(prices)).select(*rows.columns)}, after=version)
+        except OldBaseError:
+            continue
 
 
 def forget(store: Store, uid: str) -> int:
     """Delete one session with all its rows."""
-    spark = store.spark
-    one = spark.createDataFrame([(uid,)], "uid STRING")
-    slots = store.touched(one, "uid")
-    changes = {}
-    for table in ("calls", "tool_calls", "identities"):
-        key = TABLES[table][0]
-        rows = store.read(table, buckets=slots)
-        changes[table] = (state.forget_sessions(rows, one, key).select(*rows.columns), slots)
-    return store.publish(changes)
+    one = store.spark.createDataFrame([(uid,)], "uid STRING")
+    return store.append({}, dict.fromkeys(("calls", "tool_calls", "identities"), one))
 
 
 def sessions(store: Store, version: int | None = None) -> DataFrame:
@@ -172,13 +203,11 @@ def sessions(store: Store, version: int | None = None) -> DataFrame:
 def one_session(store: Store, uid: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A session's row, none if there is no such session, and its calls in time order.
 
-    Only the session's bucket is read, and in it only the row groups that may hold it.
+    The test on the session is made in the scan, before rows are merged.
     """
-    spark = store.spark
     version = store.version() if version is None else version
-    slots = store.touched(spark.createDataFrame([(uid,)], "uid STRING"), "uid")
 
     def own(table: str) -> DataFrame:
-        return store.read(table, version, slots).filter(F.col(TABLES[table][0]) == uid)
+        return store.read(table, version).filter(F.col(TABLES[table][0][0]) == uid)
 
     return sessions_rollup(own("calls"), own("tool_calls"), own("identities")), session_calls(own("calls"), uid)

@@ -141,6 +141,12 @@ SELECT *, CASE WHEN {WHOLE} > 0 THEN cost / {WHOLE} * 100 ELSE 0 END AS pct,
 
 ORACLE["tiered_cost"] = f"{ONLY_CALLS} SELECT session_uid, call_key, model, priced, {MONEY} FROM calls"
 
+ORACLE["price_duplicates"] = ORACLE["tiered_cost"]
+
+ORACLE["read_latest"] = f"""{ONLY_RAW}, r AS (SELECT DISTINCT session_uid FROM raw WHERE ts % 2 = 0 AND model = 'o3')
+SELECT session_uid, call_key, CASE WHEN ts % 2 = 0 THEN model ELSE 'old' END AS model, total_tokens FROM raw
+WHERE ts % 2 = 0 OR (ts % 3 = 0 AND session_uid NOT IN (SELECT session_uid FROM r))"""
+
 ORACLE["totals"] = f"""{ALL} SELECT * FROM (SELECT {USAGE}, {FIRST}, {LAST} FROM calls),
     (SELECT count(*) AS sessions, count(DISTINCT project) AS projects, count(DISTINCT agent) AS agents FROM sessions),
     (SELECT coalesce(sum(tool_ms), 0)::DOUBLE / 1000 AS tool_seconds FROM tool_calls)"""
@@ -259,7 +265,7 @@ def _duration(seconds: str) -> str:
 
 
 ORACLE["project_tree"] = f"""{ALL},{PROJECT_HEADS},
-top AS (SELECT * FROM sessions ORDER BY last_ts DESC, uid LIMIT 5000),
+top AS (SELECT * FROM sessions),
 sl AS (SELECT project, string_agg(uid || ':' || calls || ':' || last_ts || ':' || {_duration('wall_seconds')}, ';'
     ORDER BY last_ts DESC, uid) AS sessions_list FROM top GROUP BY 1),
 mg AS (SELECT project, model, sum(cost_usd) AS c, count(*) AS n, sum(total_tokens) AS t, sum(llm_ms)::DOUBLE / 1000 AS s FROM calls GROUP BY 1, 2),
@@ -614,7 +620,7 @@ fs AS (SELECT agent, '/logs/' || session_uid AS path, session_uid, u, u % 9 <> 0
     CASE WHEN u % 4 = 0 THEN n * 150 WHEN u % 4 = 1 THEN n * 50 ELSE n * 100 END AS size, n * 100 AS old_size,
     CASE WHEN u % 4 = 2 THEN 60 ELSE 0 END AS newer, CASE WHEN u % 11 = 0 THEN 0 ELSE n * 100 END AS consumed FROM fr),
 cl AS (SELECT agent, path, size, CASE WHEN known AND u % 7 = 0 THEN 'complete'
-    WHEN known AND consumed > 0 AND size = old_size AND newer = 0 THEN 'unchanged'
+    WHEN known AND size = old_size AND newer = 0 THEN 'unchanged'
     WHEN known AND consumed > 0 AND size >= consumed AND u % 8 <> 1 AND u % 5 <> 3 THEN 'append' ELSE 'replace' END AS action FROM fs WHERE listed)"""
 ORACLE["classify_files"] = f"WITH {FILES} SELECT agent, path, size, action FROM cl"
 ORACLE["changed_files"] = f"""WITH {FILES}, ch AS (SELECT agent, path, action, row_number() OVER (PARTITION BY agent ORDER BY path) AS r

@@ -44,16 +44,17 @@ def _listed(df: DataFrame, order: list[Column], members: list[Column], name: str
     return df.groupBy("project").agg(F.transform(ranked, lambda e: e["_v"]).alias(name))
 
 
-def project_tree(calls: DataFrame, tools: DataFrame, session_rows: DataFrame, limit: int = sessions.MAX_LISTED) -> DataFrame:
+def project_tree(calls: DataFrame, tools: DataFrame, session_rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Projects with their listed sessions, models and tools nested; lists are empty, never null.
 
-    The lists hold aggregates: one entry per model or tool of a project, and
-    sessions only as far as the listing goes, which is ``limit`` over all projects.
+    The lists hold aggregates: one entry per session, model or tool of a project.
+    With a ``limit`` only the newest so many sessions over all projects are
+    listed, and ``truncated`` tells of each project whether that left some out.
     """
     heads = rollups.projects(session_rows, calls)
     cost = rollups.money("cost_usd").alias("cost")
     listed = _listed(
-        sessions.sessions_top(session_rows, limit),
+        session_rows if limit is None else sessions.sessions_top(session_rows, limit),
         [(-F.col("last_ts")).alias("a"), F.col("uid").alias("b")],
         [
             F.col("uid"), F.col("agent"), F.col("title"), F.col("calls"), F.col("total_tokens"), cost,
@@ -87,7 +88,8 @@ def project_tree(calls: DataFrame, tools: DataFrame, session_rows: DataFrame, li
     for part in (listed, used, run):
         tree = tree.join(part, "project", "left")
     lists = {n: F.coalesce(n, F.array().cast(tree.schema[n].dataType)).alias(n) for n in ("sessions_list", "models", "tools")}
-    return tree.select(*[lists.get(c, F.col(c)) for c in tree.columns])
+    whole = tree.select(*[lists.get(c, F.col(c)) for c in tree.columns])
+    return whole.withColumn("truncated", F.size("sessions_list") < F.col("sessions"))
 
 
 def flat_project_tree(tree: DataFrame) -> DataFrame:

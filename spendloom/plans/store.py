@@ -1,110 +1,117 @@
-"""The stored tables as versioned directories.
+"""The stored tables as plain Parquet that is only ever appended to.
 
-A table is cut into buckets by a hash of its session. A pass rewrites only the
-buckets it touches, into a new directory, and then publishes a small manifest
-that names the directory of every bucket of every table. A report reads the
-tables of one manifest, so it never sees half a pass; a lost pass leaves files
-nobody refers to.
+Every pass writes its rows below ``<table>/pass=<id>`` and, when all of them are
+there, its own row below ``passes``. A reader takes the passes that are
+published, drops what a later pass reset, and keeps the newest row per key. So a
+report never sees half a pass, a lost pass leaves rows nobody reads, what a pass
+writes is in proportion to what it read, and two passes at once both count.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import state
 
+# Key columns, schema, columns that stay as first written, and those that only a non-empty value replaces.
 TABLES = {
-    "calls": ("session_uid", schemas.CALLS),
-    "tool_calls": ("session_uid", schemas.TOOL_CALLS),
-    "identities": ("uid", schemas.IDENTITIES),
-    "file_state": ("path", schemas.FILE_STATE),
-    "scan_status": ("agent", schemas.SCAN_STATUS),
+    "calls": (["session_uid", "call_key"], schemas.CALLS, ["agent", "project"], []),
+    "tool_calls": (["session_uid", "call_key"], schemas.TOOL_CALLS, ["agent", "project"], ["tool"]),
+    "identities": (["uid"], schemas.IDENTITIES, ["title"], ["project"]),
+    "file_state": (["path"], schemas.FILE_STATE, [], []),
+    "scan_status": (["agent"], schemas.SCAN_STATUS, [], []),
 }
+PASSES = "pass STRING, number BIGINT, base BIGINT"
+RESETS = "target STRING, key STRING, pass STRING"
 
 
-class Store:
-    """``buckets`` bounds what a pass rewrites; ``files`` is how many a bucket is written as."""
+class OldBaseError(RuntimeError):
+    """A write that depends on what it read found that another one came first."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, files: int = 4):
-        self.spark, self.root, self.buckets, self.files = spark, root.rstrip("/"), buckets, files
 
-    # -- manifests: one small file per version, written under another name first
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
+    def _exists(self, path: str) -> bool:
         hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
+        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+    def _load(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        empty = self.spark.createDataFrame([], schema)
+        if not self._exists(path):
+            return empty
+        return self.spark.read.schema(empty.schema).parquet(path).select(*empty.columns)
+
+    # -- passes
+
+    def passes(self) -> list:
+        """Published passes in order; a compaction keeps their number small."""
+        if not self._exists(f"{self.root}/passes"):
+            return []
+        rows = self.spark.read.schema(PASSES).parquet(f"{self.root}/passes").collect()
+        return sorted(rows, key=lambda r: (r.number, r["pass"]))
 
     def version(self) -> int:
-        """Newest published version, 0 before the first."""
-        fs, folder = self._fs(f"{self.root}/versions")
-        if not fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
-
-    def _manifest(self, version: int) -> dict[str, dict[str, str]]:
-        if version == 0:
-            return {}
-        text = self.spark.read.option("wholetext", True).text(f"{self.root}/versions/{version:010d}.json")
-        return json.loads(text.first()[0])
-
-    def _commit(self, manifest: dict, version: int) -> None:
-        fs, temp = self._fs(f"{self.root}/versions/.{uuid.uuid4().hex}")
-        _, final = self._fs(f"{self.root}/versions/{version:010d}.json")
-        out = fs.create(temp)
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
-        out.close()
-        if fs.exists(final) or not fs.rename(temp, final):
-            raise RuntimeError(f"version {version} was published by another pass")
+        """Number of the newest published pass, 0 before the first."""
+        return max((r.number for r in self.passes()), default=0)
+
+    def _shown(self, version: int | None) -> list[str]:
+        """Passes that make up a version: from its newest compaction on."""
+        rows = [r for r in self.passes() if version is None or r.number <= version]
+        base = max((r.base for r in rows), default=0)
+        return [r["pass"] for r in rows if r.number >= base]
 
     # -- tables
 
-    def bucket(self, column: str | Column) -> Column:
-        key = F.col(column) if isinstance(column, str) else column
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets))
-
-    def read(self, table: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """A table as of a version; ``buckets`` limits it to some of them."""
-        folders = self._manifest(self.version() if version is None else version).get(table, {})
-        wanted = sorted({p for b, p in folders.items() if buckets is None or int(b) in buckets})
-        schema = TABLES[table][1]
-        if not wanted:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*wanted)
-
-    def touched(self, keys: DataFrame, column: str) -> list[int]:
-        """Buckets some keys fall into; at most as many as there are."""
-        return sorted(r[0] for r in keys.select(self.bucket(column).alias("b")).distinct().collect())
-
-    def publish(self, changes: dict[str, tuple[DataFrame, list[int]]]) -> int:
-        """Replace the given buckets of the given tables and make it all visible at once."""
-        base = self.version()
-        manifest = {t: dict(m) for t, m in self._manifest(base).items()}
-        run = uuid.uuid4().hex[:12]
-        for table, (rows, buckets) in changes.items():
-            key, _ = TABLES[table]
-            folder = f"{self.root}/{table}/{base + 1:010d}-{run}"
-            # Spread by the whole row key, so that a very large session is written
-            # by several tasks; sorted, so that a reader of one session skips
-            # the row groups of the others.
-            whole_key = [c for c in (key, "call_key") if c in rows.columns]
-            slot = F.pmod(F.xxhash64(*whole_key), F.lit(self.files))
-            (
-                rows.withColumn("bucket", self.bucket(key))
-                .repartition(F.col("bucket"), slot)
-                .sortWithinPartitions("bucket", *whole_key)
-                .write.partitionBy("bucket").mode("overwrite").parquet(folder)
-            )
-            fs, _ = self._fs(folder)
-            for b in buckets:
-                path = f"{folder}/bucket={b}"
-                if fs.exists(self._fs(path)[1]):
-                    manifest.setdefault(table, {})[str(b)] = path
-                else:
-                    manifest.setdefault(table, {}).pop(str(b), None)
-        self._commit(manifest, base + 1)
-        return base + 1
+    def deltas(self, table: str, version: int | None = None) -> DataFrame:
+        """Every written row of a version with its pass, less those a later pass reset."""
+        keys, schema, *_ = TABLES[table]
+        shown = self._shown(version)
+        rows = self._load(table, f"{schema}, pass STRING").where(F.col("pass").isin(shown) if shown else F.lit(False))
+        resets = self._load("resets", RESETS).where((F.col("target") == table) & (F.col("pass").isin(shown) if shown else F.lit(False)))
+        last = resets.groupBy("key").agg(F.max("pass").alias("reset")).withColumnRenamed("key", keys[0])
+        return rows.join(last, keys[0], "left").where("reset IS NULL OR pass >= reset").drop("reset")
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """A table as of a version: the newest row per key. A filter on the key reaches the scan."""
+        keys, schema, keep, keep_if_empty = TABLES[table]
+        none = self.spark.createDataFrame([], f"pass STRING, {schema}")
+        # With the pass in front, the order of rows is by pass and then total.
+        rows = self.deltas(table, version).select(*none.columns)
+        return state.upsert(none, rows, keys=keys, keep=keep, keep_if_empty=keep_if_empty).drop("pass")
+
+    def append(self, changes: dict[str, DataFrame], resets: dict[str, DataFrame] | None = None, after: int | None = None,
+               base: bool = False) -> int:
+        """Write rows of some tables, and keys whose earlier rows no longer count, and publish both at once.
+
+        ``after`` is the version the rows were derived from where they hold only
+        if nothing came since; a newer one raises OldBaseError before anything
+        is published. ``base`` publishes the rows as all there is up to now.
+        """
+        number = self.version() + 1
+        if after is not None and number != after + 1:
+            raise OldBaseError(f"version {number - 1} is newer than {after}, which this write was made from")
+        name = f"{number:010d}-{uuid.uuid4().hex[:12]}"
+        for table, rows in changes.items():
+            rows.write.parquet(f"{self.root}/{table}/pass={name}")
+        for table, keys in (resets or {}).items():
+            if table in TABLES:
+                named = keys.select(F.lit(table).alias("target"), F.col(keys.columns[0]).alias("key")).distinct()
+                named.write.mode("append").parquet(f"{self.root}/resets/pass={name}")
+        if after is not None and self.version() != after:
+            raise OldBaseError(f"version {after} was overtaken while this write ran")
+        marker = self.spark.createDataFrame([(name, number, number if base else 0)], PASSES)
+        marker.coalesce(1).write.mode("append").parquet(f"{self.root}/passes")
+        return number
+
+    def compact(self) -> int:
+        """Rewrite every table as one pass, so that readers merge nothing; refused if another write comes in between."""
+        version = self.version()
+        return self.append({t: self.read(t, version) for t in TABLES}, after=version, base=True)
+

@@ -7,11 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A single record may be this long; longer lines are rejected.
-MAX_LINE_BYTES = 64 << 20
-# Files up to this size are read one per row; larger ones as split text.
-WHOLE_FILE_BYTES = 256 << 20
-
 # Directories below a root that hold no logs.
 NOISE_DIRS = ["node_modules", ".git", "__pycache__", "target", "dist", "build"]
 
@@ -39,13 +34,33 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\Afile:/+", "/")
 
 
-def _reader_paths(spark: SparkSession, roots: Sequence[str], recurse: bool, depth: int = 4) -> list[str]:
-    """Roots plus, to ``depth`` levels, the underscore directories a Spark listing hides.
+def _underscored(spark: SparkSession, roots: Sequence[str], recurse: bool) -> tuple[list[str], list[tuple]]:
+    """Directories, and files as (path, size, mtime), below some roots whose own name starts with an underscore.
 
-    A *file* whose own name starts with an underscore stays hidden.
+    A Spark listing hides both. Level by level the file system is asked for such
+    names only, down to where nothing lies deeper.
     """
-    hidden = [f"{r}{'/*' * d}/_*/" for r in roots for d in range(depth)] if recurse else []
-    return list(dict.fromkeys(_existing(spark, roots) + _existing(spark, hidden)))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+
+    def glob(pattern: str):
+        path = hadoop.Path(pattern)
+        return path.getFileSystem(conf).globStatus(path) or []
+
+    dirs, files = [], []
+    for root in roots:
+        level = root.rstrip("/")
+        while True:
+            for status in glob(f"{level}/_*"):
+                name = status.getPath().toString()
+                if status.isDirectory():
+                    dirs += [name] if recurse else []
+                else:
+                    files.append((name, status.getLen(), status.getModificationTime()))
+            level += "/*"
+            if not recurse or not len(glob(level + "/*")):
+                break
+    return list(dict.fromkeys(dirs)), list(dict.fromkeys(files))
 
 
 def _shown(files: DataFrame, roots: Sequence[str], recurse: bool) -> DataFrame:
@@ -65,21 +80,25 @@ def discover(
     spark: SparkSession, roots: Sequence[str], ext: str = ".jsonl", recurse: bool = True
 ) -> DataFrame:
     """``path, size, mtime`` of the log files below some roots. Missing roots are skipped."""
-    paths = _reader_paths(spark, roots, recurse)
-    if not paths:
-        return spark.createDataFrame([], "path STRING, size BIGINT, mtime TIMESTAMP")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _any_case(ext))
-        .load(paths)
-        .select(
-            _plain_path(F.col("path")).alias("path"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("mtime"),
+    dirs, more = _underscored(spark, roots, recurse)
+    named = [(p, n, t) for p, n, t in more if p.lower().endswith(ext.lower())]
+    found = spark.createDataFrame(named, "path STRING, size BIGINT, ms BIGINT").select(
+        _plain_path(F.col("path")).alias("path"), "size", F.timestamp_millis("ms").alias("mtime"))
+    paths = list(dict.fromkeys(_existing(spark, roots) + dirs))
+    if paths:
+        listed = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", _any_case(ext))
+            .load(paths)
+            .select(
+                _plain_path(F.col("path")).alias("path"),
+                F.col("length").alias("size"),
+                F.col("modificationTime").alias("mtime"),
+            )
         )
-    )
-    return _shown(files, roots, recurse).distinct().orderBy("path")
+        found = listed.unionByName(found)
+    return _shown(found, roots, recurse).distinct().orderBy("path")
 
 
 # ---------------------------------------------------------------- lines
@@ -105,74 +124,101 @@ def read_lines(
     agent: str,
     ext: str = ".jsonl",
     recurse: bool = True,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
     files: Sequence[str] | None = None,
 ) -> DataFrame:
     """``path, agent, ordinal, line`` of every complete line below some roots, or of some files.
 
-    Session-sized files come one per row. A file too large for that is read as
-    split text: lines are numbered inside their split and shifted by what the
-    splits before hold, so no task ever sees the whole file.
+    All files are read as split text, so no task ever sees more than a split and
+    the line that ends it. Lines are numbered inside their split and shifted by
+    what the splits before hold.
     """
-    paths = _reader_paths(spark, roots, recurse) if files is None else list(files)
-    if not paths:
+    if files is None:
+        dirs, more = _underscored(spark, roots, recurse)
+        paths = list(dict.fromkeys(_existing(spark, roots) + dirs))
+        hidden = [p for p, *_ in more if p.lower().endswith(ext.lower())]
+    else:
+        paths = [p for p in files if not p.rsplit("/", 1)[-1].startswith("_")]
+        hidden = [p for p in files if p.rsplit("/", 1)[-1].startswith("_")]
+    parts = []
+    if paths:
+        split = (
+            spark.read.option("lineSep", "\n")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", _any_case(ext))
+            .text(paths)
+            .select(
+                F.col("value").alias("line"),
+                # This column is percent-encoded, unlike a listing's.
+                _plain_path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).alias("path"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.col("_metadata.file_size").alias("size"),
+                F.monotonically_increasing_id().alias("_at"),
+            )
+        )
+        parts.append(_split_lines(split if files is not None else _shown(split, roots, recurse)))
+    if hidden:
+        streamed = _stream_lines(spark.createDataFrame([(p,) for p in hidden], "path STRING"))
+        parts.append(streamed if files is not None else _shown(streamed, roots, recurse))
+    if not parts:
         return spark.createDataFrame([], "path STRING, agent STRING, ordinal BIGINT, line STRING")
+    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return lines.select("path", F.lit(agent).alias("agent"), "ordinal", "line")
 
-    def shown(df: DataFrame) -> DataFrame:
-        return _shown(df, roots, recurse) if files is None else df
-
-    glob = _any_case(ext)
-    small = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(paths)
-        .filter(F.col("length") <= whole_file_bytes)
-        .select(_plain_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("content"))
-    )
-    split = (
-        spark.read.option("lineSep", "\n")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(paths)
-        .select(
-            F.col("value").alias("line"),
-            # This column is percent-encoded, unlike the other reader's.
-            _plain_path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_size").alias("size"),
-        )
-        .filter(F.col("size") > whole_file_bytes)
-    )
-    lines = complete_lines(shown(small)).unionByName(_split_lines(shown(split)))
-    return lines.filter(F.octet_length("line") <= MAX_LINE_BYTES).select(
-        "path", F.lit(agent).alias("agent"), "ordinal", "line"
-    )
+
+def _stream_lines(files: DataFrame) -> DataFrame:
+    """Complete lines of the files no Spark reader lists, each streamed by one task, a line at a time."""
+
+    def read(batches):
+        import io
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, inner = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+                rows, held = [], 0
+                with system.open_input_stream(inner) as raw:
+                    for i, line in enumerate(io.BufferedReader(raw, 1 << 20)):
+                        if line.endswith(b"\n"):
+                            rows.append((i, line[:-1]))
+                            held += len(line)
+                        if held > 1 << 22:
+                            yield pa.RecordBatch.from_pylist([{"path": path, "ordinal": i, "raw": x} for i, x in rows])
+                            rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist([{"path": path, "ordinal": i, "raw": x} for i, x in rows])
+
+    rows = files.repartition("path").mapInArrow(read, "path STRING, ordinal BIGINT, raw BINARY")
+    return rows.select(_plain_path(F.col("path")).alias("path"), "ordinal", F.col("raw").cast("string").alias("line"))
 
 
 def _split_lines(split: DataFrame) -> DataFrame:
-    """Number the lines of split text files and drop an unterminated last one."""
+    """Number the lines of split text files and drop an unterminated last one.
+
+    ``_at`` counts up without gaps inside a split, so a line's place in it is the
+    distance to the split's first; one row per split carries that and the shift.
+    """
     along = Window.partitionBy("path").orderBy("block")
     held = (
         split.groupBy("path", "block")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"),
+            F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"),
+        )
         .select(
             "path",
             "block",
+            "first",
             F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"),
             F.sum("n").over(Window.partitionBy("path")).alias("lines"),
             # Every line but an unterminated last one is followed by a newline.
             (F.sum("bytes").over(Window.partitionBy("path")) > F.col("size")).alias("open_end"),
         )
     )
-    # A split is bounded by the reader's split size, so this window is too.
-    inside = Window.partitionBy("path", "block").orderBy("_at")
-    numbered = split.withColumn("_at", F.monotonically_increasing_id()).withColumn(
-        "_n", F.row_number().over(inside) - 1
-    )
     return (
-        numbered.join(held, ["path", "block"])
-        .withColumn("ordinal", F.col("shift") + F.col("_n"))
+        split.drop("size").join(held, ["path", "block"])
+        .withColumn("ordinal", F.col("shift") + F.col("_at") - F.col("first"))
         .filter(~(F.col("open_end") & (F.col("ordinal") == F.col("lines") - 1)))
         .select("path", "ordinal", "line")
     )

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators import state
 from ..operators.activity import bucket_sums
 from ..plans.store import TABLES, Store
 
 # A pass every this often when the stream runs on.
 INTERVAL = "30 seconds"
-FILES_PER_TRIGGER = state.MAX_CHANGED_PER_PASS
 
 
-def read_landed(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """New Parquet files of a landing folder as a stream, a bounded number per trigger.
+def read_landed(spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+    """New Parquet files of a landing folder as a stream, all there are per trigger unless a number is given.
 
-    A growing log is not followed by a file stream; the ingest pass lands its new
-    rows as files of their own.
+    A growing log is not followed by a file stream. The ingest pass writes the
+    rows of what changed as files of their own, below ``<store>/calls``, which
+    is a landing folder as it stands.
     """
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
 
 
 def read_landed_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,20 +57,20 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
 
 def upsert_into(store: Store, table: str = "calls") -> Callable[[DataFrame, int], None]:
-    """Batch function that merges rows into a stored table, the newest write of a key winning.
+    """Batch function that adds rows to a stored table, the newest write of a key winning when it is read.
 
-    An empty batch writes nothing. A batch run again after a failure merges the
-    same rows a second time, which changes nothing.
+    An empty batch writes nothing. The batch is computed once. One that is run
+    again after a failure adds the same rows a second time, which changes
+    nothing.
     """
-    merge = state.upsert_calls if table == "calls" else state.upsert_tools
+    columns = store.spark.createDataFrame([], TABLES[table][1]).columns
 
     def sink(batch: DataFrame, _id: int) -> None:
-        if batch.isEmpty():
-            return
-        key, _ = TABLES[table]
-        version = store.version()
-        slots = store.touched(batch, key)
-        stored = store.read(table, version, slots)
-        store.publish({table: (merge(stored, batch.select(*stored.columns)), slots)})
+        rows = batch.select(*columns).persist()
+        try:
+            if not rows.isEmpty():
+                store.append({table: rows})
+        finally:
+            rows.unpersist()
 
     return sink

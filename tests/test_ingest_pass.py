@@ -28,7 +28,7 @@ def world(spark, tmp_path):
     root = tmp_path / "home" / ".claude" / "projects" / "p"
     root.mkdir(parents=True)
     source = registry.LogSource("claude", (str(tmp_path / "home" / ".claude" / "projects"),), claude.normalise)
-    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    store = Store(spark, str(tmp_path / "store"))
     prices = builtin_prices(spark)
     clock = [NOW]
 
@@ -136,27 +136,128 @@ def test_discovery(spark, tmp_path):
     assert flat == ["a.jsonl", "b.JSONL"]
 
 
-def test_large_files_are_read_in_splits(spark, tmp_path):
-    """Both readers number the same lines the same way, also when a file is cut into many splits."""
+def test_files_are_read_in_splits(spark, tmp_path):
+    """Lines are numbered the same way whether a file is one split or many, and none is lost."""
     texts = {
         "a.jsonl": "".join(f'{{"n":{i},"pad":"{"é" * (i % 40)}"}}\n' for i in range(3000)) + '{"half',
         "b c.jsonl": "".join(f'{{"n":{i}}}\r\n' for i in range(2000)),
-        "d.jsonl": "no newline at all",
+        "d.jsonl": "no newline at all", "e.jsonl": "", "f+g%20.jsonl": "\n\nx\n",
     }
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text.encode())
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
-    try:
-        whole = read_lines(spark, [str(tmp_path)], "x").collect()
-        split = read_lines(spark, [str(tmp_path)], "x", whole_file_bytes=0).collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    def order(r):
-        return (r.path, r.ordinal)
-
-    assert sorted(whole, key=order) == sorted(split, key=order)
-    assert len(whole) == 5000
+    for size in ("8192", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {(os.path.basename(r.path), r.ordinal): r.line for r in read_lines(spark, [str(tmp_path)], "x").collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == {(n, i): x for n, t in texts.items() for i, x in enumerate(t.split("\n")[:-1])}
+
+
+def test_a_line_of_any_length_is_read(spark, tmp_path):
+    big = "x" * (65 << 20)
+    (tmp_path / "a.jsonl").write_text('{"a":1}\n' + big + '\n{"a":2}\n')
+    got = read_lines(spark, [str(tmp_path)], "x").selectExpr("ordinal", "octet_length(line) AS n").collect()
+    assert sorted(map(tuple, got)) == [(0, 7), (1, len(big)), (2, 7)]
+
+
+def test_deep_and_underscore_names_are_found(spark, tmp_path):
+    names = ["_top.jsonl", "a/b/c/d/e/f/_deep/x.jsonl", "a/_mid/_in/y.jsonl", "a/b/_file.jsonl", "a/b/z.jsonl", "_d/_e/_f/_g.jsonl"]
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text('{"a":1}\n')
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in discover(spark, [str(tmp_path)]).collect()) == sorted(names)
+    got = sorted(os.path.relpath(r.path, tmp_path) for r in read_lines(spark, [str(tmp_path)], "x").collect())
+    assert got == sorted(names)
+
+
+def test_all_changed_logs_come_in_with_one_pass(world):
+    root, store, run, write, _ = world
+    for i in range(300):
+        write(f"s{i}.jsonl", said(1))
+    write("half.jsonl", said(2)[:30])
+    assert run().changed == 301
+    assert store.read("calls").count() == 300
+    # Half a line is no news until it grows.
+    assert [run().version for _ in range(2)] == [1, 1]
+
+
+def test_a_rewrite_behind_the_first_lines_is_seen(world):
+    root, store, run, write, _ = world
+    body = [said(i) for i in range(1, 40)]
+    write("s.jsonl", "".join(body))
+    run()
+    body[35] = said(77)
+    write("s.jsonl", "".join(body) + said(50))
+    run()
+    got = [k for _, k in keys(store)]
+    assert "msg:m77" in got and "msg:m50" in got and "msg:m36" not in got and len(got) == 40
+
+
+def test_a_failing_log_leaves_the_others_of_its_agent(world):
+    root, store, run, write, source = world
+    for i in range(5):
+        write(f"s{i}.jsonl", said(i))
+
+    def picky(lines, **_):
+        if lines.filter("path like '%s3.jsonl'").head(1):
+            raise RuntimeError("cannot read this one")
+        return claude.normalise(lines)
+
+    bad = registry.LogSource("claude", source.roots, picky)
+    result = run([bad])
+    assert result.changed == 4 and "1 of 5 failed; first: " in result.errors["claude"] and "s3.jsonl" in result.errors["claude"]
+    assert sorted({u for u, _ in keys(store)}) == ["s0", "s1", "s2", "s4"]
+    assert run([source]).changed == 1 and len(keys(store)) == 5
+
+
+def test_all_or_nothing_of_a_source(world):
+    """Tools fail after calls were read: nothing of the log is stored."""
+    from dataclasses import replace
+
+    root, store, run, write, source = world
+    write("s.jsonl", said(1))
+
+    def broken(lines, **_):
+        rows = claude.normalise(lines)
+        return replace(rows, tools=rows.tools.selectExpr("*", "CAST(raise_error('no tools') AS STRING) AS x").where("x is null").drop("x").union(
+            rows.tools.sparkSession.createDataFrame([(None,) * 8], rows.tools.schema).selectExpr("*", "raise_error('no tools') AS x").drop("x").where("assert_true(false) is null")))
+
+    result = run([registry.LogSource("claude", source.roots, broken)])
+    assert "claude" in result.errors and store.read("calls").count() == 0 and store.read("file_state").count() == 0
+
+
+def test_two_writers_from_one_base_both_count(world, spark):
+    from spendloom.plans.store import OldBaseError
+
+    root, store, run, write, _ = world
+    write("s.jsonl", said(1))
+    run()
+    row = store.read("calls")
+    other = Store(spark, store.root)
+    base = store.version()
+    store.append({"calls": row.selectExpr("'a' AS session_uid", *row.columns[1:])})
+    other.append({"calls": row.selectExpr("'b' AS session_uid", *row.columns[1:])})
+    assert sorted(u for u, _ in keys(store)) == ["a", "b", "s"]
+    with pytest.raises(OldBaseError):
+        store.append({"calls": row}, after=base)
+    before = keys(store)
+    store.compact()
+    assert keys(store) == before and len(store._shown(None)) == 1
+    assert store.read("calls", base).count() == 1
+
+
+def test_an_appended_log_writes_its_own_rows_only(world):
+    root, store, run, write, _ = world
+    for i in range(50):
+        write(f"s{i}.jsonl", "".join(said(j) for j in range(20)))
+    run()
+    write("s7.jsonl", said(30), "a")
+    run()
+    newest = store.passes()[-1]["pass"]
+    assert store.deltas("calls").where(f"pass = '{newest}'").count() <= 21
 
 
 def test_gemini_project_side_file(spark, lines_of):

@@ -84,18 +84,20 @@ def test_numbered_is_the_order(spark):
 # ---------------------------------------------------------------- pricing
 
 
-def test_both_price_strategies_agree(spark, sf):
+def test_keys_given_twice_price_a_call_once(spark, sf):
+    """Of several prices for one source and key the last holds, and no call is multiplied."""
     calls = fx.unpriced_calls(spark, sf)
-    small = pricing.PriceList(fx.prices(spark))
-    large = pricing.PriceList(fx.prices(spark))
-    large.small = False
-    a = pricing.price_calls(calls, small).select("call_key", "cost_usd", "priced").collect()
-    b = pricing.price_calls(calls, large).select("call_key", "cost_usd", "priced").collect()
-    assert sorted(a) == sorted(b) and len(a) == calls.count()
+    first = [(k, s, 99, 99, 99, 99, [(1, 98, 98, 98, 98)]) for k, s, *_ in fx.PRICE_ROWS]
+    twice = pricing.price_calls(calls, pricing.PriceList.of(spark, [*first, *fx.PRICE_ROWS]))
+    once = pricing.price_calls(calls, fx.price_list(spark))
+    columns = ["call_key", "cost_usd", "priced"]
+    got = twice.select(columns).collect()
+    assert sorted(got) == sorted(once.select(columns).collect()) and len(got) == calls.count()
 
 
 def call_frame(spark, rows):
-    cols = "model STRING, input_tokens BIGINT, billable_output_tokens BIGINT, cache_read_tokens BIGINT, cache_write_tokens BIGINT, cache_write_1h_tokens BIGINT"
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    cols = "model STRING, input_tokens BIGINT, billable_output_tokens BIGINT, cache_read_tokens BIGINT, cache_write_tokens BIGINT, cache_write_1h_tokens BIGINT, n INT"
     return spark.createDataFrame(rows, cols)
 
 
@@ -108,11 +110,12 @@ def test_tiers_one_hour_writes_and_precedence(spark):
     got = pricing.price_calls(call_frame(spark, [
         ("m", 199, 1, 0, 0, 0), ("m", 100, 1, 50, 50, 0), ("v/M-20260101", 300, 1, 0, 0, 0), ("m", 0, 0, 0, 100, 500),
         ("m2", 1, 0, 0, 0, 0), ("x/gpt-5-mini-high", 1, 0, 0, 0, 0), ("gpt-5-big", 1, 0, 0, 0, 0), ("zz", 1, 0, 0, 0, 0), ("", 1, 0, 0, 0, 0),
-        ("m", 10**15, 0, 0, 0, 0),
+        ("m", 10**15, 0, 0, 0, 0), ("m2", 2 * 10**9 + 1, 0, 0, 0, 0),
     ]), pricing.PriceList(table)).collect()
+    got.sort(key=lambda r: r.n)
     micro = [round(float(r.cost_usd) * 1e6, 6) for r in got]
-    assert micro == [209.0, 100 * 2 + 20 + 10 + 125, 1240.0, 200.0, 7.0, 2.0, 1.0, 0.0, 0.0, 4e15]
-    assert [r.priced for r in got] == [True] * 7 + [False, False, True]
+    assert micro == [209.0, 100 * 2 + 20 + 10 + 125, 1240.0, 200.0, 7.0, 2.0, 1.0, 0.0, 0.0, 4e15, 14000000007.0]
+    assert [r.priced for r in got] == [True] * 7 + [False, False, True, True]
 
 
 def test_catalogue_free_variant_and_tiers(spark, tmp_path):

@@ -55,7 +55,7 @@ def test_upserts_into_the_store(spark, calls, tmp_path):
     """Late and repeated rows are merged; a second run over the same checkpoint adds nothing."""
     folder = tmp_path / "in"
     land(calls, folder, ["call_key like '%1'"])
-    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    store = Store(spark, str(tmp_path / "store"))
 
     def once():
         stream = live.read_landed(spark, str(folder), fx_schema())
