@@ -216,7 +216,7 @@ def monthly(calls: DataFrame) -> DataFrame:
 
 
 def model_legend(calls: DataFrame) -> DataFrame:
-    """Models by cost over all days, dearest first, with their position."""
+    """Models by cost over all days, dearest first."""
     table = calls.filter("model != ''").groupBy("model").agg(zero_sum("cost_usd").alias("cost_usd"))
     return table.orderBy(F.desc("cost_usd"), "model")
 
@@ -238,6 +238,7 @@ def burn_windows(calls: DataFrame, now: Column) -> DataFrame:
     month = F.trunc(today, "MM")
     before = F.add_months(month, -1)
     spans = []
+    # The labels.
     for label, prior, n in [
         ("Today", "Yesterday", 1),
         ("Last 7 days", "the 7 days before", 7),

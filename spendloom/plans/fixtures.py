@@ -1,7 +1,7 @@
 """The driver's tables seen as usage data.
 
-Every view is a projection of a whole table: nothing is sampled or left out, so
-work over the views grows with the tables.
+Every view here is a projection of a whole table: nothing is sampled or left out,
+so work over the views grows with the tables.
 """
 
 from __future__ import annotations

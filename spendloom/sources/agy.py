@@ -62,6 +62,7 @@ MODEL_LABELS = {
     1417: "Gemini 4 Argon (High)",
     1418: "Gemini 4 Argon (Medium)",
 }
+# Fixed value: what an id without a label is called, before the id.
 UNKNOWN_LABEL = "Antigravity Model "
 
 STEPS = "conversation STRING, idx BIGINT, step_type INT, status INT, metadata BINARY, step_payload BINARY"

@@ -58,27 +58,27 @@ CONTEXT = {"type": "turn_context", "payload": {"model": "gpt-5.4"}}
 @pytest.mark.parametrize("chunk", [1, 2, 1000])
 def test_codex_differences_totals(lines_of, chunk):
     rows = codex.normalise(
-        lines_of(log(META, CONTEXT, totals(13601, 9984, 72, 0), totals(33572, 23040, 139, 0), totals(56954, 42240, 274, 14))),
+        lines_of(log(META, CONTEXT, totals(1000, 400, 50, 0), totals(2700, 1100, 130, 20), totals(5400, 2600, 330, 75))),
         rows_per_chunk=chunk,
     ).calls.orderBy("call_key").collect()
     got = [(r.input_tokens, r.cache_read_tokens, r.output_tokens, r.reasoning_tokens) for r in rows]
-    assert got == [(6915, 13056, 67, 0), (4182, 19200, 135, 14)]
+    assert got == [(1000, 700, 80, 20), (1200, 1500, 200, 55)]
     assert {(r.session_uid, r.project, r.model) for r in rows} == {("sid", "/w", "gpt-5.4")}
 
 
 def test_codex_per_call_block_wins_also_when_zero(lines_of):
-    last = {"input_tokens": 200, "cached_input_tokens": 0, "output_tokens": 30, "reasoning_output_tokens": 0}
-    first = {"input_tokens": 45210, "cached_input_tokens": 40000, "output_tokens": 918, "reasoning_output_tokens": 640}
-    rows = codex.normalise(lines_of(log(META, CONTEXT, totals(45210, 40000, 918, 640, first), totals(45410, 40000, 948, 700, last)))).calls
+    last = {"input_tokens": 300, "cached_input_tokens": 0, "output_tokens": 41, "reasoning_output_tokens": 0}
+    first = {"input_tokens": 8100, "cached_input_tokens": 6000, "output_tokens": 77, "reasoning_output_tokens": 31}
+    rows = codex.normalise(lines_of(log(META, CONTEXT, totals(8100, 6000, 77, 31, first), totals(8400, 6000, 118, 52, last)))).calls
     a, b = rows.orderBy("call_key").collect()
-    assert (a.input_tokens, a.cache_read_tokens, a.output_tokens, a.reasoning_tokens) == (5210, 40000, 918, 640)
-    assert (b.input_tokens, b.cache_read_tokens, b.reasoning_tokens) == (200, 0, 0)
+    assert (a.input_tokens, a.cache_read_tokens, a.output_tokens, a.reasoning_tokens) == (2100, 6000, 77, 31)
+    assert (b.input_tokens, b.cache_read_tokens, b.reasoning_tokens) == (300, 0, 0)
 
 
 def test_codex_reset_is_kept_unpriced(spark, lines_of):
-    rows = codex.normalise(lines_of(log(META, CONTEXT, totals(90000, 0, 10, 0), totals(94000, 0, 20, 0), totals(3100, 0, 5, 0), totals(3300, 0, 9, 0)))).calls
+    rows = codex.normalise(lines_of(log(META, CONTEXT, totals(700, 0, 10, 0), totals(1900, 0, 20, 0), totals(250, 0, 5, 0), totals(410, 0, 9, 0)))).calls
     priced = price_calls(rows, PriceList(builtin_prices(spark))).orderBy("call_key").collect()
-    assert [(r.input_tokens, r.priced) for r in priced] == [(4000, True), (0, False), (200, True)]
+    assert [(r.input_tokens, r.priced) for r in priced] == [(1200, True), (0, False), (160, True)]
     assert priced[1].cost_usd == 0
 
 
@@ -210,7 +210,7 @@ def test_gemini_input_includes_the_cache(lines_of):
 def test_opencode_total_and_late_part(spark):
     sess = spark.createDataFrame([("s1", "/w/app", None, "build", '{"id":"gpt-5.4"}', 1, 9)],
                                  "id STRING, directory STRING, title STRING, agent STRING, model STRING, time_created BIGINT, time_updated BIGINT")
-    data = {"role": "assistant", "tokens": {"input": 24000, "output": 4210, "reasoning": 1895, "cache": {"read": 18000, "write": 1200}},
+    data = {"role": "assistant", "tokens": {"input": 7300, "output": 1210, "reasoning": 530, "cache": {"read": 4100, "write": 640}},
             "time": {"completed": 1767225605000}, "content": [{"type": "tool", "name": "inline"}]}
     msg = spark.createDataFrame([("m1", "s1", 1767225600000, 10, json.dumps(data)), ("m2", "s1", 1767225600000, 10, "broken")],
                                 "id STRING, session_id STRING, time_created BIGINT, time_updated BIGINT, data STRING")
@@ -220,7 +220,7 @@ def test_opencode_total_and_late_part(spark):
     ], "id STRING, message_id STRING, session_id STRING, time_updated BIGINT, data STRING")
     rows = opencode.normalise({"session": sess, "message": msg, "part": part})
     (call,) = rows.calls.collect()
-    assert (call.total_tokens, call.billable_output_tokens, call.llm_seconds, call.model) == (49305, 6105, 5.0, "gpt-5.4")
+    assert (call.total_tokens, call.billable_output_tokens, call.llm_seconds, call.model) == (13780, 1740, 5.0, "gpt-5.4")
     (tool,) = rows.tools.collect()
     assert (tool.call_key, tool.tool, tool.seconds) == ("part:p1", "bash", 2.0)
     assert rows.identities.first().title == "app"
