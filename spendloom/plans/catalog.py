@@ -62,9 +62,9 @@ def complete_lines(spark, sf):
 
 
 def all_lines(spark, sf):
-    out = logs.pi_lines(spark, sf)
+    out = logs.pi_lines(spark, sf, dealt=True)
     for more in (logs.claude_lines, logs.codex_lines, logs.gemini_lines):
-        out = out.unionByName(more(spark, sf))
+        out = out.unionByName(more(spark, sf, dealt=True))
     return out
 
 
@@ -344,8 +344,8 @@ def tool_pairing(spark, sf):
 @query
 def session_identity(spark, sf):
     parts = [
-        pi.normalise(logs.pi_lines(spark, sf)), claude.normalise(logs.claude_lines(spark, sf)),
-        codex.normalise(logs.codex_lines(spark, sf)), gemini.normalise(logs.gemini_lines(spark, sf)),
+        pi.normalise(logs.pi_lines(spark, sf, dealt=True)), claude.normalise(logs.claude_lines(spark, sf, dealt=True)),
+        codex.normalise(logs.codex_lines(spark, sf, dealt=True)), gemini.normalise(logs.gemini_lines(spark, sf, dealt=True)),
     ]
     out = parts[0].identities
     for p in parts[1:]:

@@ -16,7 +16,7 @@ from ..functions import fields
 from .fixtures import MODELS, table
 
 START = 1704067200
-# Which agent writes a conversation: conv_id % 4.
+# Every format writes every conversation; where they are dealt out among the agents, by conv_id % 4.
 CLAUDE, CODEX, GEMINI, PI = 0, 1, 2, 3
 LINES_PER_TURN = 4
 
@@ -68,7 +68,7 @@ def _cwd() -> Column:
     return F.concat(F.lit("/w/"), F.col("c") % 5)
 
 
-def pi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pi_lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     c, n, l, t = (F.col(x) for x in "cnlt")
     said = F.col("role") == "assistant"
     header = _obj(
@@ -119,14 +119,14 @@ def pi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             )),
         ),
     )
-    return _lines(turns(spark, sf_dir, PI), "pi", [
+    return _lines(turns(spark, sf_dir, PI if dealt else None), "pi", [
         F.when(n == 0, F.to_json(header)),
         F.when(said, F.to_json(answer)).otherwise(F.to_json(asked)),
         F.when(said, F.to_json(result)),
     ])
 
 
-def claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claude_lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     c, n, l, t = (F.col(x) for x in "cnlt")
     said = F.col("role") == "assistant"
     asked = _obj(
@@ -164,14 +164,14 @@ def claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             is_error=l % 3 == 0,
         ))),
     )
-    return _lines(turns(spark, sf_dir, CLAUDE), "claude", [
+    return _lines(turns(spark, sf_dir, CLAUDE if dealt else None), "claude", [
         F.when(said, block(0, l % 50 + 1, l % 9 == 0, thinking)).otherwise(F.to_json(asked)),
         F.when(said, block(2, l % 2000 + 1, F.lit(False), use)),
         F.when(said, F.to_json(result)),
     ])
 
 
-def codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codex_lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     c, n, l, t = (F.col(x) for x in "cnlt")
     meta = _obj(type=F.lit("session_meta"), timestamp=_iso(t - 5), payload=_obj(id=F.concat(F.lit("cx-"), c), cwd=_cwd()))
     context = _obj(type=F.lit("turn_context"), timestamp=_iso(t - 4), payload=_obj(model=_model(c)))
@@ -197,14 +197,14 @@ def codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             info=_obj(total_token_usage=total, last_token_usage=_when(l % 3 == 0, last)),
         ),
     )
-    return _lines(turns(spark, sf_dir, CODEX), "codex", [
+    return _lines(turns(spark, sf_dir, CODEX if dealt else None), "codex", [
         F.when(n == 0, F.to_json(meta)),
         F.when(n == F.when(c % 3 == 0, 2).otherwise(0), F.to_json(context)),
         F.to_json(event),
     ])
 
 
-def gemini_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gemini_lines(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     c, n, l, t = (F.col(x) for x in "cnlt")
     header = _obj(sessionId=F.concat(F.lit("gm-"), c), startTime=_iso(t - 5))
     asked = _obj(type=F.col("role"), id=F.concat(F.lit("q"), n), timestamp=_iso(t), text=F.col("text"))
@@ -216,7 +216,7 @@ def gemini_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )),
         toolCalls=F.array(_obj(name=F.concat(F.lit("tool"), l % 25)), _obj(name=F.lit(None).cast("string"))),
     )
-    return _lines(turns(spark, sf_dir, GEMINI), "gemini", [
+    return _lines(turns(spark, sf_dir, GEMINI if dealt else None), "gemini", [
         F.when(n == 0, F.to_json(header)),
         F.when(F.col("role") == "assistant", F.to_json(answer)).otherwise(F.to_json(asked)),
     ])

@@ -426,7 +426,7 @@ kept AS (SELECT * FROM parsed s WHERE NOT ({sized}) OR input_tokens + output_tok
 
 
 ORACLE["ingest_pi"] = _ingest(f"""
-s AS (SELECT * FROM cv WHERE c % 4 = 3),
+s AS (SELECT * FROM cv),
 e AS (SELECT c, n * 4 + 1 AS ord, CASE role WHEN 'assistant' THEN 'call' WHEN 'user' THEN 'ask' END AS kind, t, n, l, role FROM s
   UNION ALL SELECT c, n * 4 + 2, 'ask', t + 3, n, l, 'tool' FROM s WHERE role = 'assistant'),
 {_asked('e')},
@@ -441,11 +441,11 @@ parsed AS (SELECT 'pi-' || c AS session_uid, CASE WHEN n % 5 <> 3 THEN 'msg:' ||
 
 ORACLE["ingest_pi_tools"] = f"""WITH {CONV} SELECT 'pi-' || c AS session_uid, 't' || (n * 4 + 2) || '-0' AS call_key, 'pi' AS agent,
     '/w/' || (c % 5) AS project, CASE WHEN l % 5 = 0 THEN 'tool' ELSE 'tool' || (l % 25) END AS tool, t + 3 AS ts,
-    (l % 4000)::DOUBLE / 1000 AS seconds, l % 3 = 0 AS is_error FROM cv WHERE c % 4 = 3 AND role = 'assistant'"""
+    (l % 4000)::DOUBLE / 1000 AS seconds, l % 3 = 0 AS is_error FROM cv WHERE role = 'assistant'"""
 
 # In a claude log a turn without message id makes two calls, one per line.
 CLAUDE = f"""
-s AS (SELECT *, role = 'assistant' AND l % 13 <> 0 AS used, n % 6 <> 5 AS has_id, l % 9 = 0 AS empty FROM cv WHERE c % 4 = 0),
+s AS (SELECT *, role = 'assistant' AND l % 13 <> 0 AS used, n % 6 <> 5 AS has_id, l % 9 = 0 AS empty FROM cv),
 e AS (SELECT c, n * 4 AS ord, CASE WHEN used THEN 'call' WHEN role = 'user' THEN 'ask' END AS kind, t, n, l, text, has_id, empty, 0 AS line, role FROM s
   UNION ALL SELECT c, n * 4 + 1, CASE WHEN used AND (empty OR NOT has_id) THEN 'call' END, t + 2, n, l, text, has_id, empty, 1, role FROM s WHERE role = 'assistant' AND used
   UNION ALL SELECT c, n * 4 + 2, 'ask', t + 5, n, l, text, has_id, empty, 2, role FROM s WHERE role = 'assistant'),
@@ -464,7 +464,7 @@ parsed AS (SELECT 'conv' || c AS session_uid, CASE WHEN has_id THEN 'msg:m' || c
   CASE WHEN inst - pending BETWEEN 1 AND 599 THEN (inst - pending)::DOUBLE ELSE 0 END AS llm_seconds FROM folded)""")
 ORACLE["fold_blocks"] = f"""WITH {CONV},{CLAUDE} SELECT CASE WHEN has_id THEN 'm' || c || '-' || n END AS message_id, {_model_at('l')} AS model,
     l AS input, gen AS generated, (l * 31) % 7000 AS cache_read, l % 97 AS cache_write, l % 60 AS cache_write_1h, think AS reasoning FROM folded"""
-ORACLE["tool_pairing"] = f"""WITH {CONV}, s AS (SELECT * FROM cv WHERE c % 4 = 0 AND role = 'assistant'),
+ORACLE["tool_pairing"] = f"""WITH {CONV}, s AS (SELECT * FROM cv WHERE role = 'assistant'),
 u AS (SELECT c, n, l, 'u' || n AS id, t + 2 AS us, 'tool' || (l % 25) AS name FROM s WHERE l % 13 <> 0),
 r AS (SELECT c, n, l, CASE WHEN l % 8 = 0 THEN 'old' || n ELSE 'u' || n END AS id, t + 5 AS us, l % 3 = 0 AS bad FROM s)
 SELECT 'conv' || coalesce(u.c, r.c) AS session_uid, 'tool:' || coalesce(u.id, r.id) AS call_key, 'claude' AS agent,
@@ -473,7 +473,7 @@ SELECT 'conv' || coalesce(u.c, r.c) AS session_uid, 'tool:' || coalesce(u.id, r.
 FROM u FULL JOIN r ON u.c = r.c AND u.id = r.id"""
 
 CODEX = f"""
-s AS (SELECT *, CASE WHEN c % 5 = 0 AND n >= 3 THEN n - 2 ELSE n + 1 END AS k, l % 3 = 0 AS stated FROM cv WHERE c % 4 = 1),
+s AS (SELECT *, CASE WHEN c % 5 = 0 AND n >= 3 THEN n - 2 ELSE n + 1 END AS k, l % 3 = 0 AS stated FROM cv),
 tot AS (SELECT *, k * 700 + l % 600 AS a, k * 300 + l % 200 AS b, k * 100 + l % 90 AS g, k * 40 + l % 30 AS h FROM s),
 d AS (SELECT *, CASE WHEN stated THEN l % 500 ELSE a - lag(a) OVER w END AS da, CASE WHEN stated THEN 0 ELSE b - lag(b) OVER w END AS db,
   CASE WHEN stated THEN l % 80 ELSE g - lag(g) OVER w END AS dg,
@@ -488,7 +488,7 @@ parsed AS (SELECT 'cx-' || c AS session_uid, 'n' || (n * 4 + 2) AS call_key, 'co
 ORACLE["ingest_codex"] = _ingest(CODEX, sized="s.sized")
 
 ORACLE["ingest_gemini"] = _ingest(f"""
-s AS (SELECT *, role = 'assistant' AND l % 10 <> 0 AS used FROM cv WHERE c % 4 = 2),
+s AS (SELECT *, role = 'assistant' AND l % 10 <> 0 AS used FROM cv),
 e AS (SELECT c, n AS ord, CASE WHEN used THEN 'call' WHEN role = 'user' THEN 'ask' END AS kind, t AS inst,
   CASE WHEN used OR role = 'user' THEN t END AS t, n, l, used FROM s),
 {_asked('e')},
@@ -499,7 +499,7 @@ parsed AS (SELECT 'gm-' || c AS session_uid, CASE WHEN n % 5 <> 3 THEN 'msg:g' |
   CASE WHEN t - pending BETWEEN 1 AND 299 THEN (t - pending)::DOUBLE ELSE 0 END AS llm_seconds FROM asked WHERE used)""")
 ORACLE["ingest_gemini_tools"] = f"""WITH {CONV} SELECT 'gm-' || c AS session_uid, 't' || (n * 4 + 1) || '-' || p AS call_key, 'gemini' AS agent,
     'proj' || (c % 5) AS project, CASE p WHEN 0 THEN 'tool' || (l % 25) ELSE 'tool' END AS tool, t AS ts, 0::DOUBLE AS seconds, FALSE AS is_error
-FROM cv, (VALUES (0), (1)) AS v(p) WHERE c % 4 = 2 AND role = 'assistant' AND l % 10 <> 0"""
+FROM cv, (VALUES (0), (1)) AS v(p) WHERE role = 'assistant' AND l % 10 <> 0"""
 
 # Which generation a message comes from: the newest one that has it.
 OPENCODE = """
