@@ -43,41 +43,40 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fingerprint_of(df: DataFrame) -> tuple:
-    """Row count and an order-free hash sum, to see whether two tables hold the same rows."""
-    hashed = F.xxhash64(*df.columns).cast("decimal(20,0)")
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(hashed)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges(u, v)`` is either a centre or has exactly one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    counts = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return counts.where("out > 1 OR (out > 0 AND into > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as rows ``(node, component)``, the smallest node naming each.
 
-    Alternates the large-star and small-star steps: every node hands its larger
-    neighbours, then its smaller ones, to its smallest neighbour. Each step is a
-    grouping with map-side minimum and an equi-join, and the edges of one round
-    are a stored table, so neither depth nor a hot node gathers in one task.
+    Alternates the large-star and small-star steps until only stars are left:
+    every node hands its larger neighbours, then its smaller ones, to its
+    smallest neighbour. Each step is a grouping with map-side minimum and an
+    equi-join, and the edges of one round are a stored table, so neither depth
+    nor a hot node gathers in one task.
     """
     now = store(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = fingerprint_of(now)
-    while seen[0]:
+    while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = store(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = store(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        now = store(
             large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             .where("u <> v").distinct()
         )
-        now = store(small)
-        before, seen = seen, fingerprint_of(now)
-        if before == seen:
-            break
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
 def keep_documents(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,9 +6,10 @@
 2. Texts with equal shingle sets are one class, of which one representative goes on.
 3. Every bucket is a star: its smallest member against each other one. Pairs
    grow with the members, not with their square.
-4. What a star left apart is then compared inside its bucket, but only across
-   different components and only where the distances to the centre allow a link
-   (the Jaccard distance is a metric), so no link of a bucket is lost.
+4. Where a star left several components in a bucket, its documents are paired
+   again by their rarest shingles (prefix filter), which two that link must
+   share, and compared across components until none is left out. So no link of a
+   bucket is lost, and a passage that many documents share pairs none of them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ BANDS, ROWS = 30, 4
 #: Links need 100 * intersection >= THRESHOLD * union. At 75 a link misses all 30 buckets of 4 bins once in 90,000 times.
 THRESHOLD = 75
 #: Members of one star that a task verifies against its centre.
-STAR_SHARE = 2000
+STAR_SHARE = 250
+#: Documents and shingles of a block that the rest of its family is looked up in, and documents of a share of the family.
+BLOCK_DOCS, BLOCK_SHINGLES, SHARE_DOCS = 256, 200_000, 2000
+#: Cells of the table of counts that orders shingles by rarity.
+CELLS = 1 << 18
 _ORDERS: dict[int, np.ndarray] = {}
 
 
@@ -93,37 +98,28 @@ def sketches(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, keys ARRAY<BIGINT>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Exact sizes for ``pairs(a, b)``: rows (a, b, both, na, nb).
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, hashes) of the documents in ``ids(id)``; a set is its sorted hashes as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _pieces(batch):
+                sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
+
+    wanted = docs.join(ids.hint("merge"), docs.doc_id == ids.id).select("id", "text")
+    return store(wanted.mapInArrow(run, "id BIGINT, hashes BINARY").dropDuplicates(["id"]))
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact sizes for ``pairs(a, b)``: rows (a, b, both, na, nb). ``a`` is the centre of its star.
 
-    Each text is joined once to the list of stars it takes part in, becomes its
-    shingle set in the task, and is sent to its stars. A star with many members
-    is cut into shares that each get the centre's set, so none is one task.
+    A star with many members is cut into shares that each get the centre's set,
+    so none is one task's work; a task holds one centre at a time.
     """
-    share = F.pmod(F.xxhash64("b"), F.lit(1 << 30))
     sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_SHARE).alias("shares")), "a")
-    placed = store(sized.select("a", "b", F.pmod(share, "shares").cast("int").alias("share")))
-    roles = (
-        placed.select(F.col("b").alias("id"), F.struct("a", "share", F.lit(1).alias("role")).alias("seat"))
-        .union(placed.select("a", "share").distinct().select(F.col("a").alias("id"), F.struct("a", "share", F.lit(0).alias("role"))))
-        .groupBy("id").agg(F.collect_list("seat").alias("seats"))
-    )
-    out = pa.schema([("a", pa.int64()), ("share", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("hashes", pa.binary())])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _pieces(batch, 100):
-                rows, held = [], 0
-                for ident, seats, text in zip(*(part.column(c) for c in ("id", "seats", "text")), strict=True):
-                    data = shingle_set(text.as_py(), width).tobytes()
-                    for seat in seats.as_py():
-                        rows.append({**seat, "id": ident.as_py(), "hashes": data})
-                        held += len(data)
-                        if held > 1 << 23:
-                            yield pa.RecordBatch.from_pylist(rows, out)
-                            rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, out)
+    placed = store(sized.select("a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share")))
+    seats = placed.select(F.col("b").alias("id"), "a", "share", F.lit(1).alias("role")).union(
+        placed.select(F.col("a").alias("id"), "a", "share", F.lit(0).alias("role")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, centre = None, None
@@ -140,14 +136,148 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "both", "na", "nb"])
 
-    seated = (
-        docs.join(roles, docs.doc_id == roles.id).select("id", "seats", "text")
-        .mapInArrow(sets, "a BIGINT, share INT, role INT, id BIGINT, hashes BINARY")
-    )
-    ordered = seated.repartition("a", "share").sortWithinPartitions("a", "share", "role")
+    ordered = sets.join(seats.hint("merge"), "id").repartition("a", "share").sortWithinPartitions("a", "share", "role")
     return store(ordered.mapInArrow(compare, "a BIGINT, b BIGINT, both BIGINT, na BIGINT, nb BIGINT"))
 
 
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found(node, component)`` after ``links(a, b)`` join components; nodes without a row are their own."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    every = store(found.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
+    x, y = every.select(F.col("node").alias("a"), F.col("component").alias("ca")), every.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    over = components(links.join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    new = over.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return store(every.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(key, rep, n_shingles): the rarest shingles of every set, enough that two sets that link share one.
+
+    Sets that link share at least the threshold's part of each, so in any one
+    order of all shingles the first n - ceil(part * n) + 1 of both have one in
+    common. The order is by how often a cell of a fixed table of counts was hit,
+    then by hash: what many documents share comes last and is no key.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for data in batch.column("hashes"):
+                np.add.at(cells, (np.frombuffer(data.as_buffer(), U) % U(CELLS)).astype(np.int64), 1)
+        hit = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(cells[hit])], names=["cell", "n"])
+
+    table = np.zeros(CELLS, np.int64)
+    for cell, n in sets.select("hashes").mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[cell] = n
+    seen = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                keys, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for ident, data in zip(part.column("id").to_pylist(), part.column("hashes"), strict=True):
+                    values = np.frombuffer(data.as_buffer(), U)
+                    n = len(values)
+                    order = np.lexsort((values, seen.value[(values % U(CELLS)).astype(np.int64)]))
+                    first = values[order[: n - -(-threshold * n // 100) + 1]].view(np.int64)
+                    keys.append(first)
+                    ids.append(np.full(len(first), ident))
+                    sizes.append(np.full(len(first), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (keys, ids, sizes)], names=["key", "rep", "n_shingles"])
+
+    return sets.mapInArrow(run, "key BIGINT, rep BIGINT, n_shingles BIGINT")
+
+
+def _more_links(members: DataFrame, seen: DataFrame, found: DataFrame, sets: DataFrame,
+                threshold: int) -> tuple[DataFrame, DataFrame]:
+    """All links, and components, after looking into buckets that the first stars left in several components.
+
+    The documents of such buckets are brought together anew by their rarest
+    shingles, which two that link must share, and looked up in blocks. Left out
+    are only pairs of one component already.
+    """
+    is_link = F.expr(f"100 * both >= {int(threshold)} * (na + nb - both)")
+    links = seen.where(is_link).select("a", "b")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        label = found.select(F.col("node").alias("rep"), F.col("component"))
+        return rows.join(label, "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+
+    apart = labelled(members)
+    unsure = store(apart.join(mixed(apart), "key", "left_semi").select(F.col("rep").alias("id")).distinct())
+    if unsure.isEmpty():
+        return links, found
+    sets = store(sets.join(unsure, "id", "left_semi"))
+    rows = labelled(store(_prefixes(sets, threshold)))
+    more = _block_links(sets, store(rows.join(mixed(rows), "key", "left_semi")), threshold)
+    if more.isEmpty():
+        return links, found
+    return links.union(more), _merged(found, more)
+
+
+def _block_links(sets: DataFrame, now: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) across components among the documents of ``now(key, rep, n_shingles, comp)``.
+
+    Documents that keys connect are a family. Those outside its largest component
+    are looked up against all of it: in blocks of bounded size, each with an
+    index of its shingles, past which shares of the family stream. Only links
+    become rows, never the pairs looked at.
+    """
+    least = now.groupBy("key").agg(F.min("rep").alias("b"))
+    family = components(now.join(least, "key").select(F.col("rep").alias("a"), "b").distinct())
+    each = store(now.select("rep", "n_shingles", "comp").distinct().join(family.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep", "left")
+                 .withColumn("family", F.coalesce("family", "rep")))
+    main = each.groupBy("family", "comp").count().groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    sided = store(each.join(main, "family").withColumn("minor", F.col("comp") != F.col("main")))
+    size = sided.groupBy("family").agg(
+        F.ceil(F.greatest(F.sum(F.col("minor").cast("long")) / BLOCK_DOCS, F.sum(F.when(F.col("minor"), F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.ceil(F.count(F.lit(1)) / SHARE_DOCS).cast("int").alias("shares"))
+    dealt = sided.join(size.where("blocks > 0"), "family")
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    seats = dealt.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own("shares").alias("share"), F.lit(1).alias("role"), F.col("rep").alias("id"), "comp").union(
+        dealt.where("minor").select("family", own("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0), "rep", "comp"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, index, held = None, None, []
+        for batch in batches:
+            names = ("family", "block", "share", "role", "id", "comp")
+            data = batch.column("hashes")
+            a, b = [], []
+            for i, (fam, block, share, role, ident, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                values = np.frombuffer(data[i].as_buffer(), U)
+                if unit != (fam, block, share):
+                    unit, index, held = (fam, block, share), None, []
+                if role == 0:
+                    held.append((ident, comp, values.copy()))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    every = np.concatenate([v for _, _, v in held])
+                    order = np.argsort(every, kind="stable")
+                    owner = np.repeat(np.arange(len(held)), [len(v) for _, _, v in held])[order]
+                    index = (every[order], owner, np.array([len(v) for _, _, v in held]), [h[1] for h in held])
+                every, owner, sizes, comps = index
+                low, high = np.searchsorted(every, values, "left"), np.searchsorted(every, values, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sizes))
+                for j in np.flatnonzero(100 * both >= threshold * (sizes + len(values) - both)).tolist():
+                    if comps[j] != comp:
+                        a.append(held[j][0])
+                        b.append(ident)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    unit = ["family", "block", "share"]
+    ordered = sets.join(seats, "id").repartition(*unit).sortWithinPartitions(*unit, "role")
+    got = ordered.mapInArrow(look, "a BIGINT, b BIGINT")
+    return store(got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
                 threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """Every document's class of near duplicates: doc_id, n_shingles, component_id, kept, n_links.
@@ -170,37 +300,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     stars = placed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = store(placed.join(store(stars.select("key", "centre")), "key").select("key", "centre", "rep", "n_shingles"))
+    sets = shingle_sets(base, members.select(F.col("rep").alias("id")).distinct(), width)
     first = store(members.where("centre <> rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    seen = verified(base, first, width)
-    is_link = F.expr(f"100 * both >= {int(threshold)} * (na + nb - both)")
-    links = seen.where(is_link).select("a", "b")
-    found = store(components(links))
-
-    # Members that their star left outside its component, against the others of the bucket.
-    far = (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far")
-    apart = seen.select(F.col("a").alias("centre"), F.col("b").alias("rep"), far)
-    label = found.select(F.col("node").alias("rep"), F.col("component"))
-    centre_label = found.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
-    detail = store(
-        members.join(apart, ["centre", "rep"], "left").join(label, "rep", "left").join(centre_label, "centre", "left")
-        .select("key", "rep", "n_shingles", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "rep").alias("comp"),
-                F.coalesce("centre_component", "centre").alias("centre_comp"), (F.col("rep") == F.col("centre")).alias("is_centre"))
-    )
-    minor = detail.where("comp <> centre_comp")
-    x, y = minor.alias("x"), detail.where("NOT is_centre").alias("y")
-    slack = (100 - threshold) / 100 + 1e-9
-    left = (
-        x.join(y, F.expr(
-            f"x.key = y.key AND x.comp <> y.comp AND abs(x.far - y.far) <= {slack}"
-            f" AND 100 * least(x.n_shingles, y.n_shingles) >= {int(threshold)} * greatest(x.n_shingles, y.n_shingles)"
-            " AND (y.comp = y.centre_comp OR x.rep < y.rep)"))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    )
-    second = store(left.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = verified(base, second, width).where(is_link).select("a", "b")
-        links = links.union(more)
-        found = store(components(links))
+    seen = verified(sets, first)
+    found = store(components(seen.where(F.expr(f"100 * both >= {int(threshold)} * (na + nb - both)")).select("a", "b")))
+    links, found = _more_links(members, seen, found, sets, threshold)
+    links = store(links)
     degree = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
     named = store(
         classes.select("h1", "h2", "n_shingles", "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -209,7 +314,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     one_each = every.select("doc_id", "n_shingles", "h1", "h2").distinct()
     lone = F.col("n_shingles") == 0
-    component = F.when(lone | F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    component = F.when(lone | F.col("component").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return one_each.join(named, ["h1", "h2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
