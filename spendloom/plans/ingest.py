@@ -13,6 +13,7 @@ from ..operators.pricing import PriceList, price_calls, reprice
 from ..operators.sessions import session_calls, sessions_rollup
 from ..session import cut_lineage
 from ..sources.common import Normalised
+from ..sources.lines import unreadable
 from ..sources.registry import LogSource
 from .store import TABLES, OldBaseError, Store
 
@@ -35,10 +36,6 @@ class _Read:
     actions: DataFrame
 
 
-# After this many files of a source failed by themselves, the rest is not tried in this pass.
-FAILURES_TRIED = 20
-
-
 def _read(source: LogSource, paths: list[str], picked: DataFrame, known: DataFrame, book: PriceList) -> _Read:
     """Rows and new file states of some logs, all of them written out before any is used."""
     lines = cut_lineage(source.lines(picked.sparkSession, paths))
@@ -54,27 +51,50 @@ def _read(source: LogSource, paths: list[str], picked: DataFrame, known: DataFra
     )
 
 
+def _told(error: Exception) -> str:
+    lines = str(error).splitlines()
+    return f"{type(error).__name__}: {lines[0] if lines else ''}"
+
+
 def _read_what_can_be(source: LogSource, paths: list[str], picked: DataFrame, known: DataFrame,
                       book: PriceList) -> tuple[list[_Read], list[tuple[str, str]]]:
-    """Read all logs at once; where that fails, halves, down to the files that fail by themselves."""
+    """Read all logs at once; what was read, and (path, error) of every log that fails by itself.
+
+    Where that fails, one job finds all logs that cannot be opened or read to
+    their end, and the others are read at once. If their rows fail, halves are
+    read, down to the logs that fail by themselves, however many they are. A
+    source that fails without a line gives no log.
+    """
+    spark = picked.sparkSession
     failed: list[tuple[str, str]] = []
 
-    def some(part: list[str]) -> list[_Read]:
-        if len(failed) >= FAILURES_TRIED:
-            failed.extend((p, "not tried after other failures") for p in part)
+    def some(part: list[str], error: Exception | None = None) -> list[_Read]:
+        if not part:
             return []
-        here = picked if len(part) == len(paths) else picked.join(
-            picked.sparkSession.createDataFrame([(p,) for p in part], "path STRING"), "path", "left_semi").select(*picked.columns)
-        try:
-            return [_read(source, part, here, known, book)]
-        except Exception as error:  # noqa: BLE001 - one bad log must not stop the rest
-            if len(part) == 1:
-                failed.append((part[0], f"{type(error).__name__}: {str(error).splitlines()[0]}"))
-                return []
-            half = len(part) // 2
-            return some(part[:half]) + some(part[half:])
-
-    return some(paths), failed
+        if error is None:
+            here = picked if len(part) == len(paths) else picked.join(
+                spark.createDataFrame([(p,) for p in part], "path STRING"), "path", "left_semi").select(*picked.columns)
+            try:
+                return [_read(source, part, here, known, book)]
+            except Exception as raised:  # noqa: BLE001 - one bad log must not stop the rest
+                error = raised
+        if len(part) == 1:
+            failed.append((part[0], _told(error)))
+            return []
+        half = len(part) // 2
+        return some(part[:half]) + some(part[half:])
+
+    try:
+        return [_read(source, paths, picked, known, book)], failed
+    except Exception as raised:  # noqa: BLE001
+        first = raised
+    bad = unreadable(spark, paths)
+    failed.extend(sorted(bad.items()))
+    try:
+        _read(source, [], picked.limit(0), known, book)
+    except Exception as raised:  # noqa: BLE001
+        return [], failed + [(p, _told(raised)) for p in paths if p not in bad]
+    return some([p for p in paths if p not in bad], None if bad else first), failed
 
 
 def run_pass(
@@ -88,9 +108,9 @@ def run_pass(
     """Read what changed, replace or append its sessions, flag vanished logs, record the status.
 
     All changed logs are read unless ``max_changed`` asks for fewer. A log that
-    fails is reported with its path and leaves the others alone; of a log either
-    everything is stored or nothing. A pass that finds nothing to do writes
-    nothing.
+    fails is reported with its path in ``failures`` and leaves the others alone,
+    and the next pass tries it again; of a log either everything is stored or
+    nothing. A pass that finds nothing to do writes nothing.
     """
     version = store.version()
     known = cut_lineage(store.read("file_state", version))
@@ -99,6 +119,8 @@ def run_pass(
     errors: dict[str, str] = {}
     parts: list[_Read] = []
     files: DataFrame | None = None
+    waiting: list[DataFrame] = []
+    unread: list[tuple[str, str, str]] = []
 
     def stacked(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -119,6 +141,8 @@ def run_pass(
             continue
         files = guess if files is None else files.unionByName(guess)
         parts += got
+        waiting.append(guess.filter(F.col("action").isin("append", "replace")).select("path").join(picked, "path", "left_anti"))
+        unread += [(path, source.agent, error) for path, error in failed]
         if failed:
             errors[source.agent] = f"{len(failed)} of {len(paths)} failed; first: {failed[0][0]}: {failed[0][1]}"
 
@@ -127,7 +151,12 @@ def run_pass(
     gone = cut_lineage(state.vanished(known.filter(F.col("agent").isin(whole)), listing))
     n_gone = gone.count()
     n_changed = sum(p.actions.count() for p in parts)
-    if n_changed == 0 and n_gone == 0 and not errors:
+    # A recorded failure stays only where this pass did not try the log again.
+    over = store.read("failures", version).filter(F.col("agent").isin(whole)).select("path")
+    if waiting:
+        over = over.join(stacked(waiting), "path", "left_anti")
+    over = cut_lineage(over)
+    if n_changed == 0 and n_gone == 0 and not errors and over.isEmpty():
         return PassResult(version, 0, 0, errors)
 
     changes: dict[str, DataFrame] = {}
@@ -150,6 +179,9 @@ def run_pass(
         changes["file_state"] = _file_rows(actions, identities, stamp)
     changes["identities"] = state.mark_orphaned(old.join(seen.distinct(), "uid", "left_semi"), gone, back)
     resets["file_state"] = gone.select("path")
+    resets["failures"] = over
+    if unread:
+        changes["failures"] = spark.createDataFrame(unread, "path STRING, agent STRING, error STRING").withColumn("failed_at", stamp)
 
     counted = spark.createDataFrame([], "agent STRING, calls BIGINT")
     if parts:

@@ -24,6 +24,7 @@ TABLES = {
     "identities": (["uid"], schemas.IDENTITIES, ["title"], ["project"]),
     "file_state": (["path"], schemas.FILE_STATE, [], []),
     "scan_status": (["agent"], schemas.SCAN_STATUS, [], []),
+    "failures": (["path"], schemas.FAILURES, [], []),
 }
 PASSES = "pass STRING, number BIGINT, base BIGINT"
 RESETS = "target STRING, key STRING, pass STRING"

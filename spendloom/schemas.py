@@ -50,6 +50,9 @@ SCAN_STATUS = """
     files_changed BIGINT, calls_ingested BIGINT, error STRING
 """
 
+# One row per log that the last pass which tried it could not read.
+FAILURES = "path STRING, agent STRING, error STRING, failed_at TIMESTAMP"
+
 # Rates are dollars per million tokens. A tier replaces all four from a prompt
 # size upward.
 PRICES = """

@@ -193,6 +193,37 @@ def _stream_lines(files: DataFrame) -> DataFrame:
     return rows.select(_plain_path(F.col("path")).alias("path"), "ordinal", F.col("raw").cast("string").alias("line"))
 
 
+def unreadable(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """The error of every file that cannot be opened or read to its end, found by one job.
+
+    A file system that is unknown to pyarrow says nothing about its files.
+    """
+
+    def probe(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    system, inner = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+                except Exception:  # noqa: BLE001
+                    continue
+                try:
+                    with system.open_input_stream(inner) as raw:
+                        while raw.read(1 << 20):
+                            pass
+                except Exception as error:  # noqa: BLE001 - told per file
+                    rows.append({"path": path, "error": f"{type(error).__name__}: {error}"})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    tasks = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    dealt = spark.createDataFrame([(p,) for p in files], "path STRING").repartition(tasks, "path")
+    return {r.path: r.error for r in dealt.mapInArrow(probe, "path STRING, error STRING").collect()}
+
+
 def _split_lines(split: DataFrame) -> DataFrame:
     """Number the lines of split text files and drop an unterminated last one.
 

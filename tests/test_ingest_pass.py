@@ -213,6 +213,49 @@ def test_a_failing_log_leaves_the_others_of_its_agent(world):
     assert run([source]).changed == 1 and len(keys(store)) == 5
 
 
+def test_any_number_of_unreadable_logs_leaves_the_others(world, spark):
+    """Logs gone since they were listed, more than a pass used to try and ahead of the good ones."""
+    root, store, run, write, source = world
+    for i in range(3):
+        write(f"s{i}.jsonl", said(i))
+    lost = [f"{root}/a{i:02d}.jsonl" for i in range(25)]
+    read = []
+
+    def counted(lines, **_):
+        read.append(1)
+        return claude.normalise(lines)
+
+    class Stale(registry.LogSource):
+        def files(self, spark):
+            rows = [(p, 10, NOW) for p in lost]
+            return super().files(spark).unionByName(spark.createDataFrame(rows, "path STRING, size BIGINT, mtime TIMESTAMP"))
+
+    result = run([Stale("claude", source.roots, counted)])
+    assert result.changed == 3 and "25 of 28 failed" in result.errors["claude"] and len(read) <= 3
+    assert sorted({u for u, _ in keys(store)}) == ["s0", "s1", "s2"]
+    assert sorted(r.path for r in store.read("failures").where("error LIKE '%FileNotFound%'").collect()) == lost
+    lost.clear()
+    assert run([source]).errors == {} and store.read("failures").count() == 0
+    assert store.read("scan_status").first().error == ""
+
+
+def test_any_number_of_logs_whose_rows_fail_leaves_the_others(spark, monkeypatch):
+    paths = [f"/none/{i:03d}" for i in range(100)]
+    bad = set(paths[:40]) | {paths[77]}
+
+    def read(source, part, *_):
+        if bad & set(part):
+            raise ValueError("rows")
+        return part
+
+    monkeypatch.setattr(ingest, "_read", read)
+    monkeypatch.setattr(ingest, "unreadable", lambda spark, files: {})
+    picked = spark.createDataFrame([(p,) for p in paths], "path STRING")
+    got, failed = ingest._read_what_can_be(None, paths, picked, None, None)
+    assert sorted(p for part in got for p in part) == sorted(set(paths) - bad)
+    assert sorted(failed) == [(p, "ValueError: rows") for p in sorted(bad)]
+
+
 def test_all_or_nothing_of_a_source(world):
     """Tools fail after calls were read: nothing of the log is stored."""
     from dataclasses import replace
