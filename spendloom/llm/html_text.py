@@ -33,7 +33,7 @@ ENDED_BY = {
 
 # What no article consists of: elements, roles, and words of class and id names.
 OUT_TAGS = {
-    "script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "button", "input", "select", "textarea",
+    "script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "label", "button", "input", "select", "textarea",
     "iframe", "svg", "math", "object", "embed", "canvas", "dialog", "menu", "audio", "video", "datalist",
 }
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
@@ -46,17 +46,25 @@ OUT_WORDS = {
 }
 #: Words that name the page's head, unless they are inside the article.
 HEAD_WORDS = {"header", "head"}
+#: Words before a hyphen that tell what a node has or lacks, not what it is.
+STATES = {"has", "with", "no", "without"}
+#: Names that hold even where most of the page's text is below them.
+REPLY_WORDS = {"comment", "comments", "disqus", "replies"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NEVER_OUT = {"html", "body", "main", "article"}
 #: A tag that the page breaks off in.
 UNFINISHED = re.compile(r"<[A-Za-z/][^<>]*\Z")
 
 
 def _words(names: str) -> set[str]:
-    """Each class or id name, and what stands before its first and behind its last hyphen or underscore."""
+    """Each class or id name, and what stands before its first and behind its last hyphen or underscore.
+
+    A name such as has-sidebar or no-banner is of something else than its node.
+    """
     found = set()
     for name in names.lower().split():
         parts = name.replace("_", "-").split("-")
-        found |= {name, parts[0], parts[-1]}
+        found |= {name} if len(parts) > 1 and parts[0] in STATES else {name, parts[0], parts[-1]}
     return found
 
 
@@ -66,6 +74,8 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.out, self.link, self.items = ["#root"], [-1], [False], [False], [[]]
+        #: The listed words a node is called by; they count only where ``settle`` finds no article below.
+        self.called: list[set[str]] = [set()]
         self.open = [0]
 
     def _inside_article(self) -> bool:
@@ -83,12 +93,46 @@ class _Tree(HTMLParser):
                 return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id") and value:
-                words = _words(value)
-                if words & OUT_WORDS or (words & HEAD_WORDS and not self._inside_article()):
-                    return True
         return False
 
+    def _called(self, attrs: list[tuple[str, str | None]]) -> set[str]:
+        words = set().union(*(_words(value) for name, value in attrs if name in ("class", "id") and value))
+        if words & HEAD_WORDS and not self._inside_article():
+            return words & (OUT_WORDS | HEAD_WORDS)
+        return words & OUT_WORDS
+
+    def settle(self) -> list[int]:
+        """Put out what is called by a listed word, except what holds the article; every node's own characters.
+
+        That is a node with the page's main in it, without one a node with all
+        its articles, or one with most of the body's characters that are no links.
+        """
+        n = len(self.tag)
+        own, plain, mains, articles = [0] * n, [0] * n, [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            if self.out[i]:
+                continue
+            own[i] = sum(len(" ".join(x.split())) for x in self.items[i] if isinstance(x, str))
+            if not self.link[i]:
+                plain[i] += own[i]
+            if not self.called[i]:
+                mains[i] += self.tag[i] == "main"
+                articles[i] += self.tag[i] == "article"
+            p = self.parent[i]
+            if p >= 0:
+                plain[p] += plain[i]
+                mains[p] += mains[i]
+                articles[p] += articles[i]
+        body = next((i for i in range(n) if self.tag[i] == "body"), 0)
+        for i in range(1, n):
+            if self.out[self.parent[i]]:
+                self.out[i] = True
+            elif self.called[i] and self.tag[i] not in NEVER_OUT:
+                most = 2 * plain[i] > plain[body] and not self.called[i] & REPLY_WORDS
+                self.out[i] = self.out[i] or not (most or mains[i] or (not mains[0] and 0 < articles[i] == articles[0]))
+        return own
+
+
     def _close_to(self, depth: int) -> None:
         del self.open[depth:]
 
@@ -117,6 +161,7 @@ class _Tree(HTMLParser):
         self.tag.append(tag)
         self.parent.append(parent)
         self.out.append(self.out[parent] or self._is_out(tag, attrs))
+        self.called.append(self._called(attrs))
         self.link.append(self.link[parent] or tag == "a")
         self.items.append([])
         self.items[parent].append(node)
@@ -153,25 +198,26 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: floa
 def main_blocks(html: str | None) -> list[str]:
     """The blocks of the main text in page order, white space in each made single spaces; none without text.
 
-    What is out (menus, page heads and feet, asides, notices, adverts, forms,
-    scripts, styles, comments, hidden parts) neither counts nor shows. Containers
-    are nodes that hold blocks, or the body; right below the body, blocks of links
-    alone are no text. Of equal sums the first node in page
+    What is out (menus, page heads and feet, asides, notices, adverts, controls of
+    forms, scripts, styles, comments, hidden parts) neither counts nor shows; a
+    class or id name puts nothing out that holds the article. Containers are nodes
+    that hold blocks, or the body; right below the body, blocks of links alone are
+    no text unless they are headings, which count as if they had no link. Of equal sums the first node in page
     order is taken. A page without a body is one from its root.
     """
     tree = _Tree()
     tree.feed(UNFINISHED.sub("", html or ""))
     tree.close()
+    own = tree.settle()
     n = len(tree.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     holds = [False] * n
     for i in range(n - 1, -1, -1):
         if tree.out[i]:
             continue
-        own = sum(len(" ".join(x.split())) for x in tree.items[i] if isinstance(x, str))
-        chars[i] += own
+        chars[i] += own[i]
         if tree.link[i]:
-            link_chars[i] += own
+            link_chars[i] += own[i]
         p = tree.parent[i]
         if p >= 0:
             chars[p] += chars[i]
@@ -218,9 +264,12 @@ def main_blocks(html: str | None) -> list[str]:
             if tree.tag[item] in ("br", "hr"):
                 now.append(" ")
                 continue
+            reached = density[item]
             if node == body and tree.tag[item] in BLOCK and 0 < chars[item] == link_chars[item]:
-                continue  # a list of links beside the text
-            taken = whole or item == best or (item not in way and density[item] >= least > 0)
+                if tree.tag[item] not in HEADINGS:
+                    continue  # a list of links beside the text
+                reached = _density(chars[item], tags[item] - link_tags[item], 0, 0, ratio)
+            taken = whole or item == best or (item not in way and reached >= least > 0)
             if not taken and item not in way:
                 continue
             if tree.tag[item] in BLOCK:

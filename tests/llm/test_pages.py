@@ -35,6 +35,32 @@ def test_siblings_above_the_threshold_stay_and_link_lists_go():
     assert html_text.main_blocks(page) == [text.strip()] * 3
 
 
+@pytest.mark.parametrize("wrap", [
+    '<form id=aspnetForm><input type=hidden value=x>{}<label>Mail</label></form>', '<div class="has-sidebar">{}</div>', '<div class="with-sidebar">{}</div>',
+    '<div class="no-banner no-comments">{}</div>', '<div id=social-feed>{}</div>', '<section class=widget><div class=header>{}</div></section>',
+])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>"])
+def test_an_article_outlives_the_names_around_it(wrap, inner):
+    text = "Words that make up a paragraph of some length, with a comma. " * 3
+    page = inner.format(f"<p>{text}</p><p>{text}</p><div class=share-bar>Share this</div>")
+    got = html_text.main_blocks("<body>" + wrap.format(page + '<div class="sidebar">Beside it</div>') + "<div class=related><article>Other</article></div></body>"
+                                if "main" in inner else "<body>" + wrap.format(page + '<div class="sidebar">Beside it</div>') + "</body>")
+    assert got == [text.strip()] * 2
+
+
+def test_comments_stay_out_however_long():
+    text = "Words that make up a paragraph of some length, with a comma. " * 3
+    said = "<article class=comment><p>" + text * 4 + "</p></article>"
+    assert html_text.main_blocks(f"<body><article><p>{text}</p></article><div class=comments>{said * 3}</div></body>") == [text.strip()]
+
+
+@pytest.mark.parametrize("tag", ["h1", "h6"])
+def test_linked_headings_below_the_body_stay(tag):
+    text = "Words that make up a paragraph of some length, with a comma. " * 3
+    head = f"<{tag}><a href=x>The title of this page</a></{tag}>"
+    assert html_text.main_blocks(f"<body>{head}<p>{text}</p><p>{text}</p></body>") == ["The title of this page"] + [text.strip()] * 2
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<p", "<script>never closed", "</div></p>"])
 def test_pages_without_text(html):
     assert html_text.main_blocks(html) == []
