@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What counts as white space in the contracts: [\x20\x09-\x0D].
@@ -79,17 +79,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def keep_documents(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is in ``kept(keep_key)``; one row per id.
+def keep_documents(docs: DataFrame, kept: DataFrame, mark: Column, order: list[Column], id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``kept(id, mark)`` names; one row per id and mark.
 
-    Repeated rows of an id count as one document. Rows whose id is null cannot
-    be told apart and all stay. The window follows the join on the same key, so
-    the texts are shuffled once, and no group is larger than the copies of one id.
+    ``mark`` says, on a row of ``docs``, which text it is; so texts that share
+    an id, or have none, are told apart. Of rows with one id and mark the first
+    by ``order`` stays. The window follows the join on the same key, so the
+    texts are shuffled once, and no group is larger than the copies of one id
+    and text.
     """
     from pyspark.sql import Window
 
-    mark = "__row_of_id"
-    keys = kept.select(F.col(kept.columns[0]).alias("__keep_key")).where("__keep_key IS NOT NULL").distinct()
-    named = docs.where(docs[id_col].isNotNull()).join(keys, docs[id_col] == F.col("__keep_key"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    return named.withColumn(mark, first).where(F.col(mark) == 1).drop(mark).union(docs.where(docs[id_col].isNull()))
+    def keys(ident: Column, text: Column) -> list[Column]:
+        return [ident.isNull().alias("__no_id"), F.coalesce(ident.cast("string"), F.lit("")).alias("__id"), text.alias("__mark")]
+
+    names = ["__no_id", "__id", "__mark"]
+    wanted = kept.select(*keys(*(F.col(c) for c in kept.columns[:2]))).distinct()
+    named = docs.select("*", *keys(F.col(id_col), mark)).join(wanted, names, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return named.withColumn("__row_of_id", first).where(F.col("__row_of_id") == 1).select(*docs.columns)

@@ -93,4 +93,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The document that stays of every group of equal texts, with all its columns."""
-    return keep_documents(docs, exact_groups(docs).where("kept").select("doc_id"))
+    kept = exact_groups(docs).where("kept").select("doc_id", "text_sha256")
+    longest = F.length(F.coalesce("text", F.lit(""))).desc()
+    return keep_documents(docs, kept, F.sha2(normal_text(F.col("text")), 256), [longest, F.col("text")])

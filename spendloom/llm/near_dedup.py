@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, keep_documents, store
@@ -76,9 +76,10 @@ def _pieces(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, and the bucket keys (none for an empty set)."""
+    """doc_id, n_shingles, two hashes of the whole set, the bucket keys (none for an empty set), and ``mark`` if there is one."""
+    marked = "mark" in docs.columns
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-                        ("keys", pa.list_(pa.int64()))])
+                        ("keys", pa.list_(pa.int64())), *([("mark", pa.int64())] if marked else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,9 +94,9 @@ def sketches(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                     keys.append(band_keys(sketch(s, bands * rows), bands, rows) if len(s) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                     pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                     pa.array(keys, pa.list_(pa.int64())), *([part.column("mark")] if marked else [])], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, keys ARRAY<BIGINT>")
+    return docs.mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, keys ARRAY<BIGINT>" + ", mark BIGINT" * marked)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -279,7 +280,7 @@ def _block_links(sets: DataFrame, now: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
-                threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+                threshold: int = THRESHOLD, width: int = WIDTH, mark: Column | None = None) -> DataFrame:
     """Every document's class of near duplicates: doc_id, n_shingles, component_id, kept, n_links.
 
     Documents link when 100 * |intersection| >= threshold * |union| of their sets
@@ -288,9 +289,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     aside. Null, empty and wordless texts link with nothing. Rows that repeat an
     id and text are one document (one row); a null id stays alone with itself as
     a null component. An empty table gives an empty result, and other columns of
-    ``docs`` are ignored.
+    ``docs`` are ignored. With ``mark``, a long that tells texts apart, each row
+    has the smallest one of its texts as well.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if mark is None else [mark.alias("mark")]))
     every = store(sketches(base, bands, rows, width))
     known = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = store(
@@ -312,14 +314,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(degree, "rep", "left").where("copies > 1 OR component IS NOT NULL")
         .select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    one_each = every.select("doc_id", "n_shingles", "h1", "h2").distinct()
+    own = ["doc_id", "n_shingles", "h1", "h2"]
+    one_each = every.select(*own).distinct() if mark is None else every.groupBy(*own).agg(F.min("mark").alias("mark"))
     lone = F.col("n_shingles") == 0
     component = F.when(lone | F.col("component").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return one_each.join(named, ["h1", "h2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *([] if mark is None else ["mark"]))
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    return keep_documents(docs, near_groups(docs, **options).where("kept").select("doc_id"))
+    """The documents that stay, one of each group, with all their columns.
+
+    Texts that share an id, or have none, are documents of their own: all but one
+    of them are judged under new ids above all others.
+    """
+    mark = F.xxhash64("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"))
+    shared_ids = store(
+        texts.groupBy("doc_id").agg(F.min("mark").alias("first"), F.max("mark").alias("last"))
+        .where("doc_id IS NULL OR first < last").select("doc_id", "first"))
+    if shared_ids.isEmpty():
+        return keep_documents(docs, near_groups(docs, mark=mark, **options).where("kept").select("doc_id", "mark"), mark, [F.col("text")])
+    top = texts.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0] + 1
+    odd = texts.join(shared_ids.withColumnRenamed("doc_id", "of"), F.expr("doc_id <=> of")).where("doc_id IS NULL OR mark <> first")
+    fresh = store(odd.select(F.col("doc_id").alias("of"), F.col("mark").alias("text_mark")).distinct().withColumn("new", F.monotonically_increasing_id() + top))
+    named = docs.select("doc_id", "text", mark.alias("mark")).join(fresh, F.expr("doc_id <=> of AND mark = text_mark"), "left")
+    groups = near_groups(named.select(F.coalesce("new", "doc_id").alias("doc_id"), "text", "mark"), mark=F.col("mark"), **options)
+    kept = groups.where("kept").join(fresh, F.col("doc_id") == F.col("new"), "left").select(
+        F.when(F.col("new").isNotNull(), F.col("of")).otherwise(F.col("doc_id")).alias("doc_id"), "mark")
+    return keep_documents(docs, kept, mark, [F.col("text")])

@@ -130,6 +130,22 @@ def test_exact_groups(spark, edge_docs, hasher):
     assert len(got) == len(want) and all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+def test_dropped_rows_do_not_come_back_under_a_shared_or_missing_id(spark):
+    """The text of an id that stays is the one judged, and null ids are judged like others."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, b), (5, a), (5, b), (None, b), (None, c), (None, c), (7, a + " "), (7, a)]
+    for repeat in (1, 4):
+        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id BIGINT, text STRING, mark STRING").repartition(repeat)
+        got = exact_dedup.drop_copies(docs)
+        assert got.columns == docs.columns
+        assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(
+            f"Row(doc_id={i}, text={t!r})" for i, t in [(1, b), (7, a + " "), (None, c)])
+    near = near_dedup.drop_near(spark.createDataFrame(
+        [(5, a), (5, b), (1, b + " end"), (None, c), (None, c), (None, c + " end"), (None, "alone here")], "doc_id BIGINT, text STRING"))
+    got = sorted((str(r.doc_id), r.text) for r in near.collect())
+    assert got[:3] == [("1", b + " end"), ("5", a), ("None", "alone here")] and len(got) == 4 and got[3][1] in (c, c + " end")
+
+
 def test_exact_empty(no_docs):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
