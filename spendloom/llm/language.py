@@ -7,6 +7,7 @@ ranks each lies off, or the most possible where the profile lacks it.
 
 from __future__ import annotations
 
+import bisect
 import sys
 from collections.abc import Iterator
 
@@ -27,8 +28,12 @@ UNKNOWN = "und"
 BLOCK = 1 << 20
 #: Distinct (language, n-gram) counts that a task holds before it hands them on.
 HELD = 300_000
-#: A prediction less certain than this is no language at all.
+#: A prediction less certain than this is no language at all, whatever was learned.
 LEAST_SCORE = 0.05
+#: A document must reach this part of the score that all but LOW_PART of the training documents of its language and size
+#: reach; sizes are numbers of n-grams, and fewer than FEW documents set no bound.
+MARGIN, LOW_PART, FEW = 0.8, 0.01, 30
+SIZES = (25, 50, 100, 200, 300)
 _LETTERS: list[np.ndarray] = []
 
 
@@ -147,13 +152,17 @@ class Matcher:
         return np.where(ranks < 0, self.size, np.minimum(off, self.size)).sum(axis=1)
 
     def predict(self, text: str | None, top: int = TOP, longest: int = LONGEST) -> tuple[str, float]:
+        return self.judged(text, top, longest)[:2]
+
+    def judged(self, text: str | None, top: int = TOP, longest: int = LONGEST) -> tuple[str, float, int]:
+        """The language, its score, and the class of SIZES that the text's number of n-grams is in."""
         keys, counts = grams(text, longest)
         if not len(keys) or not self.names:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         order = ranked(keys, counts, top)
         far = self.distances(order)
         best = int(far.argmin())
-        return self.names[best], float(1 - far[best] / (self.size * len(order)))
+        return self.names[best], float(1 - far[best] / (self.size * len(order))), bisect.bisect_right(SIZES, len(order))
 
 
 def predict(docs: DataFrame, found: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
@@ -186,22 +195,54 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return said.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def least_scores(docs: DataFrame, found: dict[str, np.ndarray], text_col: str = "text") -> dict[tuple, float]:
+    """The score that a document must have, by (language, size), (language, None) and (None, None).
+
+    It is MARGIN of a low percentile of the scores of ``docs``, which are the
+    training documents. A group of fewer than FEW has no entry, and the next
+    wider one counts. What comes to the driver is one row a group.
+    """
+    profile_of = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(profile_of.value)
+        for batch in batches:
+            said = [matcher.judged(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s[0] for s in said], pa.string()), pa.array([int(s[1] * 1000) for s in said], pa.int64()), pa.array([s[2] for s in said], pa.int64())],
+                names=["lang", "mille", "size"])
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "lang STRING, mille BIGINT, size BIGINT").where(F.col("lang") != UNKNOWN)
+    low = rows.rollup("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.percentile("mille", LOW_PART).alias("low"))
+    return {(r.lang, r.size): MARGIN * r.low / 1000 for r in low.where(F.col("n") >= FEW).collect()}
+
+
 def drop_unknown(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents, with all their columns, that are in some language: not ``und``, and of score ``least`` or more.
+    """The documents, with all their columns, that are in a learned language: not ``und``, and of enough score.
 
-    The profiles come from the documents that are not held out. Every row is
-    judged where it lies; nothing but counts is shuffled. Where nothing can be
-    learned, all documents stay.
+    Enough is what ``least_scores`` finds for the language and size, ``least``
+    where there are too few documents to tell. The profiles and those bounds come
+    from the documents with a language that are not held out. Every row is judged
+    where it lies; nothing but counts is shuffled. Where nothing can be learned,
+    all documents stay.
     """
-    found = profiles(docs.where(~held_out(F.col("doc_id"))))
+    training = docs.where(~held_out(F.col("doc_id")))
+    found = profiles(training)
     if not found:
         return docs
-    profile_of = docs.sparkSession.sparkContext.broadcast(found)
+    bounds = least_scores(training.where("lang IS NOT NULL AND text IS NOT NULL"), found)
+    shared = docs.sparkSession.sparkContext.broadcast((found, bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(profile_of.value)
+        profile_of, bound_of = shared.value
+        matcher = Matcher(profile_of)
+
+        def stays(text: str | None) -> bool:
+            lang, score, size = matcher.judged(text)
+            bound = next((bound_of[k] for k in ((lang, size), (lang, None), (None, None)) if k in bound_of), least)
+            return lang != UNKNOWN and score >= max(bound, least)
+
         for batch in batches:
-            said = [matcher.predict(t.as_py()) for t in batch.column("text")]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
+            yield batch.filter(pa.array([stays(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -72,6 +72,26 @@ def test_language_edges(edge_docs, no_docs):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_unlearned_languages_and_noise_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    draw = random.Random(5)
+    alien = [
+        "Il presidente ha detto che domani il governo presenterà una nuova legge sulla scuola pubblica.",
+        "Wczoraj wieczorem minister powiedział, że nowa ustawa zostanie przyjęta w przyszłym tygodniu.",
+        "Bugün hava çok güzel ve çocuklar parkta oynuyor, akşam eve geç dönecekler.",
+        "Hallitus päätti eilen että uusi laki tulee voimaan vasta ensi vuoden alussa.",
+        "Правительство вчера решило что новый закон вступит в силу http www example com",
+        "".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)),
+        " ".join(f"{draw.getrandbits(128):032x}" for _ in range(8)), "1234 !!",
+    ]
+    clean = [" ".join(r.text.split()[:12]) for r in docs.where("lang IS NOT NULL AND length(text) > 200").orderBy("doc_id").limit(200).collect()]
+    planted = [(-1 - i, t, None) for i, t in enumerate(alien)] + [(-1000 - i, t, None) for i, t in enumerate(clean)]
+    kept = {r.doc_id for r in language.drop_unknown(docs.union(spark.createDataFrame(planted, docs.schema))).collect()}
+    assert not kept & {-1 - i for i in range(len(alien))}
+    assert sum(d <= -1000 for d in kept) >= 0.97 * len(clean)
+    assert sum(d >= 0 for d in kept) >= 0.99 * docs.count()
+
+
 def test_cumulative_link_gradient():
     """Steps lower the loss, and the thresholds stay in order."""
     draw = np.random.default_rng(0)
