@@ -10,6 +10,7 @@
    again by their rarest shingles (prefix filter), which two that link must
    share, and compared across components until none is left out. So no link of a
    bucket is lost, and a passage that many documents share pairs none of them.
+   Documents of few shingles are always among these, as their buckets are less sure.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from .common import components, keep_documents, store
 from .shingles import U, WIDTH, mix, shared, shingle_set, stream
 
 BANDS, ROWS = 30, 4
-#: Links need 100 * intersection >= THRESHOLD * union. At 75 a link misses all 30 buckets of 4 bins once in 90,000 times.
+#: Links need 100 * intersection >= THRESHOLD * union. At 75 a link misses all 30 buckets of 4 bins once in 90,000 times,
+#: more often where the union is smaller than the bins, whose copies are not independent.
 THRESHOLD = 75
+#: Sets of fewer shingles are always paired by their rarest shingles, whatever buckets they share.
+SMALL = 100
 #: Members of one star that a task verifies against its centre.
 STAR_SHARE = 250
 #: Documents and shingles of a block that the rest of its family is looked up in, and documents of a share of the family.
@@ -190,11 +194,11 @@ def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     return sets.mapInArrow(run, "key BIGINT, rep BIGINT, n_shingles BIGINT")
 
 
-def _more_links(members: DataFrame, seen: DataFrame, found: DataFrame, sets: DataFrame,
+def _more_links(members: DataFrame, seen: DataFrame, found: DataFrame, sets: DataFrame, small: DataFrame,
                 threshold: int) -> tuple[DataFrame, DataFrame]:
     """All links, and components, after looking into buckets that the first stars left in several components.
 
-    The documents of such buckets are brought together anew by their rarest
+    The documents of such buckets, and those in ``small(id)``, are brought together anew by their rarest
     shingles, which two that link must share, and looked up in blocks. Left out
     are only pairs of one component already.
     """
@@ -209,7 +213,7 @@ def _more_links(members: DataFrame, seen: DataFrame, found: DataFrame, sets: Dat
         return rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
 
     apart = labelled(members)
-    unsure = store(apart.join(mixed(apart), "key", "left_semi").select(F.col("rep").alias("id")).distinct())
+    unsure = store(apart.join(mixed(apart), "key", "left_semi").select(F.col("rep").alias("id")).union(small).distinct())
     if unsure.isEmpty():
         return links, found
     sets = store(sets.join(unsure, "id", "left_semi"))
@@ -302,11 +306,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     stars = placed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = store(placed.join(store(stars.select("key", "centre")), "key").select("key", "centre", "rep", "n_shingles"))
-    sets = shingle_sets(base, members.select(F.col("rep").alias("id")).distinct(), width)
+    small = classes.where(F.col("n_shingles") < SMALL).select(F.col("rep").alias("id"))
+    sets = shingle_sets(base, members.select(F.col("rep").alias("id")).union(small).distinct(), width)
     first = store(members.where("centre <> rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     seen = verified(sets, first)
     found = store(components(seen.where(F.expr(f"100 * both >= {int(threshold)} * (na + nb - both)")).select("a", "b")))
-    links, found = _more_links(members, seen, found, sets, threshold)
+    links, found = _more_links(members, seen, found, sets, small, threshold)
     links = store(links)
     degree = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
     named = store(

@@ -97,6 +97,21 @@ def test_near_groups_are_those_of_all_pairs(spark, edge_docs):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_small_sets_link_whatever_buckets_they_share(spark):
+    """Pairs at or just above the threshold, with so few bands that most of them share no bucket."""
+    draw = random.Random(8)
+    docs = {}
+    for i in range(60):
+        n = draw.choice([3, 6, 12, 40, 90])
+        words = [f"w{draw.randint(0, 10**6)}" for _ in range(n + 4)]
+        docs[2 * i] = " ".join(words)
+        docs[2 * i + 1] = " ".join(words[: n + 4 - n // 4])
+    got = near_dedup.near_groups(spark.createDataFrame(list(docs.items()), "doc_id BIGINT, text STRING"), bands=1, rows=8)
+    want = plain_components(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+    assert sum(d != c for d, (_, c) in want.items()) > 50
+
+
 def test_near_empty(no_docs):
     assert near_dedup.near_groups(no_docs).count() == 0
 
