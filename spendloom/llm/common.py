@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 # What counts as white space in the contracts: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,6 +44,27 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, their place from 0 in their group by ``order``, and ``size``, the group's rows.
+
+    Rows are cut into sorted ranges over group and order together, so a group
+    of any size spreads over many tasks; a table with one row per range and
+    group tells how many stand before. ``rows`` must come from a stored table,
+    group columns must not be null, and ``order`` must be total up to equal rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*group, *order]
+    placed = store(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    # The upper bits of that id are the range's number, the lower 33 the row's place in it.
+    part = F.shiftright("__at", 33).alias("__part")
+    before = Window.partitionBy(*group)
+    runs = placed.groupBy(*group, part).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).select(
+        *group, "__part", "__first", F.sum("__n").over(before).alias("size"),
+        (F.sum("__n").over(before.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return placed.select("*", part).join(runs, [*group, "__part"]).select(
+        *rows.columns, (F.col("__at") - F.col("__first") + F.col("__before")).alias("pos"), "size")
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node of ``edges(u, v)`` is either a centre or has exactly one."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
@@ -88,8 +110,6 @@ def keep_documents(docs: DataFrame, kept: DataFrame, mark: Column, order: list[C
     texts are shuffled once, and no group is larger than the copies of one id
     and text.
     """
-    from pyspark.sql import Window
-
     def keys(ident: Column, text: Column) -> list[Column]:
         return [ident.isNull().alias("__no_id"), F.coalesce(ident.cast("string"), F.lit("")).alias("__id"), text.alias("__mark")]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, language, merkle, near_dedup, packing, quality, quotes, warc
+from . import bpe, divergence, exact_dedup, html_text, language, manifest, merkle, near_dedup, packing, quality, quotes, vectors, warc
 from .common import table
 
 
@@ -58,12 +58,24 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked(table(spark, sf_dir, "conversations"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ordinal_quality, op2_warc_transactions, op3_chunk_recipes, op4_merkle_fingerprints, op5_sum_of_squares,
         op6_text_density, op7_minhash_stars, op8_rank_array_bpe, op9_rank_order_language,
-        op10_quotation_links,
+        op10_quotation_links, op11_source_divergence, op12_projection_collisions, op13_merkle_manifest,
     )
 }
 
@@ -123,4 +135,61 @@ SELECT t.conv_id, t.turn, t.role, t.text, coalesce(nq.n, 0) AS n_quotes, coalesc
   coalesce(root.thread, t.turn) AS thread, coalesce(root.depth, 0)::BIGINT AS depth
 FROM t LEFT JOIN nq USING (id) LEFT JOIN par ON par.conv_id = t.conv_id AND par.turn = t.turn
 LEFT JOIN num ON num.conv_id = t.conv_id AND num.turn = t.turn LEFT JOIN root ON root.conv_id = t.conv_id AND root.turn = t.turn""",
+    "op11_source_divergence": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+l AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM k GROUP BY 1),
+q AS (SELECT k.lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q FROM k JOIN l USING (lang)),
+g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+c AS (SELECT t.lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * v) AS p
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+d AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(d.value, 0) AS value FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source
+  LEFT JOIN d ON d.lang = x.lang AND d.source = x.source AND d.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op12_projection_collisions": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS src,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, replace(text, chr(10), '') AS cut,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) AS crc
+  FROM documents),
+l AS (SELECT doc_id, src, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) END AS given,
+    row_number() OVER (PARTITION BY src ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM d),
+s(src, lvl, pos, n, h) AS (SELECT src, 0, pos, n, leaf FROM l UNION ALL
+  SELECT src, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM s WHERE n > 1 GROUP BY src, lvl, pos // 3, n),
+b AS (SELECT src, h AS subroot, lvl AS depth, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM s WHERE n = 1),
+t(lvl, pos, n, h) AS (SELECT 0, pos, n, subroot FROM b UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lvl, pos // 3, n),
+root AS (SELECT h AS root FROM t WHERE n = 1),
+k AS (SELECT src, lvl, pos, n, h FROM s UNION ALL SELECT NULL, lvl, pos, n, h FROM t),
+f(doc_id, src, tree, lvl, pos, now, proof) AS (SELECT doc_id, src, src, 0, pos, coalesce(given, leaf), '' FROM l UNION ALL (
+  WITH up AS (SELECT f.doc_id, f.src, f.tree, f.lvl, f.pos, f.now, f.proof, k.n FROM f JOIN k ON k.src IS NOT DISTINCT FROM f.tree AND k.lvl = f.lvl AND k.pos = f.pos
+    WHERE f.tree IS NOT NULL OR k.n > 1)
+  SELECT up.doc_id, up.src, up.tree, up.lvl + 1, up.pos // 3, sha256(string_agg(CASE WHEN k.pos = up.pos THEN up.now ELSE k.h END, '' ORDER BY k.pos)),
+    up.proof || coalesce(string_agg(CASE WHEN k.pos <> up.pos THEN k.h END, '' ORDER BY k.pos), '')
+  FROM up JOIN k ON k.src IS NOT DISTINCT FROM up.tree AND k.lvl = up.lvl AND k.pos // 3 = up.pos // 3
+  WHERE up.n > 1 GROUP BY up.doc_id, up.src, up.tree, up.lvl, up.pos, up.now, up.proof
+  UNION ALL SELECT up.doc_id, up.src, NULL, 0, b.pos, up.now, up.proof FROM up JOIN b ON b.src = up.src WHERE up.n = 1)),
+e AS (SELECT f.doc_id, f.now AS folded_root, sha256(f.proof) AS proof_sha256 FROM f JOIN t ON f.tree IS NULL AND t.lvl = f.lvl AND t.pos = f.pos AND t.n = 1)
+SELECT l.doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM l JOIN b USING (src) JOIN e USING (doc_id) CROSS JOIN root""",
 }
