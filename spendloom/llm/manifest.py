@@ -202,7 +202,8 @@ class Manifest:
         out = tree.paths(0, subroots, carried, given, columns)
         if wanted is not None:
             out = out.join(ids, "doc_id", "left_semi")
-        return out.join(subroots.select("key", "subroot"), "key").drop("pos")
+        made = [f.name for f in StructType.fromDDL(columns)]
+        return out.join(subroots.select("key", "subroot"), "key").select("doc_id", "key", "digest", *self.carried, "subroot", *made)
 
 
 def build(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "doc_id", source_col: str = "source",
