@@ -19,8 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of each word table; a full table starts anew.
-TABLE = 1 << 19
+#: Entries of each word table, of at most SHORT characters; a full table starts anew. Both tables of a worker process take
+#: about 25 MB, which stay as long as the process.
+TABLE = 1 << 16
 #: Words of at most this many bytes are merged in the rank array, longer ones through a heap.
 SHORT = 128
 NONE = 1 << 63
@@ -38,19 +39,18 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Merge ranks, ids and bytes of a byte-level BPE tokenizer file."""
+    """Merge ranks, ids and bytes of a byte-level BPE tokenizer file. Without ``merges`` it can neither merge nor decode."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, merges: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
-        self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}
-        self.id_of = {raw: i for i, raw in self.bytes_of.items()}
-        self.single = [self.id_of[bytes([b])] for b in range(256)]
+        self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in token) for token, i in vocab.items()} if merges else {}
+        self.single = [vocab[letter] for letter in sorted(letters, key=letters.__getitem__)]
         #: left id << 32 | right id -> rank << 32 | id of both together.
         self.merge: dict[int, int] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        for rank, pair in enumerate(spec["model"]["merges"] if merges else []):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merge[vocab[left] << 32 | vocab[right]] = rank << 32 | vocab[left + right]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}

@@ -37,7 +37,7 @@ def coder(path: str) -> bpe.Encoder:
     if path not in _CODERS:
         from tokenizers import Tokenizer
 
-        vocabulary = bpe.Vocabulary(path)
+        vocabulary = bpe.Vocabulary(path, merges=False)
         letters = {b: c for c, b in bpe.byte_letters().items()}
         table = "".join(letters[b] for b in range(256))
         model = Tokenizer.from_file(path).model

@@ -39,8 +39,9 @@ STEM = 5
 REPEAT = BUCKETS - 1
 #: A document is kept when it is in the best grade with this probability or more.
 KEEP_FROM = 0.5
-TABLE = 1 << 19
-_EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+#: Tokens a worker process remembers, of at most 64 characters: about 10 MB, which stay as long as the process.
+TABLE = 1 << 16
+_FIRST, _LAST = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"(?r)[\p{L}\p{N}]")
 _RUNS = regex.compile(r"(.)\1+")
 _UPPER, _LOWER, _DIGIT = regex.compile(r"\p{Lu}"), regex.compile(r"[\p{Ll}\p{Lo}]"), regex.compile(r"\p{N}")
 
@@ -50,11 +51,17 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
 
 
+def bare(token: str) -> str:
+    """The token from its first letter or digit to its last; empty if it has none."""
+    first = _FIRST.search(token)
+    return token[first.start():_LAST.search(token).end()] if first else ""
+
+
 class _Tokens(dict):
     """Buckets of a token's word, of its first letters and of its shape, 20 bits each; 2 * BUCKETS for none."""
 
     def __missing__(self, token: str) -> int:
-        word = _EDGES.sub("", token).lower()
+        word = bare(token).lower()
         shape = _RUNS.sub(r"\1", _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", token))))[:6]
         half = BUCKETS // 2
         first = zlib.crc32(word.encode("utf-8", "surrogatepass")) % half if word else 2 * BUCKETS

@@ -129,10 +129,11 @@ par AS (SELECT conv_id, turn, reply_to FROM (SELECT conv_id, turn, said AS reply
 num AS (SELECT conv_id, turn, count(DISTINCT p) AS n_linked FROM hits GROUP BY 1, 2),
 up(conv_id, turn, thread, depth) AS (SELECT conv_id, turn, reply_to, 1 FROM par UNION ALL
   SELECT up.conv_id, up.turn, par.reply_to, depth + 1 FROM up JOIN par ON par.conv_id = up.conv_id AND par.turn = up.thread),
-root AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM up GROUP BY 1, 2),
+root AS (SELECT *, row_number() OVER (PARTITION BY conv_id, thread ORDER BY turn) AS position
+  FROM (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM up GROUP BY 1, 2)),
 nq AS (SELECT id, count(DISTINCT p) AS n FROM pas WHERE level > 0 GROUP BY 1)
 SELECT t.conv_id, t.turn, t.role, t.text, coalesce(nq.n, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, reply_to,
-  coalesce(root.thread, t.turn) AS thread, coalesce(root.depth, 0)::BIGINT AS depth
+  coalesce(root.thread, t.turn) AS thread, coalesce(root.depth, 0)::BIGINT AS depth, coalesce(root.position, 0)::BIGINT AS position
 FROM t LEFT JOIN nq USING (id) LEFT JOIN par ON par.conv_id = t.conv_id AND par.turn = t.turn
 LEFT JOIN num ON num.conv_id = t.conv_id AND num.turn = t.turn LEFT JOIN root ON root.conv_id = t.conv_id AND root.turn = t.turn""",
     "op11_source_divergence": r"""

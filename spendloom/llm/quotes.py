@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import ranked, store
 
-MARKS = r"^(?:[ \t]{0,3}>)+"
-# A line that announces a quote, such as "On Monday Ann wrote:". Fixed words: English, German, French, Spanish, Italian, Dutch.
-ANNOUNCES = r"(?i)\b(?:wrote|schrieb|a écrit|escribió|ha scritto|schreef)\b[^\n]*:[ \t]*$"
-BREAK = r"\n[ \t]*(?:\n[ \t]*)*\n"
+# No group here repeats with a way back into it: the regular expressions of the JVM would recurse once for each repetition.
+MARKS = r"^(?:[ \t]{0,3}+>)++"
+# A line that announces a quote has one of these words and ends in a colon, such as "On Monday Ann wrote:".
+# Fixed words: English, German, French, Spanish, Italian, Dutch.
+ANNOUNCES = r"(?i)\b(?:wrote|schrieb|a écrit|escribió|ha scritto|schreef)\b"
+BREAK = r"\n[ \t\n]*\n"
 
 
 def parsed_lines(text: Column) -> Column:
@@ -27,14 +29,18 @@ def parsed_lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1), line)
 
 
+def announces(body: Column) -> Column:
+    return F.endswith(F.rtrim(body, F.lit(" \t")), F.lit(":")) & body.rlike(ANNOUNCES)
+
+
 def own_text(text: Column, lines: Column) -> Column:
     """What a message itself says: a text without quotes as it is, else its unquoted lines, less those that announce a quote."""
     def stays(x: Column, i: Column) -> Column:
         then = F.get(lines, i + 1)["level"]
-        return F.when((x["level"] == 0) & ~((F.coalesce(then, F.lit(0)) > 0) & x["body"].rlike(ANNOUNCES)), x["body"])
+        return F.when((x["level"] == 0) & ~((F.coalesce(then, F.lit(0)) > 0) & announces(x["body"])), x["body"])
 
     said = F.array_join(F.filter(F.transform(lines, stays), lambda b: b.isNotNull()), "\n")
-    tidy = F.regexp_replace(F.regexp_replace(said, r"\n[ \t]*(?:\n[ \t]*)+\n", "\n\n"), r"^\s+|\s+$", "")
+    tidy = F.trim(F.regexp_replace(said, r"\n[ \t]*\n[ \t\n]*\n", "\n\n"), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(F.exists(lines, lambda x: x["level"] > 0), tidy).otherwise(F.coalesce(text, F.lit("")))
 
 
@@ -67,9 +73,10 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     Columns: conv_id, turn, role, text, n_quotes (distinct quoted passages and
     lines), n_linked (those found in an earlier message), reply_to (the turn it
-    answers), thread (the first turn of its chain of answers) and depth (answers
-    from there). Ordered by conv_id, thread, turn, every message stands behind
-    what it answers.
+    answers), thread (the first turn of its chain of answers), depth (answers from
+    there) and position (its place in the thread, from 0, each message behind
+    what it answers): conv_id, thread and position order a conversation by
+    replies. A message whose rows repeat has one position.
 
     A passage belongs to the earliest turn of its conversation that says it
     unquoted. The turn answered is the one whose passages are quoted at the
@@ -109,12 +116,13 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     out = cut.select("conv_id", "turn", "role", "text", counted)
     if parents is None:
         return out.select("*", F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast("long").alias("reply_to"),
-                          F.col("turn").cast("long").alias("thread"), F.lit(0).cast("long").alias("depth"))
-    info = store(parents.join(roots, ["conv_id", "turn"]))
+                          F.col("turn").cast("long").alias("thread"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("position"))
+    # A message answers an earlier turn, so the order of turns puts it behind that; the thread's first is not in this table.
+    info = ranked(store(parents.join(roots, ["conv_id", "turn"])), ["conv_id", "thread"], ["turn"])
     return out.join(info, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("reply_to").cast("long").alias("reply_to"), F.coalesce("thread", "turn").cast("long").alias("thread"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce(F.col("pos") + 1, F.lit(0)).cast("long").alias("position"))
 
 
 def chains(parents: DataFrame) -> DataFrame:

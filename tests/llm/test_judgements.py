@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -145,3 +146,12 @@ def test_quality_edges(spark, edge_docs, no_docs):
     kept = quality.keep_good(edge_docs, labels)
     assert kept.columns == edge_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
+
+
+@pytest.mark.parametrize("token", ["a" + "." * 1_000_000 + "a", "." * 1_000_000, "a" + ".-" * 500_000 + "é", "(" * 500_000 + "b" + ")" * 500_000])
+def test_long_tokens_take_linear_time(token):
+    """A token loses what is no letter or digit at its ends, however long that or what lies between is."""
+    start = time.perf_counter()
+    assert quality.bare(token) == token.strip(".()-")
+    quality.features(token)
+    assert time.perf_counter() - start < 20

@@ -159,3 +159,21 @@ def test_long_chains(spark):
     rows = [(1, i, "u", (f"> point {i - 1}.\n" if i else "") + f"point {i}.") for i in range(70)]
     got = quotes.linked(spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")).collect()
     assert all(r.thread == 0 and r.depth == r.turn and r.text == f"point {r.turn}." for r in got)
+
+
+@pytest.mark.parametrize("text", [
+    "> q\n" + "\n" * 1_000_000 + "x", ">" * 1_000_000, "> " * 300_000 + "q", "> q\n" + " \n\t" * 300_000 + "x", "> q\nwrote: " * 2 + "wrote: " * 150_000 + "x",
+    "> q\n" + " " * 1_000_000 + "x",
+])
+def test_long_quotes(spark, text):
+    """Very many line ends, marks, blanks and announcements neither end the executor nor take more than linear time."""
+    rows = [(1, 1, "u", "q"), (1, 2, "a", text), (2, 1, "u", text)]
+    got = quotes.linked(spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")).collect()
+    assert len(got) == 3 and all(r.thread is not None for r in got)
+
+
+def test_reply_order(spark):
+    rows = [(1, 1, "u", "first"), (1, 2, "a", "> first\nsecond"), (1, 3, "u", "apart"), (1, 4, "a", "> second\nthird"), (1, 5, "u", "> first\nfourth"), (1, 6, "a", "> apart\nx"), (1, 6, "a", "> apart\ny")]
+    got = quotes.linked(spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")).collect()
+    order = sorted({(r.thread, r.position, r.turn) for r in got})
+    assert order == [(1, 0, 1), (1, 1, 2), (1, 2, 4), (1, 3, 5), (3, 0, 3), (3, 1, 6)]
