@@ -50,7 +50,7 @@ def passes(spark, logs: int = 150, calls: int = 20) -> dict[str, float]:
 
     for n in range(logs):
         (home / "logs" / f"s{n}.jsonl").write_text("".join(said(i) for i in range(calls)))
-    source = registry.LogSource("claude", (str(home / "logs"),), claude.normalise)
+    source = registry.LogSource("claude", (str(home / "logs"),), claude.normalise, needs=claude.needs)
     store, prices, out = Store(spark, str(home / "store")), builtin_prices(spark), {}
     for name in ("pass_first", "pass_idle", "pass_append"):
         if name == "pass_append":

@@ -12,8 +12,9 @@ from ..operators import state
 from ..operators.pricing import PriceList, price_calls, reprice
 from ..operators.sessions import session_calls, sessions_rollup
 from ..session import cut_lineage
+from ..sources import resume
 from ..sources.common import Normalised
-from ..sources.lines import unreadable
+from ..sources.lines import can_seek, read_ranges, unreadable, windows
 from ..sources.registry import LogSource
 from .store import TABLES, OldBaseError, Store
 
@@ -34,6 +35,43 @@ class _Read:
     tools: DataFrame
     identities: DataFrame
     actions: DataFrame
+    tails: DataFrame | None = None
+    closed: DataFrame | None = None
+
+
+def _resume(source: LogSource, grown: DataFrame, known: DataFrame, tails: DataFrame, closed: DataFrame, book: PriceList) -> _Read | None:
+    """Rows of logs that grew, from where the last pass stopped reading them; None if there is none to read so.
+
+    ``grown`` are logs that look longer than what was consumed. A log is read on
+    if the ends of what was consumed are as they were, its tail is stored, and
+    none of its new lines comes back to something closed.
+    """
+    if source.needs is None:
+        return None
+    before = known.filter("consumed > 0 AND windows IS NOT NULL").select(
+        "path", F.col("consumed").alias("start"), F.col("prefix_len").alias("first"), F.col("prefix_hash").alias("digest"), F.col("windows").alias("seen"))
+    grown = cut_lineage(grown.select("agent", "path", "size", "mtime").join(before, "path").filter("size >= start"))
+    one = grown.select("path").first()
+    if one is None or not can_seek(one.path):
+        return None
+    now = windows(grown.select("path", F.col("start").alias("upto")))
+    kept = cut_lineage(tails.join(grown.select("path"), "path", "left_semi"))
+    files = cut_lineage(grown.join(now, "path").filter("windows = seen").join(kept.select("path"), "path", "left_semi").drop("windows", "seen"))
+    lines = cut_lineage(read_ranges(files, source.agent))
+    late = cut_lineage(resume.late(source.needs(resume.flagged(lines)), closed))
+    files, lines = files.join(late, "path", "left_anti"), lines.join(late, "path", "left_anti")
+    both = cut_lineage(resume.replaying(lines, kept))
+    rows, needs = source.rows(both), source.needs(both)
+    one_line = F.xxhash64("ordinal", "line").cast("decimal(20,0)")
+    sums = lines.groupBy("path").agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count(F.lit(1)).alias("n"), F.sum(one_line).alias("sum"))
+    digest = F.coalesce(F.nullif("digest", F.lit("")), F.lit("0")).cast("decimal(38,0)") + F.coalesce("sum", F.lit(0))
+    actions = files.join(sums, "path", "left").select(
+        "agent", "path", "size", "mtime", F.lit("append").alias("action"), (F.col("start") + F.coalesce("bytes", F.lit(0))).cast("bigint").alias("read"),
+        digest.cast("string").alias("prefix_hash"), (F.col("first") + F.coalesce("n", F.lit(0))).cast("bigint").alias("prefix_len"))
+    return _Read(
+        cut_lineage(price_calls(rows.calls, book).drop("sized")), cut_lineage(rows.tools), cut_lineage(rows.identities),
+        cut_lineage(actions), cut_lineage(resume.tails(both, needs)), cut_lineage(resume.closed(both, needs)),
+    )
 
 
 def _read(source: LogSource, paths: list[str], picked: DataFrame, known: DataFrame, book: PriceList) -> _Read:
@@ -45,9 +83,13 @@ def _read(source: LogSource, paths: list[str], picked: DataFrame, known: DataFra
     chosen = state.classify_files(mine.join(digests.select("path", "same_head"), "path", "left"), known)
     chosen = chosen.join(digests.select("path", F.col("consumed").alias("read"), "prefix_hash", "prefix_len"), "path", "left")
     rows: Normalised = source.rows(lines)
+    kept = over = None
+    if source.needs is not None:
+        needs = source.needs(resume.flagged(lines))
+        kept, over = cut_lineage(resume.tails(lines, needs)), cut_lineage(resume.closed(lines, needs))
     return _Read(
         cut_lineage(price_calls(rows.calls, book).drop("sized")), cut_lineage(rows.tools), cut_lineage(rows.identities),
-        cut_lineage(chosen.drop("same_head", "consumed")),
+        cut_lineage(chosen.drop("same_head", "consumed")), kept, over,
     )
 
 
@@ -97,6 +139,14 @@ def _read_what_can_be(source: LogSource, paths: list[str], picked: DataFrame, kn
     return some([p for p in paths if p not in bad], None if bad else first), failed
 
 
+def _read_on(source: LogSource, grown: DataFrame, known: DataFrame, store: Store, version: int, book: PriceList) -> _Read | None:
+    """What :func:`_resume` gives; where it fails, the logs are read from their start, which tells which of them is bad."""
+    try:
+        return _resume(source, grown, known, store.read("tails", version), store.deltas("closed", version).select("path", "key"), book)
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def run_pass(
     spark: SparkSession,
     store: Store,
@@ -134,17 +184,22 @@ def run_pass(
             listing = cut_lineage(source.files(spark).select(F.lit(source.agent).alias("agent"), "path", "size", "mtime"))
             guess = state.classify_files(listing.withColumn("same_head", F.lit(True)), known)
             picked = cut_lineage(state.take_changed(guess, max_changed).select(*listing.columns))
-            paths = [r.path for r in picked.select("path").orderBy("path").collect()]
-            got, failed = _read_what_can_be(source, paths, picked, known, book) if paths else ([], [])
+            grown = picked.join(guess.filter("action = 'append'").select("path"), "path", "left_semi")
+            on = _read_on(source, grown, known, store, version, book)
+            rest = picked if on is None else picked.join(on.actions.select("path"), "path", "left_anti")
+            paths = [r.path for r in rest.select("path").orderBy("path").collect()]
+            got, failed = _read_what_can_be(source, paths, rest if on is None else cut_lineage(rest), known, book) if paths else ([], [])
+            if on is not None:
+                got.append(on)
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
-            errors[source.agent] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
+            errors[source.agent] = _told(error)
             continue
         files = guess if files is None else files.unionByName(guess)
         parts += got
         waiting.append(guess.filter(F.col("action").isin("append", "replace")).select("path").join(picked, "path", "left_anti"))
         unread += [(path, source.agent, error) for path, error in failed]
         if failed:
-            errors[source.agent] = f"{len(failed)} of {len(paths)} failed; first: {failed[0][0]}: {failed[0][1]}"
+            errors[source.agent] = f"{len(failed)} of {picked.count()} failed; first: {failed[0][0]}: {failed[0][1]}"
 
     listing = files if files is not None else spark.createDataFrame([], "path STRING")
     whole = [s.agent for s in sources if files is not None and (s.agent not in errors or " failed; first: " in errors[s.agent])]
@@ -177,6 +232,11 @@ def run_pass(
         # A title is set when a session is first stored and stays.
         old = state.upsert(old, identities.select(*old.columns), keys=["uid"], keep=["title"], keep_if_empty=["project"])
         changes["file_state"] = _file_rows(actions, identities, stamp)
+        anew = actions.filter("action = 'replace'").select("path")
+        for table, rows in (("tails", [p.tails for p in parts if p.tails is not None]), ("closed", [p.closed for p in parts if p.closed is not None])):
+            if rows:
+                changes[table] = stacked(rows)
+        resets["closed"] = anew
     changes["identities"] = state.mark_orphaned(old.join(seen.distinct(), "uid", "left_semi"), gone, back)
     resets["file_state"] = gone.select("path")
     resets["failures"] = over
@@ -196,13 +256,17 @@ def run_pass(
 def _file_rows(actions: DataFrame, identities: DataFrame, stamp) -> DataFrame:
     """New state of the files just read. What is consumed ends at the last newline."""
     owner = identities.groupBy("path").agg(F.min("uid").alias("session_uid"))
-    return actions.join(owner, "path", "left").select(
+    # Where tasks cannot open a path at an offset there is no digest, and a log that grew is read from its start.
+    some = actions.select("path").first()
+    ends = windows(actions.select("path", F.coalesce("read", F.lit(0)).alias("upto"))) if some is not None and can_seek(some.path) else (
+        actions.select("path", F.lit(None).cast("string").alias("windows")))
+    return actions.join(owner, "path", "left").join(ends, "path", "left").select(
         "path", "agent", "size", "mtime",
         F.coalesce("read", F.lit(0)).alias("consumed"),
         F.coalesce("prefix_hash", F.lit("")).alias("prefix_hash"),
         F.coalesce("prefix_len", F.lit(0)).alias("prefix_len"),
         F.lit("bytes").alias("cursor"), F.coalesce("session_uid", F.lit("")).alias("session_uid"),
-        F.lit(False).alias("complete"), stamp.alias("scanned_at"),
+        F.lit(False).alias("complete"), stamp.alias("scanned_at"), "windows",
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import state
+from ..sources import resume
 
 # Key columns, schema, columns that stay as first written, and those that only a non-empty value replaces.
 TABLES = {
@@ -25,6 +26,8 @@ TABLES = {
     "file_state": (["path"], schemas.FILE_STATE, [], []),
     "scan_status": (["agent"], schemas.SCAN_STATUS, [], []),
     "failures": (["path"], schemas.FAILURES, [], []),
+    "tails": (["path"], resume.TAIL, [], []),
+    "closed": (["path", "key"], resume.CLOSED, [], []),
 }
 PASSES = "pass STRING, number BIGINT, base BIGINT"
 RESETS = "target STRING, key STRING, pass STRING"

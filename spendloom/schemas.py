@@ -42,7 +42,7 @@ IDENTITIES = """
 FILE_STATE = """
     path STRING, agent STRING, size BIGINT, mtime TIMESTAMP, consumed BIGINT,
     prefix_hash STRING, prefix_len BIGINT, cursor STRING, session_uid STRING,
-    complete BOOLEAN, scanned_at TIMESTAMP
+    complete BOOLEAN, scanned_at TIMESTAMP, windows STRING
 """
 
 SCAN_STATUS = """

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..functions.tokens import estimated_reasoning, stated_reasoning, thinking_bytes
 from ..operators.ordered import ROWS_PER_CHUNK, carry
-from . import common
+from . import common, resume
 from .lines import decode
 
 MEMBERS = """type: STRING, timestamp: VARIANT, uuid: VARIANT, cwd: VARIANT,
@@ -20,9 +20,10 @@ SYNTHETIC = "<synthetic>"
 
 def events(lines: DataFrame) -> DataFrame:
     r, m = F.col("r"), F.col("r.message")
-    rec = decode(lines, MEMBERS).filter("r is not null").select(
+    rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).filter("r is not null").select(
         "path",
         "ordinal",
+        "replayed",
         r.type.alias("type"),
         fields.time_micros(r.timestamp).alias("us"),
         F.nullif(fields.text(r.uuid), F.lit("")).alias("uuid"),
@@ -64,7 +65,7 @@ def events(lines: DataFrame) -> DataFrame:
     )
     blocks = F.transform(fields.items(F.col("content")), block)
     return rec.select(
-        "path", "ordinal", "us", "project_seen",
+        "path", "ordinal", "replayed", "us", "project_seen",
         F.lit(None).cast("string").alias("uid_seen"),
         F.lit(None).cast("string").alias("title_seen"),
         user.alias("user"),
@@ -103,6 +104,11 @@ def marked(ev: DataFrame) -> DataFrame:
     )
 
 
+def _only_replayed(rows: DataFrame) -> Column:
+    """Of a group: whether it has no line that is new."""
+    return F.min("replayed") if "replayed" in rows.columns else F.lit(False)
+
+
 def fold(rows: DataFrame) -> DataFrame:
     """One row per response: opening line's time, model and latency, last line's usage, all thinking."""
     head = F.struct(
@@ -116,7 +122,9 @@ def fold(rows: DataFrame) -> DataFrame:
             F.min_by(head, "ordinal").alias("head"),
             F.max_by("usage", "ordinal").alias("usage"),
             F.sum("thinking").alias("thinking"),
+            _only_replayed(rows).alias("known"),
         )
+        .filter("not known")
     )
     return folded.select(
         "head.*",
@@ -145,7 +153,9 @@ def pair_tools(blocks: DataFrame) -> DataFrame:
         .agg(
             F.max_by(row, F.when(F.col("use"), place)).alias("use"),
             F.max_by(row, F.when(~F.col("use"), place)).alias("result"),
+            _only_replayed(blocks).alias("known"),
         )
+        .filter("not known")
     )
     return paired.select(
         "session_uid", "project", "call_key",
@@ -171,7 +181,7 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
         F.concat(F.lit("msg:"), F.coalesce("message_id", "uuid")),
     ).withColumn("call_key", F.coalesce("call_key", common.positional("n", F.col("ordinal"))))
     blocks = rows.select(
-        "path", "ordinal", "us", "session_uid", F.coalesce("project", F.lit("")).alias("project"),
+        "path", "ordinal", "replayed", "us", "session_uid", F.coalesce("project", F.lit("")).alias("project"),
         F.posexplode("tools").alias("pos", "t"),
     ).select("*", "t.*")
     return common.Normalised(
@@ -179,3 +189,21 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
         common.finish_tools(pair_tools(blocks), AGENT),
         common.identities(ev, AGENT),
     )
+
+
+def needs(lines: DataFrame) -> resume.Needs:
+    """The last request, responses that may go on, and uses of tools that have no result yet.
+
+    A response may go on while it is the log's last one or its last line is among the newest.
+    """
+    ev = events(lines)
+    lined = ev.filter("used and message_id is not null").select("path", F.concat(F.lit("r:"), "message_id").alias("key"), "ordinal")
+    ends = lined.groupBy("path", "key").agg(F.max("ordinal").alias("end"))
+    newest = ev.groupBy("path").agg(F.max("ordinal").alias("newest"), F.max(F.when(F.col("used") & F.col("message_id").isNotNull(), F.col("ordinal"))).alias("last"))
+    goes_on = (F.col("end") == F.col("last")) | (F.col("end") > F.col("newest") - resume.RECENT_LINES)
+    responses = lined.join(ends.join(newest, "path").select("path", "key", goes_on.alias("open")), ["path", "key"])
+    blocks = ev.select("path", "ordinal", F.explode("tools").alias("t")).filter("t.id is not null").select(
+        "path", F.concat(F.lit("t:"), "t.id").alias("key"), "ordinal", "t.use")
+    done = blocks.groupBy("path", "key").agg(F.max(~F.col("use")).alias("done"))
+    tools = blocks.join(done, ["path", "key"]).select("path", "key", "ordinal", (~F.col("done")).alias("open"))
+    return resume.Needs(resume.points(marked(opened(ev)), ("mark",)), responses.select("path", "key", "ordinal", "open").unionByName(tools))

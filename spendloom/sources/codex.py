@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators.ordered import ROWS_PER_CHUNK, carry
-from . import common
+from . import common, resume
 from .lines import decode
 
 MEMBERS = """type: STRING, timestamp: VARIANT, cwd: VARIANT,
@@ -33,9 +33,10 @@ def _stated(usage: Column) -> Column:
 
 def events(lines: DataFrame) -> DataFrame:
     r, p = F.col("r"), F.col("r.payload")
-    rec = decode(lines, MEMBERS).select(
+    rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).select(
         "path",
         "ordinal",
+        "replayed",
         r.type.alias("type"),
         fields.time_micros(r.timestamp).alias("us"),
         p.type.alias("event"),
@@ -52,6 +53,7 @@ def events(lines: DataFrame) -> DataFrame:
     return rec.filter(F.col("type").isin("session_meta", "session", "turn_context") | counted).select(
         "path",
         "ordinal",
+        "replayed",
         # A change of settings is not an observed moment of the session.
         F.when(meta | counted, F.col("us")).alias("us"),
         F.when(meta, F.col("id")).alias("uid_seen"),
@@ -104,7 +106,7 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
         first_before={"title": F.col("title_seen")},
         first_of_key={"uid": F.col("uid_seen"), "project": F.col("project_seen")},
         rows_per_chunk=rows_per_chunk,
-    ).filter("counted")
+    ).filter("counted and not replayed")
     calls = counter_deltas(rows).select(
         common.session_uid(F.col("uid")).alias("session_uid"),
         "project",
@@ -129,3 +131,8 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
     return common.Normalised(
         common.finish_calls(calls, AGENT), common.finish_tools(no_tools, AGENT), common.identities(ev, AGENT)
     )
+
+
+def needs(lines: DataFrame) -> resume.Needs:
+    """The last running total."""
+    return resume.Needs(resume.points(events(lines), ("total",)))

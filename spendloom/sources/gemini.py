@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators.ordered import ROWS_PER_CHUNK, carry
-from . import common
+from . import common, resume
 from .lines import decode
 
 MEMBERS = """type: STRING, id: VARIANT, sessionId: VARIANT, timestamp: VARIANT, startTime: VARIANT,
@@ -18,9 +18,10 @@ SLOWEST_RESPONSE = 300
 
 def events(lines: DataFrame) -> DataFrame:
     r = F.col("r")
-    rec = decode(lines, MEMBERS).filter("r is not null").select(
+    rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).filter("r is not null").select(
         "path",
         "ordinal",
+        "replayed",
         F.coalesce(r.type, F.lit("")).alias("type"),
         F.coalesce(fields.time_micros(r.timestamp), fields.time_micros(r.startTime)).alias("us"),
         F.nullif(fields.text(r.id), F.lit("")).alias("id"),
@@ -52,6 +53,7 @@ def events(lines: DataFrame) -> DataFrame:
     return rec.select(
         "path",
         "ordinal",
+        "replayed",
         F.when(used | user, F.col("us")).alias("us"),
         "uid_seen",
         F.lit(None).cast("string").alias("project_seen"),
@@ -97,7 +99,7 @@ def normalise(
         last_before={"asked": F.col("mark")},
         first_of_key={"uid": F.col("uid_seen")},
         rows_per_chunk=rows_per_chunk,
-    ).filter("call is not null")
+    ).filter("call is not null and not replayed")
     rows = name_projects(rows.withColumn("session_uid", common.session_uid(F.col("uid"))), roots)
     calls = rows.select(
         "session_uid", "project", "us", F.col("call.key").alias("call_key"), "call.model",
@@ -113,3 +115,8 @@ def normalise(
     return common.Normalised(
         common.finish_calls(calls, AGENT), common.finish_tools(tools, AGENT), known
     )
+
+
+def needs(lines: DataFrame) -> resume.Needs:
+    """The last request; tool names stand on the response."""
+    return resume.Needs(resume.points(events(lines), ("mark",)))

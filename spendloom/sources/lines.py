@@ -7,6 +7,12 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+#: Bytes at the start and at the end of what was consumed whose digest tells whether a log still begins with it.
+WINDOW = 4096
+#: Bytes of a file that one task reads from an offset.
+RANGE = 64 << 20
 # Directories below a root that hold no logs.
 NOISE_DIRS = ["node_modules", ".git", "__pycache__", "target", "dist", "build"]
 
@@ -193,6 +199,102 @@ def _stream_lines(files: DataFrame) -> DataFrame:
     return rows.select(_plain_path(F.col("path")).alias("path"), "ordinal", F.col("raw").cast("string").alias("line"))
 
 
+def _opened(path: str):
+    """The file system of a path, and the path as it names it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+
+
+def can_seek(path: str) -> bool:
+    """Whether tasks can open a path of this kind at an offset."""
+    try:
+        _opened(path)
+    except Exception:  # noqa: BLE001 - a file system that pyarrow does not know
+        return False
+    return True
+
+
+def windows(files: DataFrame) -> DataFrame:
+    """``path, windows`` of ``files(path, upto)``: a digest of the first and the last WINDOW bytes before ``upto``.
+
+    Null where the file is shorter than that or cannot be read.
+    """
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for path, upto in zip(batch.column("path").to_pylist(), batch.column("upto").to_pylist(), strict=True):
+                try:
+                    system, inner = _opened(path)
+                    with system.open_input_file(inner) as raw:
+                        head = raw.read(min(WINDOW, upto))
+                        raw.seek(max(0, upto - WINDOW))
+                        tail = raw.read(min(WINDOW, upto))
+                    whole = len(head) == len(tail) == min(WINDOW, upto)
+                    out.append(hashlib.sha256(head + tail).hexdigest() if whole else None)
+                except Exception:  # noqa: BLE001 - told by whoever reads the file
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "windows"])
+
+    return files.select("path", F.col("upto").cast("bigint").alias("upto")).mapInArrow(digest, "path STRING, windows STRING")
+
+
+def read_ranges(files: DataFrame, agent: str, chunk: int = RANGE) -> DataFrame:
+    """``path, agent, ordinal, line`` of the complete lines of ``files(path, start, size, first)`` from byte ``start`` on.
+
+    ``start`` is where a line begins and ``first`` its number. A file is cut into
+    ranges of ``chunk`` bytes, each read by a task that opens it there; a line
+    belongs to the range it begins in, and is numbered from what the ranges
+    before hold.
+    """
+
+    def read(batches):
+        import io
+
+        import pyarrow as pa
+
+        names = ["path", "begin", "at", "raw"]
+        for batch in batches:
+            for job in batch.to_pylist():
+                system, inner = _opened(job["path"])
+                with system.open_input_file(inner) as raw:
+                    at = job["begin"]
+                    # A range that does not begin a file begins behind the next newline.
+                    raw.seek(at - (at > job["start"]))
+                    source = io.BufferedReader(raw, 1 << 20)
+                    if at > job["start"]:
+                        at += len(source.readline()) - 1
+                    rows, held, n = [], 0, 0
+                    while at < job["end"]:
+                        line = source.readline()
+                        if not line.endswith(b"\n"):
+                            break
+                        rows.append((job["path"], job["begin"], n, line[:-1]))
+                        at += len(line)
+                        held += len(line)
+                        n += 1
+                        if held > 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                            rows, held = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+
+    begins = F.sequence("start", F.greatest("start", F.col("size") - 1), F.lit(chunk).cast("bigint"))
+    ranges = files.filter("size > start").select("path", "start", "size", F.explode(begins).alias("begin"))
+    ranges = ranges.select("path", "start", "begin", F.least("size", F.col("begin") + chunk).alias("end")).repartition("path", "begin")
+    rows = cut_lineage(ranges.mapInArrow(read, "path STRING, begin BIGINT, at BIGINT, raw BINARY"))
+    before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    shift = rows.groupBy("path", "begin").agg(F.count(F.lit(1)).alias("n")).select(
+        "path", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return rows.join(shift, ["path", "begin"]).join(files.select("path", "first"), "path").select(
+        "path", F.lit(agent).alias("agent"), (F.col("first") + F.col("shift") + F.col("at")).alias("ordinal"), F.col("raw").cast("string").alias("line"))
+
+
 def unreadable(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
     """The error of every file that cannot be opened or read to its end, found by one job.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators.ordered import ROWS_PER_CHUNK, carry
-from . import common
+from . import common, resume
 from .lines import decode
 
 MEMBERS = """type: STRING, id: VARIANT, cwd: VARIANT, timestamp: VARIANT,
@@ -17,9 +17,10 @@ AGENT = "pi"
 
 def events(lines: DataFrame) -> DataFrame:
     r, m = F.col("r"), F.col("r.message")
-    rec = decode(lines, MEMBERS).select(
+    rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).select(
         "path",
         "ordinal",
+        "replayed",
         r.type.alias("type"),
         fields.time_micros(r.timestamp).alias("us"),
         F.nullif(fields.text(r.id), F.lit("")).alias("id"),
@@ -82,6 +83,7 @@ def events(lines: DataFrame) -> DataFrame:
     return rec.select(
         "path",
         "ordinal",
+        "replayed",
         "us",
         F.when(header, F.col("id")).alias("uid_seen"),
         F.when(header, F.col("cwd")).alias("project_seen"),
@@ -103,19 +105,19 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
         rows_per_chunk=rows_per_chunk,
     ).withColumn("session_uid", common.session_uid(F.col("uid")))
     asked = F.when(~F.col("call.self_asked"), F.col("asked.us"))
-    calls = rows.filter("call is not null").select(
+    calls = rows.filter("call is not null and not replayed").select(
         "session_uid", "project", "us", F.col("call.key").alias("call_key"), "call.model",
         *[f"call.{p}" for p in common.CALL_PARTS],
         common.response_seconds(asked, F.col("us")).alias("llm_seconds"),
     )
-    blocks = rows.select("path", "ordinal", "us", "session_uid", "project", F.posexplode("tools").alias("pos", "t"))
+    blocks = rows.select("path", "ordinal", "replayed", "us", "session_uid", "project", F.posexplode("tools").alias("pos", "t"))
     place = F.struct("ordinal", "pos")
     uses = (
         blocks.filter("t.use")
         .groupBy("path", F.col("t.id").alias("id"))
         .agg(F.min(place).alias("used_at"), F.max_by("t.name", place).alias("name"))
     )
-    results = blocks.filter("t.result").withColumn("id", F.col("t.id")).join(uses, ["path", "id"], "left")
+    results = blocks.filter("t.result and not replayed").withColumn("id", F.col("t.id")).join(uses, ["path", "id"], "left")
     tools = results.select(
         "session_uid", "project", "us",
         common.positional("t", F.col("ordinal"), F.col("pos")).alias("call_key"),
@@ -125,3 +127,13 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
     return common.Normalised(
         common.finish_calls(calls, AGENT), common.finish_tools(tools, AGENT), common.identities(ev, AGENT)
     )
+
+
+def needs(lines: DataFrame) -> resume.Needs:
+    """The last request, and the uses of tools that have no result yet."""
+    ev = events(lines)
+    blocks = ev.select("path", "ordinal", F.explode("tools").alias("t")).select(
+        "path", F.concat(F.lit("t:"), "t.id").alias("key"), "ordinal", "t.result").filter("key is not null")
+    done = blocks.groupBy("path", "key").agg(F.max("result").alias("done"))
+    keyed = blocks.join(done, ["path", "key"]).select("path", "key", "ordinal", (~F.col("done")).alias("open"))
+    return resume.Needs(resume.points(ev, ("mark",)), keyed)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import claude, codex, gemini, pi
 from .common import Normalised
 from .lines import discover, read_lines
+from .resume import NeedsOf
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,8 @@ class LogSource:
     ext: str = ".jsonl"
     recurse: bool = True
     options: dict = field(default_factory=dict)
+    #: What later lines need of earlier ones; without it a log that grew is read from its start.
+    needs: NeedsOf | None = None
 
     def files(self, spark: SparkSession) -> DataFrame:
         return discover(spark, self.roots, self.ext, self.recurse)
@@ -43,12 +46,8 @@ HOME_ROOTS = {
     "opencode": [".local/share/opencode/opencode.db"],
 }
 
-NORMALISERS = {
-    "pi": pi.normalise,
-    "claude": claude.normalise,
-    "codex": codex.normalise,
-    "gemini": gemini.normalise,
-}
+FORMATS = {"pi": pi, "claude": claude, "codex": codex, "gemini": gemini}
+NORMALISERS = {agent: module.normalise for agent, module in FORMATS.items()}
 
 
 def log_sources(home: str) -> list[LogSource]:
@@ -59,6 +58,6 @@ def log_sources(home: str) -> list[LogSource]:
     """
     home = home.rstrip("/")
     return [
-        LogSource(agent, tuple(f"{home}/{root}" for root in HOME_ROOTS[agent]), normalise)
-        for agent, normalise in NORMALISERS.items()
+        LogSource(agent, tuple(f"{home}/{root}" for root in HOME_ROOTS[agent]), module.normalise, needs=module.needs)
+        for agent, module in FORMATS.items()
     ]
