@@ -34,7 +34,7 @@ SMALL = 100
 #: Members of one star that a task verifies against its centre.
 STAR_SHARE = 250
 #: Documents and shingles of a block that the rest of its family is looked up in, and documents of a share of the family.
-BLOCK_DOCS, BLOCK_SHINGLES, SHARE_DOCS = 256, 200_000, 2000
+BLOCK_DOCS, BLOCK_SHINGLES, SHARE_DOCS = 4096, 1 << 20, 2000
 #: Cells of the table of counts that orders shingles by rarity.
 CELLS = 1 << 18
 _ORDERS: dict[int, np.ndarray] = {}
@@ -304,11 +304,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.count(F.lit(1)).alias("copies"))
     )
     placed = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    stars = placed.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = store(placed.join(store(stars.select("key", "centre")), "key").select("key", "centre", "rep", "n_shingles"))
+    least = F.min(F.struct("rep", "n_shingles")).alias("least")
+    stars = placed.groupBy("key").agg(least, F.count(F.lit(1)).alias("members")).where("members > 1")
+    stars = stars.select("key", F.col("least.rep").alias("centre"), F.col("least.n_shingles").alias("centre_n"))
+    members = store(placed.join(store(stars), "key").select("key", "centre", "centre_n", "rep", "n_shingles"))
     small = classes.where(F.col("n_shingles") < SMALL).select(F.col("rep").alias("id"))
     sets = shingle_sets(base, members.select(F.col("rep").alias("id")).union(small).distinct(), width)
-    first = store(members.where("centre <> rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    # Sets of which one is too small a part of the other cannot link.
+    fits = F.expr(f"100 * LEAST(n_shingles, centre_n) >= {int(threshold)} * GREATEST(n_shingles, centre_n)")
+    first = store(members.where("centre <> rep").where(fits).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     seen = verified(sets, first)
     found = store(components(seen.where(F.expr(f"100 * both >= {int(threshold)} * (na + nb - both)")).select("a", "b")))
     links, found = _more_links(members, seen, found, sets, small, threshold)
