@@ -19,9 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered, working
+
 #: Entries of each word table, of at most SHORT characters; a full table starts anew. Both tables of a worker process take
-#: about 25 MB, which stay as long as the process.
-TABLE = 1 << 16
+#: about 65 MB when full, kept until another operator's task comes.
+TABLE = 1 << 18
 #: Words of at most this many bytes are merged in the rank array, longer ones through a heap.
 SHORT = 128
 NONE = 1 << 63
@@ -193,7 +195,7 @@ class Encoder:
         return b"".join([of[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = remembered("bpe", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -215,6 +217,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        working("bpe")
         coder = encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):

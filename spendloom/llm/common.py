@@ -13,6 +13,23 @@ from pyspark.sql import Window
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: What a worker process keeps between tasks, with the operator it belongs to.
+_REMEMBERED: list[tuple[str, dict]] = []
+
+
+def remembered(owner: str, held: dict) -> dict:
+    """``held``, known as something that the tasks of ``owner`` keep in their worker process."""
+    _REMEMBERED.append((owner, held))
+    return held
+
+
+def working(owner: str) -> None:
+    """Called by a task: forget what the tasks of other operators left in this process, which outlives its stage."""
+    for other, held in _REMEMBERED:
+        if other != owner:
+            held.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

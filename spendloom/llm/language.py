@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import store
+from .common import store, working
 
 #: n-grams of a profile, of a document, and the longest n.
 PROFILE, TOP, LONGEST = 400, 300, 3
@@ -108,6 +108,7 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", si
             return sum(len(p[0][0]) for p in sums.values())
 
         loose = 0
+        working("language")
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 keys, n = grams(text.as_py(), longest)
@@ -177,6 +178,7 @@ def predict(docs: DataFrame, found: dict[str, np.ndarray], id_col: str = "doc_id
     profile_of = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("language")
         matcher = Matcher(profile_of.value, size)
         for batch in batches:
             said = [matcher.predict(t.as_py()) for t in batch.column("text")]
@@ -234,6 +236,7 @@ def drop_unknown(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((found, bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("language")
         profile_of, bound_of = shared.value
         matcher = Matcher(profile_of)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep_documents, store
+from .common import components, keep_documents, store, working
 from .shingles import U, WIDTH, mix, shared, shingle_set, stream
 
 BANDS, ROWS = 30, 4
@@ -86,6 +86,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                         ("keys", pa.list_(pa.int64())), *([("mark", pa.int64())] if marked else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("near dedup")
         for batch in batches:
             for part in _pieces(batch):
                 size, one, two, keys = [], [], [], []

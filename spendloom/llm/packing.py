@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import store
+from .common import remembered, store, working
 
 LENGTH = 1024
 END = 2
@@ -29,7 +29,7 @@ FULL_ENOUGH = 0.98
 #: Passes over the items of a shard at most.
 PASSES = 12
 
-_CODERS: dict[str, bpe.Encoder] = {}
+_CODERS: dict[str, bpe.Encoder] = remembered("packing", {})
 
 
 def coder(path: str) -> bpe.Encoder:
@@ -55,6 +55,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_
     last = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("packing")
         own = coder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import remembered, store, working
 
 #: Hash buckets of words and of word shapes together.
 BUCKETS = 1 << 18
@@ -39,8 +39,8 @@ STEM = 5
 REPEAT = BUCKETS - 1
 #: A document is kept when it is in the best grade with this probability or more.
 KEEP_FROM = 0.5
-#: Tokens a worker process remembers, of at most 64 characters: about 10 MB, which stay as long as the process.
-TABLE = 1 << 16
+#: Tokens a worker process remembers, of at most 64 characters: about 65 MB when full, kept until another operator's task comes.
+TABLE = 1 << 19
 _FIRST, _LAST = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"(?r)[\p{L}\p{N}]")
 _RUNS = regex.compile(r"(.)\1+")
 _UPPER, _LOWER, _DIGIT = regex.compile(r"\p{Lu}"), regex.compile(r"[\p{Ll}\p{Lo}]"), regex.compile(r"\p{N}")
@@ -74,7 +74,7 @@ class _Tokens(dict):
         return both
 
 
-_TOKENS = _Tokens()
+_TOKENS = remembered("quality", _Tokens())
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +167,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, bound: int = SAMPLE) -> Da
     chosen = known.where(place <= int((1 << 40) * min(1.0, 1.2 * bound / max(n, 1)))).orderBy(place, "doc_id").limit(bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
@@ -246,6 +247,7 @@ def judged(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         m = shared_model.value
         none = np.zeros(1 + len(m.steps))
         for batch in batches:
@@ -281,6 +283,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, keep_from
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         m = shared_model.value
 
         def good(text: str | None) -> bool:
