@@ -176,6 +176,29 @@ def reprice(calls: DataFrame, prices: PriceList) -> DataFrame:
     return price_calls(calls.withColumn("sized", known), prices).drop("sized")
 
 
+def affected_calls(calls: DataFrame, old: PriceList, new: PriceList) -> DataFrame:
+    """The calls that two price lists may price differently; all others have the same cost under both.
+
+    A call is among them if its model resolves to another key, or if its prompt
+    size lies in a band of its key that only one of the lists has. Both tests
+    are made on distinct models and on bands; calls are only looked up.
+    """
+    models = calls.select("model").distinct()
+    was = resolve_models(models, old.prices).select("model", F.col("rate_key").alias("_old_key"))
+    now = resolve_models(models, new.prices).select("model", F.col("rate_key").alias("_new_key"))
+    resolved = was.join(now, "model")
+    moved = resolved.filter("NOT (_old_key <=> _new_key)").select("model", F.lit(None).cast("bigint").alias("_from"), F.lit(None).cast("bigint").alias("_to"))
+    before, after = rate_bands(old.prices), rate_bands(new.prices)
+    differing = before.exceptAll(after).union(after.exceptAll(before)).groupBy("rate_key", "band_from", "band_to").agg(F.lit(1))
+    same = resolved.filter("_old_key <=> _new_key")
+    rated = same.join(differing, same["_new_key"] == differing["rate_key"]).select(
+        "model", F.col("band_from").cast("bigint").alias("_from"), F.col("band_to").cast("bigint").alias("_to"))
+    wanted = moved.union(rated).withColumnRenamed("model", "_model")
+    prompt = prompt_tokens()
+    hit = (F.col("model") == F.col("_model")) & (F.col("_from").isNull() | ((prompt >= F.col("_from")) & (prompt < F.col("_to"))))
+    return calls.join(wanted, hit, "left_semi")
+
+
 def fallback_reachability(prices: DataFrame) -> DataFrame:
     """For each fallback pattern, whether the catalogue leaves it the only price."""
     live = prices.filter("source = 'catalogue'").select(F.col("key").alias("normal")).distinct()

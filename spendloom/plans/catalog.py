@@ -12,11 +12,11 @@ from ..functions import display, fields, names, tokens
 from ..operators import activity as act
 from ..operators import asof, filters, ordered, pricing, rollups, sessions, state
 from ..schemas import AGENTS
-from ..session import shared_folder
-from ..sources import agy, claude, codex, common, gemini, lines, opencode, pi, prices
+from ..session import cut_lineage, shared_folder
+from ..sources import agy, claude, codex, common, gemini, lines, opencode, pi, prices, resume
 from . import fixture_logs as logs
 from . import fixtures as fx
-from . import report
+from . import ingest, report
 from .store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -757,13 +757,58 @@ def inherit_project(spark, sf):
     return state.inherit_project(appended, stored).select("session_uid", "call_key", "project")
 
 
+def _new_store(spark) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query
+def sessions_maintained(spark, sf):
+    """Sessions as passes keep them: some calls with other figures, then all calls and tools, a reset, sessions forgotten and read again."""
+    c, t = fx.calls(spark, sf), fx.tool_calls(spark, sf)
+    gone = c.filter("model = 'o3'").select("session_uid").distinct()
+    store = _new_store(spark)
+    ingest.publish(store, {"calls": c.filter("ts % 2 = 0").withColumn("total_tokens", F.col("total_tokens") * 2)})
+    ingest.publish(store, {"calls": c, "tool_calls": t})
+    store.compact()
+    ingest.publish(store, {}, {"calls": gone, "tool_calls": gone})
+    own = lambda rows: rows.join(gone, "session_uid", "left_semi")
+    ingest.publish(store, {"calls": own(c), "tool_calls": own(t)}, {"calls": gone})
+    return with_money(ingest.sessions(store)).drop("path", "title")
+
+
+@query
+def reprice_changed(spark, sf):
+    """Sessions after a new price list, where only calls that the two lists may price differently are worked out and written."""
+    store = _new_store(spark)
+    ingest.publish(store, {"calls": fx.calls(spark, sf), "tool_calls": fx.tool_calls(spark, sf)})
+    ingest.reprice_store(store, fx.doubled_price_list(spark).prices, fx.price_list(spark).prices)
+    return with_money(ingest.sessions(store)).select("uid", "calls", "total_tokens", "cost")
+
+
+@query
+def resumed_read(spark, sf):
+    """The logs of four formats in two reads, the second half of each from the first one's tail; a log that comes back to
+    something closed is read whole."""
+    out = None
+    for module, made in ((pi, logs.pi_lines), (claude, logs.claude_lines), (codex, logs.codex_lines), (gemini, logs.gemini_lines)):
+        every = cut_lineage(made(spark, sf))
+        halves = every.join(every.groupBy("path").agg(F.max("ordinal").alias("end")), "path")
+        first, second = (cut_lineage(halves.filter(test).drop("end")) for test in ("2 * ordinal <= end", "2 * ordinal > end"))
+        rest, again = resume.read_on(module.normalise, module.needs, first, second)
+        whole = module.normalise(every.join(again, "path", "left_semi")).calls
+        calls = cut_lineage(state.upsert_calls(module.normalise(first).calls, rest.calls.unionByName(whole)))
+        out = calls if out is None else out.unionByName(calls)
+    return priced_calls(spark, common.Normalised(out, out, out))
+
+
 @query
 def read_latest(spark, sf):
-    """Two passes into stored tables: the second rewrites some calls and resets the sessions that used one model."""
+    """All calls, then a pass that rewrites some and resets the sessions that used one model, with a compaction in between."""
     c = fx.calls(spark, sf)
-    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store = _new_store(spark)
     second = c.filter("ts % 2 = 0")
-    store.append({"calls": c.filter("ts % 3 = 0").withColumn("model", F.lit("old"))})
+    store.append({"calls": c.withColumn("model", F.lit("old"))})
+    store.compact()
     store.append({"calls": second}, {"calls": second.filter("model = 'o3'").select("session_uid")})
     return store.read("calls").select("session_uid", "call_key", "model", "total_tokens")
 
@@ -801,7 +846,7 @@ def classify_files(spark, sf):
 @query
 def changed_files(spark, sf):
     known, listing = file_state_and_listing(spark, sf)
-    return state.take_changed(state.classify_files(listing, known), 20).select("agent", "path", "action")
+    return state.take_changed(state.classify_files(listing, known)).select("agent", "path", "action")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
-from ..operators.pricing import PriceList, price_calls, reprice
+from ..operators.pricing import PriceList, affected_calls, price_calls, reprice
 from ..operators.sessions import session_calls, sessions_rollup
 from ..session import cut_lineage
 from ..sources import resume
@@ -250,7 +250,7 @@ def run_pass(
     classified = spark.createDataFrame([], "agent STRING, action STRING") if files is None else files
     changes["scan_status"] = state.record_status(
         store.read("scan_status", version), state.scan_status(classified, counted, failed, stamp))
-    return PassResult(store.append(changes, resets), n_changed, n_gone, errors)
+    return PassResult(publish(store, changes, resets), n_changed, n_gone, errors)
 
 
 def _file_rows(actions: DataFrame, identities: DataFrame, stamp) -> DataFrame:
@@ -270,16 +270,24 @@ def _file_rows(actions: DataFrame, identities: DataFrame, stamp) -> DataFrame:
     )
 
 
-def reprice_store(store: Store, prices: DataFrame) -> int:
-    """Price every stored call anew; sessions follow because they are rolled up on read.
+def reprice_store(store: Store, prices: DataFrame, before: DataFrame | None = None) -> int:
+    """Bring stored calls to a price list, and their sessions with them; only calls whose price changes are written.
 
-    If another pass comes in between, the prices are worked out once more.
+    With ``before``, the list they were priced from, only calls that the two
+    lists may price differently are worked out at all. Prices that change
+    nothing write nothing. If another pass comes in between, it starts over.
     """
     while True:
         version = store.version()
         rows = store.read("calls", version)
+        if before is not None:
+            rows = affected_calls(rows, PriceList(before), PriceList(prices))
+        new = reprice(rows.withColumn("_cost", F.col("cost_usd")).withColumn("_was", F.col("priced")), PriceList(prices))
+        changed = cut_lineage(new.filter("NOT (cost_usd <=> _cost AND priced <=> _was)").select(*rows.columns))
+        if changed.isEmpty():
+            return version
         try:
-            return store.append({"calls": reprice(rows, PriceList(prices)).select(*rows.columns)}, after=version)
+            return publish(store, {"calls": changed}, after=version)
         except OldBaseError:
             continue
 
@@ -287,12 +295,50 @@ def reprice_store(store: Store, prices: DataFrame) -> int:
 def forget(store: Store, uid: str) -> int:
     """Delete one session with all its rows."""
     one = store.spark.createDataFrame([(uid,)], "uid STRING")
-    return store.append({}, dict.fromkeys(("calls", "tool_calls", "identities"), one))
+    return publish(store, {}, dict.fromkeys(("calls", "tool_calls", "identities"), one))
+
+
+FACTS = ("calls", "tool_calls", "identities")
+#: So many touched sessions are named in the scan's filter; more are a join.
+NAMED_SESSIONS = 500
+
+
+def publish(store: Store, changes: dict[str, DataFrame], resets: dict[str, DataFrame] | None = None, after: int | None = None) -> int:
+    """Append a pass, and with it the rows of the sessions whose calls, tool calls or identity it touches.
+
+    Only these sessions are rolled up again, from their own rows; all others keep the row they have.
+    """
+    resets = dict(resets or {})
+    sides = [changes[t].select(F.col(TABLES[t][0][0]).alias("uid")) for t in FACTS if t in changes]
+    sides += [resets[t].select(F.col(resets[t].columns[0]).alias("uid")) for t in FACTS if t in resets]
+    if not sides:
+        return store.append(changes, resets, after)
+    touched = sides[0]
+    for more in sides[1:]:
+        touched = touched.union(more)
+    touched = cut_lineage(touched.distinct())
+    named = [r.uid for r in touched.limit(NAMED_SESSIONS + 1).collect()]
+    resets["sessions"] = touched
+
+    def rolled(read) -> dict[str, DataFrame]:
+        def own(table: str) -> DataFrame:
+            key = TABLES[table][0][0]
+            rows = read(table)
+            if len(named) <= NAMED_SESSIONS:
+                return rows.filter(F.col(key).isin(named))
+            return rows.join(touched.select(F.col("uid").alias(key)), key, "left_semi")
+
+        columns = store.spark.createDataFrame([], TABLES["sessions"][1]).columns
+        return {"sessions": sessions_rollup(*map(own, FACTS)).select(*columns)}
+
+    return store.append(changes, resets, after, rolled)
 
 
 def sessions(store: Store, version: int | None = None) -> DataFrame:
-    """Sessions of one version of the store."""
+    """Sessions of one version of the store, as its passes left them."""
     version = store.version() if version is None else version
+    if store.has("sessions"):
+        return store.read("sessions", version)
     return sessions_rollup(store.read("calls", version), store.read("tool_calls", version), store.read("identities", version))
 
 

@@ -145,7 +145,7 @@ ORACLE["price_duplicates"] = ORACLE["tiered_cost"]
 
 ORACLE["read_latest"] = f"""{ONLY_RAW}, r AS (SELECT DISTINCT session_uid FROM raw WHERE ts % 2 = 0 AND model = 'o3')
 SELECT session_uid, call_key, CASE WHEN ts % 2 = 0 THEN model ELSE 'old' END AS model, total_tokens FROM raw
-WHERE ts % 2 = 0 OR (ts % 3 = 0 AND session_uid NOT IN (SELECT session_uid FROM r))"""
+WHERE ts % 2 = 0 OR session_uid NOT IN (SELECT session_uid FROM r)"""
 
 ORACLE["totals"] = f"""{ALL} SELECT * FROM (SELECT {USAGE}, {FIRST}, {LAST} FROM calls),
     (SELECT count(*) AS sessions, count(DISTINCT project) AS projects, count(DISTINCT agent) AS agents FROM sessions),
@@ -623,8 +623,7 @@ cl AS (SELECT agent, path, size, CASE WHEN known AND u % 7 = 0 THEN 'complete'
     WHEN known AND size = old_size AND newer = 0 THEN 'unchanged'
     WHEN known AND consumed > 0 AND size >= consumed AND u % 8 <> 1 AND u % 5 <> 3 THEN 'append' ELSE 'replace' END AS action FROM fs WHERE listed)"""
 ORACLE["classify_files"] = f"WITH {FILES} SELECT agent, path, size, action FROM cl"
-ORACLE["changed_files"] = f"""WITH {FILES}, ch AS (SELECT agent, path, action, row_number() OVER (PARTITION BY agent ORDER BY path) AS r
-    FROM cl WHERE action IN ('append', 'replace')) SELECT agent, path, action FROM ch WHERE r <= 20"""
+ORACLE["changed_files"] = f"WITH {FILES} SELECT agent, path, action FROM cl WHERE action IN ('append', 'replace')"
 ORACLE["incremental_cursor"] = f"""WITH {EVENTS}, f AS (SELECT user_id, max(event_id) AS cur FROM ev WHERE e < 1705276800 GROUP BY 1),
 fresh AS (SELECT ev.user_id, event_id FROM ev LEFT JOIN f ON f.user_id = ev.user_id WHERE cur IS NULL OR event_id > cur)
 SELECT ev.user_id, max(ev.event_id) AS cursor, (SELECT count(*) FROM fresh WHERE fresh.user_id = ev.user_id) AS fresh FROM ev GROUP BY 1"""
@@ -639,3 +638,10 @@ j AS (SELECT a.agent, CASE WHEN files_seen IS NULL THEN 'not-scanned' WHEN error
     CAST(coalesce(files_seen, 0) AS BIGINT) AS files_seen, CAST(coalesce(calls, 0) AS BIGINT) AS calls_ingested, coalesce(error, '') AS error
     FROM a LEFT JOIN st USING (agent) LEFT JOIN n USING (agent))
 SELECT *, state IN ('error', 'empty') AS attention FROM j"""
+
+# ---------------------------------------------------------------- stored state
+
+# However many passes it took, the result is that of one.
+ORACLE["resumed_read"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLE[f'ingest_{agent}']})" for agent in ("pi", "claude", "codex", "gemini"))
+ORACLE["sessions_maintained"] = ORACLE["sessions_rollup"]
+ORACLE["reprice_changed"] = ORACLE["reprice"]

@@ -1,17 +1,24 @@
 """The stored tables as plain Parquet that is only ever appended to.
 
-Every pass writes its rows below ``<table>/pass=<id>`` and, when all of them are
-there, its own row below ``passes``. A reader takes the passes that are
-published, drops what a later pass reset, and keeps the newest row per key. So a
-report never sees half a pass, a lost pass leaves rows nobody reads, what a pass
-writes is in proportion to what it read, and two passes at once both count.
+Every pass writes its rows below ``<table>/pass=<name>`` and, when all of them
+are there, its own row below ``passes``, which gives it a number. A reader takes
+the passes that are published, drops what a later one reset, and keeps the
+newest row per key. So a report never sees half a pass, a lost pass leaves rows
+nobody reads, what a pass writes is in proportion to what it read, and two
+passes at once both count, whichever began first.
+
+A compaction names the passes it takes the place of and stands in their place in
+the order, so a pass published while it ran is neither lost nor outdated by it.
+Compacted rows have one row per key: a read merges only the keys that later
+passes touch.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -28,8 +35,10 @@ TABLES = {
     "failures": (["path"], schemas.FAILURES, [], []),
     "tails": (["path"], resume.TAIL, [], []),
     "closed": (["path", "key"], resume.CLOSED, [], []),
+    "sessions": (["uid"], schemas.SESSIONS, [], []),
 }
-PASSES = "pass STRING, number BIGINT, base BIGINT"
+# A pass is seen from its number on; rank is its place in the order of writes, which of a compaction is that of what it replaces.
+PASSES = "pass STRING, number BIGINT, rank BIGINT, replaces ARRAY<STRING>"
 RESETS = "target STRING, key STRING, pass STRING"
 
 
@@ -52,6 +61,10 @@ class Store:
             return empty
         return self.spark.read.schema(empty.schema).parquet(path).select(*empty.columns)
 
+    def has(self, table: str) -> bool:
+        """Whether any pass has written rows of a table."""
+        return self._exists(f"{self.root}/{table}")
+
     # -- passes
 
     def passes(self) -> list:
@@ -65,57 +78,101 @@ class Store:
         """Number of the newest published pass, 0 before the first."""
         return max((r.number for r in self.passes()), default=0)
 
-    def _shown(self, version: int | None) -> list[str]:
-        """Passes that make up a version: from its newest compaction on."""
+    def _shown(self, version: int | None) -> list:
+        """The passes that make up a version, less those a compaction of it replaced."""
         rows = [r for r in self.passes() if version is None or r.number <= version]
-        base = max((r.base for r in rows), default=0)
-        return [r["pass"] for r in rows if r.number >= base]
+        gone = {name for r in rows for name in r.replaces}
+        return [r for r in rows if r["pass"] not in gone]
 
     # -- tables
 
+    def _rows(self, table: str, shown: list, schema: str, path: str | None = None) -> DataFrame:
+        """Rows of some passes, with ``pass`` and ``at``, which orders passes."""
+        rows = self._load(path or table, f"{schema}, pass STRING").where(F.col("pass").isin([r["pass"] for r in shown]) if shown else F.lit(False))
+        ranks = [x for r in shown for x in (F.lit(r["pass"]), F.lit(f"{r.rank:012d}-{r['pass']}"))]
+        return rows.withColumn("at", F.create_map(*ranks)[F.col("pass")] if ranks else F.lit(None).cast("string"))
+
+    def _kept(self, table: str, shown: list, resets_of: list) -> DataFrame:
+        keys, schema, *_ = TABLES[table]
+        resets = self._rows(table, resets_of, "target STRING, key STRING", "resets").where(F.col("target") == table)
+        last = resets.groupBy("key").agg(F.max("at").alias("reset")).withColumnRenamed("key", keys[0])
+        return self._rows(table, shown, schema).join(last, keys[0], "left").where("reset IS NULL OR at >= reset").drop("reset")
+
     def deltas(self, table: str, version: int | None = None) -> DataFrame:
         """Every written row of a version with its pass, less those a later pass reset."""
-        keys, schema, *_ = TABLES[table]
         shown = self._shown(version)
-        rows = self._load(table, f"{schema}, pass STRING").where(F.col("pass").isin(shown) if shown else F.lit(False))
-        resets = self._load("resets", RESETS).where((F.col("target") == table) & (F.col("pass").isin(shown) if shown else F.lit(False)))
-        last = resets.groupBy("key").agg(F.max("pass").alias("reset")).withColumnRenamed("key", keys[0])
-        return rows.join(last, keys[0], "left").where("reset IS NULL OR pass >= reset").drop("reset")
+        return self._kept(table, shown, shown).drop("at")
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A table as of a version: the newest row per key. A filter on the key reaches the scan."""
+    def read(self, table: str, version: int | None = None, also: list | None = None) -> DataFrame:
+        """A table as of a version: the newest row per key. A filter on the key reaches the scan.
+
+        ``also`` are passes that are written and not yet published.
+        """
         keys, schema, keep, keep_if_empty = TABLES[table]
-        none = self.spark.createDataFrame([], f"pass STRING, {schema}")
-        # With the pass in front, the order of rows is by pass and then total.
-        rows = self.deltas(table, version).select(*none.columns)
-        return state.upsert(none, rows, keys=keys, keep=keep, keep_if_empty=keep_if_empty).drop("pass")
+        shown = [*self._shown(version), *(also or [])]
+        base = [r for r in shown if len(r.replaces)]
+        newer = [r for r in shown if not len(r.replaces)]
+        none = self.spark.createDataFrame([], f"at STRING, {schema}")
+
+        def merged(rows: DataFrame) -> DataFrame:
+            # With the pass in front, the order of rows is by pass and then total.
+            return state.upsert(none, rows.select(*none.columns), keys=keys, keep=keep, keep_if_empty=keep_if_empty).drop("at")
+
+        if len(base) != 1:
+            return merged(self._kept(table, shown, shown))
+        whole = self._kept(table, base, newer)
+        if not newer:
+            return whole.select(*none.drop("at").columns)
+        delta = self._kept(table, newer, newer)
+        touched = delta.select(*keys).distinct()
+        again = merged(whole.join(touched, keys, "left_semi").select(*none.columns).unionByName(delta.select(*none.columns)))
+        return whole.join(touched, keys, "left_anti").select(*again.columns).unionByName(again)
 
     def append(self, changes: dict[str, DataFrame], resets: dict[str, DataFrame] | None = None, after: int | None = None,
-               base: bool = False) -> int:
+               derive: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]] | None = None) -> int:
         """Write rows of some tables, and keys whose earlier rows no longer count, and publish both at once.
 
         ``after`` is the version the rows were derived from where they hold only
         if nothing came since; a newer one raises OldBaseError before anything
-        is published. ``base`` publishes the rows as all there is up to now.
+        is published. ``derive`` gives rows of further tables from a reader of
+        the tables as this pass leaves them; it is asked again if another pass
+        comes in between.
         """
+        if after is not None and self.version() != after:
+            raise OldBaseError(f"version {self.version()} is newer than {after}, which this write was made from")
+        name = uuid.uuid4().hex
+        self._write(name, changes, resets or {})
+        number = self.version() + 1
+        while derive is not None:
+            own = [Row(**{"pass": name, "number": number, "rank": number, "replaces": []})]
+            self._write(name, derive(lambda table, base=number - 1, own=own: self.read(table, base, own)), {})
+            if self.version() + 1 == number:
+                break
+            number = self.version() + 1
+        if after is not None and self.version() != after:
+            raise OldBaseError(f"version {after} was overtaken while this write ran")
         number = self.version() + 1
-        if after is not None and number != after + 1:
-            raise OldBaseError(f"version {number - 1} is newer than {after}, which this write was made from")
-        name = f"{number:010d}-{uuid.uuid4().hex[:12]}"
+        self._publish([(name, number, number, [])])
+        return number
+
+    def _write(self, name: str, changes: dict[str, DataFrame], resets: dict[str, DataFrame]) -> None:
         for table, rows in changes.items():
-            rows.write.parquet(f"{self.root}/{table}/pass={name}")
-        for table, keys in (resets or {}).items():
+            # What is derived anew replaces what was derived before.
+            rows.write.mode("overwrite").parquet(f"{self.root}/{table}/pass={name}")
+        for table, keys in resets.items():
             if table in TABLES:
                 named = keys.select(F.lit(table).alias("target"), F.col(keys.columns[0]).alias("key")).distinct()
                 named.write.mode("append").parquet(f"{self.root}/resets/pass={name}")
-        if after is not None and self.version() != after:
-            raise OldBaseError(f"version {after} was overtaken while this write ran")
-        marker = self.spark.createDataFrame([(name, number, number if base else 0)], PASSES)
-        marker.coalesce(1).write.mode("append").parquet(f"{self.root}/passes")
-        return number
+
+    def _publish(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, PASSES).coalesce(1).write.mode("append").parquet(f"{self.root}/passes")
 
     def compact(self) -> int:
-        """Rewrite every table as one pass, so that readers merge nothing; refused if another write comes in between."""
+        """Rewrite every table as one pass in the place of those there are; passes published meanwhile stay as they are."""
         version = self.version()
-        return self.append({t: self.read(t, version) for t in TABLES}, after=version, base=True)
-
+        names = [r["pass"] for r in self._shown(version)]
+        name = uuid.uuid4().hex
+        self._write(name, {t: self.read(t, version) for t in TABLES}, {})
+        number = self.version() + 1
+        self._publish([(name, number, version, names)])
+        return number

@@ -61,3 +61,11 @@ PRICES = """
     tiers ARRAY<STRUCT<min_prompt: BIGINT, input: DECIMAL(18,6), output: DECIMAL(18,6),
                        cache_read: DECIMAL(18,6), cache_write: DECIMAL(18,6)>>
 """
+
+# One row per session, the sums of its calls and tool calls.
+SESSIONS = """
+    uid STRING, agent STRING, project STRING, path STRING, title STRING, orphaned BOOLEAN, first_ts BIGINT, last_ts BIGINT,
+    calls BIGINT, input_tokens BIGINT, output_tokens BIGINT, cache_read_tokens BIGINT, cache_write_tokens BIGINT,
+    reasoning_tokens BIGINT, total_tokens BIGINT, cost_usd DECIMAL(34,12), tool_calls BIGINT, tool_errors BIGINT,
+    llm_seconds DOUBLE, tool_seconds DOUBLE, wall_seconds DOUBLE
+"""

@@ -192,7 +192,7 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
 
 
 def needs(lines: DataFrame) -> resume.Needs:
-    """The last request, responses that may go on, and uses of tools that have no result yet.
+    """The last request, responses that may go on with the requests they answer, and uses of tools that have no result yet.
 
     A response may go on while it is the log's last one or its last line is among the newest.
     """
@@ -201,9 +201,15 @@ def needs(lines: DataFrame) -> resume.Needs:
     ends = lined.groupBy("path", "key").agg(F.max("ordinal").alias("end"))
     newest = ev.groupBy("path").agg(F.max("ordinal").alias("newest"), F.max(F.when(F.col("used") & F.col("message_id").isNotNull(), F.col("ordinal"))).alias("last"))
     goes_on = (F.col("end") == F.col("last")) | (F.col("end") > F.col("newest") - resume.RECENT_LINES)
-    responses = lined.join(ends.join(newest, "path").select("path", "key", goes_on.alias("open")), ["path", "key"])
+    marks = marked(opened(ev))
+    # A response that goes on takes its time from the request before its opening line.
+    before = carry(marks.select("path", "ordinal", "response", "opener", "message_id", "mark"), ["path"], ["ordinal"],
+                   last_before={"asked_at": F.when(F.col("mark").isNotNull(), F.col("ordinal"))})
+    asked = before.filter("ordinal = opener and message_id is not null and asked_at is not null").select(
+        "path", F.concat(F.lit("r:"), "message_id").alias("key"), F.col("asked_at").alias("ordinal"))
+    responses = lined.union(asked).join(ends.join(newest, "path").select("path", "key", goes_on.alias("open")), ["path", "key"])
     blocks = ev.select("path", "ordinal", F.explode("tools").alias("t")).filter("t.id is not null").select(
         "path", F.concat(F.lit("t:"), "t.id").alias("key"), "ordinal", "t.use")
     done = blocks.groupBy("path", "key").agg(F.max(~F.col("use")).alias("done"))
     tools = blocks.join(done, ["path", "key"]).select("path", "key", "ordinal", (~F.col("done")).alias("open"))
-    return resume.Needs(resume.points(marked(opened(ev)), ("mark",)), responses.select("path", "key", "ordinal", "open").unionByName(tools))
+    return resume.Needs(resume.points(marks, ("mark",)), responses.select("path", "key", "ordinal", "open").unionByName(tools))

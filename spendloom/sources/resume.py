@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: A response stays open for so many lines after its last one, and the log's last response as long as it is that.
 RECENT_LINES = 64
 TAIL = "path STRING, lines ARRAY<STRUCT<ordinal: BIGINT, line: STRING>>"
@@ -90,6 +92,6 @@ def read_on(normalise, needs: NeedsOf, first: DataFrame, second: DataFrame):
     Returns the rows of all logs but those that come back to something closed, and the paths of these.
     """
     before = needs(flagged(first))
-    again = late(needs(flagged(second)), closed(first, before))
-    fresh = second.join(again, "path", "left_anti")
-    return normalise(replaying(fresh, tails(first, before))), again
+    kept, over = cut_lineage(tails(first, before)), cut_lineage(closed(first, before))
+    again = cut_lineage(late(needs(flagged(second)), over))
+    return normalise(cut_lineage(replaying(second.join(again, "path", "left_anti"), kept))), again

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators.activity import bucket_sums
+from ..plans.ingest import publish
 from ..plans.store import TABLES, Store
 
 # A pass every this often when the stream runs on.
@@ -69,7 +70,7 @@ def upsert_into(store: Store, table: str = "calls") -> Callable[[DataFrame, int]
         rows = batch.select(*columns).persist()
         try:
             if not rows.isEmpty():
-                store.append({table: rows})
+                publish(store, {table: rows})
         finally:
             rows.unpersist()
 

@@ -37,6 +37,7 @@ CLAUDE = [
     c_said(2, "m1", [{"type": "thinking", "thinking": "long thought " * 9}]), c_said(3, "m1", [use(1)], 20), {"type": "user", "timestamp": at(4), "message": {"content": [result(1)]}},
     c_said(5, "m1", [use(2), use(3)], 30), c_said(6, "m2", [{"type": "thinking", "thinking": "more"}], 0), c_said(7, "m2", [use(4)], 5, cwd="/w/b"), {"type": "user", "timestamp": at(8), "message": {"content": [result(3, True)]}},
     {"type": "user", "timestamp": at(9), "message": {"content": [result(2), result(9)]}}, c_said(10, None), c_said(11, "m4"), {"type": "user", "timestamp": at(12), "message": {"content": [result(4)]}}, c_said(13, "m5", [{"type": "tool_use", "name": "noid"}]),
+    {"type": "user", "timestamp": at(14)}, {"type": "user", "timestamp": at(15)}, c_said(17, "m6"), c_said(18, "m6", [use(6)]), {"type": "user", "timestamp": at(19), "message": {"content": [result(6)]}}, c_said(20, "m6"),
 ]
 PI = [
     {"type": "session", "id": "pi-1", "cwd": "/w", "timestamp": at(0)}, {"type": "message", "id": "a", "timestamp": at(1), "message": {"role": "user", "content": [{"type": "text"}]}},
