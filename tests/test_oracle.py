@@ -42,3 +42,16 @@ def test_query(name, spark, sf, duck):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_added_operators(monkeypatch):
+    """A subpackage that is there and cannot be imported leaves the other queries."""
+    import_module = importlib.import_module
+
+    def broken(name, *args):
+        if name.startswith("spendloom.llm"):
+            raise ModuleNotFoundError(name)
+        return import_module(name, *args)
+
+    monkeypatch.setattr(importlib, "import_module", broken)
+    assert set(entry.queries()) == set(CORE) == set(entry.oracle_sql())
