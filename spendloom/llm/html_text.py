@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -77,9 +78,12 @@ class _Tree(HTMLParser):
         #: The listed words a node is called by; they count only where ``settle`` finds no article below.
         self.called: list[set[str]] = [set()]
         self.open = [0]
+        #: Depths in ``open`` of each tag and of all blocks, so that no tag is looked for step by step.
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
     def _inside_article(self) -> bool:
-        return any(self.tag[i] in ("article", "main") for i in self.open)
+        return bool(self.depths.get("article") or self.depths.get("main"))
 
     def _is_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER_OUT:
@@ -132,30 +136,22 @@ class _Tree(HTMLParser):
                 self.out[i] = self.out[i] or not (most or mains[i] or (not mains[0] and 0 < articles[i] == articles[0]))
         return own
 
-
     def _close_to(self, depth: int) -> None:
+        for node in reversed(self.open[depth:]):
+            self.depths[self.tag[node]].pop()
         del self.open[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
-            for depth in range(len(self.open) - 1, 0, -1):
-                at = self.tag[self.open[depth]]
-                if at == "p":
-                    self._close_to(depth)
-                    break
-                if at in BLOCK:
-                    break
+        if tag in BLOCK and self.blocks and self.tag[self.open[self.blocks[-1]]] == "p":
+            self._close_to(self.blocks[-1])
         if tag in ENDED_BY:
             ended, until = ENDED_BY[tag]
-            lowest = None
-            for depth in range(len(self.open) - 1, 0, -1):
-                at = self.tag[self.open[depth]]
-                if at in until:
-                    break
-                if at in ended:
-                    lowest = depth
-            if lowest is not None:
-                self._close_to(lowest)
+            bound = max((d[-1] for d in map(self.depths.get, until) if d), default=0)
+            found = [d[at] for d in map(self.depths.get, ended) if d and (at := bisect_right(d, bound)) < len(d)]
+            if found:
+                self._close_to(min(found))
         parent = self.open[-1]
         node = len(self.tag)
         self.tag.append(tag)
@@ -166,19 +162,19 @@ class _Tree(HTMLParser):
         self.items.append([])
         self.items[parent].append(node)
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            at = self.tag[self.open[depth]]
-            if at == tag:
-                self._close_to(depth)
-                return
-            if at in BLOCK and tag not in BLOCK:
-                return
+        depths = self.depths.get(tag)
+        # An end tag of no block ends nothing outside the innermost open block.
+        if depths and (tag in BLOCK or not self.blocks or self.blocks[-1] <= depths[-1]):
+            self._close_to(depths[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.out[self.open[-1]]:

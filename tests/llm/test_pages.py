@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 
 import duckdb
 import pandas as pd
@@ -72,6 +73,16 @@ def test_broken_and_deep_pages():
     assert html_text.main_blocks("<p><b>one<br><p>two</b><p>three &am") == ["one", "two", "three &am"]
 
 
+@pytest.mark.parametrize("head, often, tail", [
+    ("<b><div>", "<i>", "</b>"), ("", "<div class=header>", "</div>"), ("<ul>", "<i>", "<li>x"), ("", "<i>", "<hr>x"), ("<table>", "<i>", "<td>x"),
+])
+def test_open_elements_in_linear_time(head, often, tail):
+    """Many open elements and as many tags that look for one: a page of about a million characters is done in seconds."""
+    start = time.monotonic()
+    html_text.main_blocks(f"<p>An article.</p>{head}{often * 60_000}{tail * 60_000}<p>Its end.</p>")
+    assert time.monotonic() - start < 30
+
+
 def test_main_texts(spark, sf):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "words", "x"), (1, "u", PAGE, "x")],
                                   "page_id BIGINT, url STRING, html STRING, text STRING")
