@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import asof, filters, ordered, pricing, rollups, sessions, stat
 from ..schemas import AGENTS
 from ..session import cut_lineage, shared_folder
 from ..sources import agy, claude, codex, common, gemini, lines, opencode, pi, prices, resume
+from ..sources.landed import TableSource
 from . import fixture_logs as logs
 from . import fixtures as fx
 from . import ingest, report
@@ -776,6 +778,34 @@ def sessions_maintained(spark, sf):
     return with_money(ingest.sessions(store)).drop("path", "title")
 
 
+def _two_passes(spark, sf, agent, first, second):
+    """A store after a pass over part of some landed tables and one over all of them."""
+    store = _new_store(spark)
+    read_on = {"opencode": opencode.read_on, "agy": agy.read_on}[agent]
+    for tables in (first, second):
+        ingest.run_pass(spark, store, [TableSource(agent, lambda _, t=tables: t, read_on)], fx.price_list(spark).prices, datetime(2024, 1, 31))
+    return store
+
+
+@query
+def opencode_two_passes(spark, sf):
+    """Tool runs after two passes: the first meets no row of the later half, and fewer parts still, so that messages and
+    their parts come apart and tools written inside a message give way to parts that come later."""
+    every = {name: cut_lineage(rows) for name, rows in logs.opencode_tables(spark, sf).items()}
+    low, high = every["message"].agg(F.min("time_updated"), F.max("time_updated")).first()
+    half, third = (low + high) // 2, low + (high - low) // 3
+    first = {name: rows.filter(F.col("time_updated") <= (third if name == "part" else half)) for name, rows in every.items()}
+    return _two_passes(spark, sf, "opencode", first, every).read("tool_calls")
+
+
+@query
+def agy_two_passes(spark, sf):
+    """Calls after two passes over growing conversations, whose most named directory may be another one after the second."""
+    steps = cut_lineage(logs.agy_steps(spark, sf))
+    store = _two_passes(spark, sf, "agy", {"steps": steps.filter("idx <= 1 + crc32(conversation) % 4")}, {"steps": steps})
+    return with_money(store.read("calls")).select(*CALL_OUT)
+
+
 @query
 def reprice_changed(spark, sf):
     """Sessions after a new price list, where only calls that the two lists may price differently are worked out and written."""

@@ -14,6 +14,7 @@ from ..operators.sessions import session_calls, sessions_rollup
 from ..session import cut_lineage
 from ..sources import resume
 from ..sources.common import Normalised
+from ..sources.landed import TableSource
 from ..sources.lines import can_seek, read_ranges, unreadable, windows
 from ..sources.registry import LogSource
 from .store import TABLES, OldBaseError, Store
@@ -147,10 +148,35 @@ def _read_on(source: LogSource, grown: DataFrame, known: DataFrame, store: Store
         return None
 
 
+@dataclass
+class _Tables:
+    """What one table-backed source gave, and how many sessions it touches."""
+
+    calls: DataFrame
+    tools: DataFrame
+    identities: DataFrame
+    again: DataFrame
+    state: dict[str, DataFrame]
+    sessions: int
+
+
+def _read_tables(source: TableSource, spark: SparkSession, store: Store, version: int, book: PriceList) -> _Tables | None:
+    """New rows of landed tables, written out before any is used; None if nothing landed."""
+    got = source.read_on(source.tables(spark), lambda table: store.read(table, version))
+    if got is None:
+        return None
+    calls, tools = price_calls(got.rows.calls, book).drop("sized"), got.rows.tools
+    if got.moved:
+        calls, tools = calls.unionByName(got.moved["calls"]), tools.unionByName(got.moved["tool_calls"])
+    identities = cut_lineage(got.rows.identities)
+    state_rows = {table: cut_lineage(rows) for table, rows in got.state.items()}
+    return _Tables(cut_lineage(calls), cut_lineage(tools), identities, cut_lineage(got.again), state_rows, identities.count())
+
+
 def run_pass(
     spark: SparkSession,
     store: Store,
-    sources: list[LogSource],
+    sources: list[LogSource | TableSource],
     prices: DataFrame,
     now: datetime,
     max_changed: int | None = None,
@@ -160,7 +186,9 @@ def run_pass(
     All changed logs are read unless ``max_changed`` asks for fewer. A log that
     fails is reported with its path in ``failures`` and leaves the others alone,
     and the next pass tries it again; of a log either everything is stored or
-    nothing. A pass that finds nothing to do writes nothing.
+    nothing, and the same holds for a source of landed tables, each of whose
+    touched sessions counts as changed. A pass that finds nothing to do writes
+    nothing.
     """
     version = store.version()
     known = cut_lineage(store.read("file_state", version))
@@ -168,6 +196,7 @@ def run_pass(
     stamp = F.lit(now).cast("timestamp")
     errors: dict[str, str] = {}
     parts: list[_Read] = []
+    landed: dict[str, _Tables | None] = {}
     files: DataFrame | None = None
     waiting: list[DataFrame] = []
     unread: list[tuple[str, str, str]] = []
@@ -179,6 +208,12 @@ def run_pass(
         return out
 
     for source in sources:
+        if isinstance(source, TableSource):
+            try:
+                landed[source.agent] = _read_tables(source, spark, store, version, book)
+            except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
+                errors[source.agent] = _told(error)
+            continue
         try:
             # The listing is used several times below and must not move in between.
             listing = cut_lineage(source.files(spark).select(F.lit(source.agent).alias("agent"), "path", "size", "mtime"))
@@ -205,13 +240,14 @@ def run_pass(
     whole = [s.agent for s in sources if files is not None and (s.agent not in errors or " failed; first: " in errors[s.agent])]
     gone = cut_lineage(state.vanished(known.filter(F.col("agent").isin(whole)), listing))
     n_gone = gone.count()
-    n_changed = sum(p.actions.count() for p in parts)
+    rows_of = [t for t in landed.values() if t is not None]
+    n_changed = sum(p.actions.count() for p in parts) + sum(t.sessions for t in rows_of)
     # A recorded failure stays only where this pass did not try the log again.
     over = store.read("failures", version).filter(F.col("agent").isin(whole)).select("path")
     if waiting:
         over = over.join(stacked(waiting), "path", "left_anti")
     over = cut_lineage(over)
-    if n_changed == 0 and n_gone == 0 and not errors and over.isEmpty():
+    if n_changed == 0 and not rows_of and n_gone == 0 and not errors and over.isEmpty():
         return PassResult(version, 0, 0, errors)
 
     changes: dict[str, DataFrame] = {}
@@ -220,23 +256,28 @@ def run_pass(
     old = store.read("identities", version)
     back = spark.createDataFrame([], "uid STRING")
     seen = lost
-    if n_changed:
-        identities, actions = stacked([p.identities for p in parts]), stacked([p.actions for p in parts])
-        replaced = identities.join(actions.filter("action = 'replace'").select("path"), "path", "left_semi").select("uid")
-        for table, rows in (("calls", stacked([p.calls for p in parts])), ("tool_calls", stacked([p.tools for p in parts]))):
+    facts = [*parts, *rows_of]
+    if facts:
+        identities = stacked([p.identities for p in facts])
+        replaced = [t.again for t in rows_of]
+        if parts:
+            actions, of_logs = stacked([p.actions for p in parts]), stacked([p.identities for p in parts])
+            anew = actions.filter("action = 'replace'").select("path")
+            replaced.append(of_logs.join(anew, "path", "left_semi").select("uid"))
+            changes["file_state"] = _file_rows(actions, of_logs, stamp)
+            resets["closed"] = anew
+        for table, rows in (("calls", stacked([p.calls for p in facts])), ("tool_calls", stacked([p.tools for p in facts]))):
             columns = spark.createDataFrame([], TABLES[table][1]).columns
             changes[table] = state.inherit_project(rows.select(*columns), identities)
-            resets[table] = replaced
+            resets[table] = stacked(replaced)
         back = identities.select("uid")
         seen = lost.unionByName(back)
         # A title is set when a session is first stored and stays.
         old = state.upsert(old, identities.select(*old.columns), keys=["uid"], keep=["title"], keep_if_empty=["project"])
-        changes["file_state"] = _file_rows(actions, identities, stamp)
-        anew = actions.filter("action = 'replace'").select("path")
-        for table, rows in (("tails", [p.tails for p in parts if p.tails is not None]), ("closed", [p.closed for p in parts if p.closed is not None])):
-            if rows:
-                changes[table] = stacked(rows)
-        resets["closed"] = anew
+        kept = [("tails", [p.tails for p in parts if p.tails is not None]), ("closed", [p.closed for p in parts if p.closed is not None])]
+        for table, frames in [*kept, *((t, [x.state[t] for x in rows_of if t in x.state]) for t in ("cursors", "votes"))]:
+            if frames:
+                changes[table] = stacked(frames)
     changes["identities"] = state.mark_orphaned(old.join(seen.distinct(), "uid", "left_semi"), gone, back)
     resets["file_state"] = gone.select("path")
     resets["failures"] = over
@@ -244,10 +285,13 @@ def run_pass(
         changes["failures"] = spark.createDataFrame(unread, "path STRING, agent STRING, error STRING").withColumn("failed_at", stamp)
 
     counted = spark.createDataFrame([], "agent STRING, calls BIGINT")
-    if parts:
-        counted = stacked([p.calls.select("agent") for p in parts]).groupBy("agent").agg(F.count(F.lit(1)).alias("calls"))
+    if facts:
+        counted = stacked([p.calls.select("agent") for p in facts]).groupBy("agent").agg(F.count(F.lit(1)).alias("calls"))
     failed = spark.createDataFrame(list(errors.items()), "agent STRING, error STRING")
-    classified = spark.createDataFrame([], "agent STRING, action STRING") if files is None else files
+    # A source of landed tables counts as one file.
+    classified = spark.createDataFrame([(a, "unchanged" if t is None else "append") for a, t in landed.items()], "agent STRING, action STRING")
+    if files is not None:
+        classified = classified.unionByName(files.select("agent", "action"))
     changes["scan_status"] = state.record_status(
         store.read("scan_status", version), state.scan_status(classified, counted, failed, stamp))
     return PassResult(publish(store, changes, resets), n_changed, n_gone, errors)
@@ -292,6 +336,23 @@ def reprice_store(store: Store, prices: DataFrame, before: DataFrame | None = No
             continue
 
 
+def reread(store: Store, agent: str) -> int:
+    """Have the next pass read everything of one agent anew, as after a change of what turns its logs into rows.
+
+    Nothing disappears meanwhile: the rows of a log or landed session stay until
+    the pass that reads it again stores the new ones in their place, and a log
+    that fails then keeps its old rows. Other agents' logs stay as they are.
+    """
+    version = store.version()
+    known = store.read("file_state", version).filter(F.col("agent") == agent)
+    # A size no log has and a cursor of no kind: the log has changed and cannot be read on.
+    changes = {"file_state": cut_lineage(known.withColumns({"size": F.lit(-1).cast("bigint"), "cursor": F.lit("none")}))}
+    cursors = store.read("cursors", version).filter(F.col("agent") == agent).select("source")
+    resets = {"cursors": cut_lineage(cursors)}
+    resets["votes"] = cut_lineage(cursors.select(F.expr("substring(source, position('/', source) + 1)").alias("conversation")))
+    return store.append(changes, resets)
+
+
 def forget(store: Store, uid: str) -> int:
     """Delete one session with all its rows."""
     one = store.spark.createDataFrame([(uid,)], "uid STRING")

@@ -542,6 +542,9 @@ parsed AS (SELECT 'c' || c AS session_uid, 'step' || (n + 1) AS call_key, 'agy'
 ORACLE["ingest_agy_tools"] = f"""WITH {CONV},{AGY} SELECT 'c' || c AS session_uid, 't' || (n + 1) AS call_key, 'agy' AS agent, home AS project,
     'tool' || (l % 25) AS tool, t AS ts, took::DOUBLE AS seconds, l % 4 = 0 AS is_error FROM st WHERE NOT said"""
 
+ORACLE["opencode_two_passes"] = ORACLE["ingest_opencode_tools"]
+ORACLE["agy_two_passes"] = ORACLE["ingest_agy"]
+
 ORACLE["tolerant_decode"] = f"""WITH {CONV} SELECT '/logs/' || ['claude', 'codex', 'gemini', 'pi'][c % 4 + 1] || '/proj' || (c % 5) || '/chats/conv' || c || '.jsonl' AS path,
     CAST(sum(1 + CASE c % 4 WHEN 0 THEN CASE WHEN role = 'assistant' THEN 2 ELSE 0 END
       WHEN 1 THEN (CASE WHEN n = 0 THEN 1 ELSE 0 END) + (CASE WHEN n = CASE WHEN c % 3 = 0 THEN 2 ELSE 0 END THEN 1 ELSE 0 END)

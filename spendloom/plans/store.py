@@ -36,6 +36,8 @@ TABLES = {
     "tails": (["path"], resume.TAIL, [], []),
     "closed": (["path", "key"], resume.CLOSED, [], []),
     "sessions": (["uid"], schemas.SESSIONS, [], []),
+    "cursors": (["source"], schemas.CURSORS, [], []),
+    "votes": (["conversation", "path"], schemas.VOTES, [], []),
 }
 # A pass is seen from its number on; rank is its place in the order of writes, which of a compaction is that of what it replaces.
 PASSES = "pass STRING, number BIGINT, rank BIGINT, replaces ARRAY<STRING>"

@@ -53,6 +53,12 @@ SCAN_STATUS = """
 # One row per log that the last pass which tried it could not read.
 FAILURES = "path STRING, agent STRING, error STRING, failed_at TIMESTAMP"
 
+# How far each landed table or conversation is read; ``ties`` tells which rows stand at that position.
+CURSORS = "source STRING, agent STRING, position BIGINT, ties STRING"
+
+# How often the steps of a conversation name a working directory.
+VOTES = "conversation STRING, path STRING, votes BIGINT"
+
 # Rates are dollars per million tokens. A tier replaces all four from a prompt
 # size upward.
 PRICES = """

@@ -7,14 +7,16 @@ DataFrame work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import hyphenate_label
+from ..session import cut_lineage
 from . import common
+from .landed import Landed
 
 AGENT = "agy"
 
@@ -68,7 +70,8 @@ UNKNOWN_LABEL = "Antigravity Model "
 STEPS = "conversation STRING, idx BIGINT, step_type INT, status INT, metadata BINARY, step_payload BINARY"
 DECODED = """conversation STRING, idx BIGINT, step_type INT, status INT,
              start_s BIGINT, end_s BIGINT, tool STRING, has_usage BOOLEAN,
-             model_id BIGINT, input BIGINT, generated BIGINT, cache_read BIGINT, reasoning BIGINT"""
+             model_id BIGINT, input BIGINT, generated BIGINT, cache_read BIGINT, reasoning BIGINT,
+             has_meta BOOLEAN, directories ARRAY<STRING>"""
 
 
 def _varint(blob: bytes, at: int) -> tuple[int, int] | None:
@@ -142,13 +145,16 @@ def _plain_text(blob: bytes) -> str:
 
 
 def decode_steps(steps: DataFrame) -> DataFrame:
-    """Times, usage and tool name of every step that carries metadata."""
+    """Times, usage and tool name of every step, and every absolute path where its working directory may be.
+
+    Each blob is decoded once; steps without metadata have ``has_meta`` false.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for step in batch.itertuples(index=False):
-                meta = wire_fields(bytes(step.metadata))
+                meta = wire_fields(bytes(step.metadata or b""))
                 usage = {k: v for k, v in wire_fields(_message(meta, META_USAGE)).items() if isinstance(v, int)}
                 rows.append((
                     step.conversation, step.idx, step.step_type, step.status,
@@ -156,48 +162,100 @@ def decode_steps(steps: DataFrame) -> DataFrame:
                     _plain_text(_message(wire_fields(_message(meta, META_TOOL)), TOOL_NAME)),
                     bool(usage),
                     *[usage.get(f, 0) for f in (USAGE_MODEL, USAGE_INPUT, USAGE_OUTPUT, USAGE_CACHE_READ, USAGE_REASONING)],
+                    bool(step.metadata), _directories(bytes(step.step_payload or b"")),
                 ))
             names = [c.split()[0] for c in DECODED.split(",")]
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"start_s": "Int64", "end_s": "Int64"})
+            yield out.astype({"step_type": "Int32", "status": "Int32", "start_s": "Int64", "end_s": "Int64"})
 
-    wanted = steps.filter("length(metadata) > 0").select("conversation", "idx", "step_type", "status", "metadata")
-    return wanted.mapInPandas(run, DECODED)
+    return steps.select("conversation", "idx", "step_type", "status", "metadata", "step_payload").mapInPandas(run, DECODED)
 
 
-def workspace_votes(steps: DataFrame) -> DataFrame:
-    """``conversation, path``: every absolute path found where a working directory may be."""
+def _directories(payload: bytes) -> list[str]:
+    found = []
+    for route in WORKSPACE_PATHS:
+        blob = payload
+        for number in route:
+            blob = _message(wire_fields(blob), number)
+        if blob[:1] == b"/":
+            found.append(blob.decode("utf-8", "replace"))
+    return found
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            votes = []
-            for conversation, payload in zip(batch.conversation, batch.step_payload):
-                for route in WORKSPACE_PATHS:
-                    blob = bytes(payload)
-                    for number in route:
-                        blob = _message(wire_fields(blob), number)
-                    if blob[:1] == b"/":
-                        votes.append((conversation, blob.decode("utf-8", "replace")))
-            yield pd.DataFrame(votes, columns=["conversation", "path"])
 
-    payloads = steps.filter("length(step_payload) > 0").select("conversation", "step_payload")
-    return payloads.mapInPandas(run, "conversation STRING, path STRING")
+def workspace_votes(decoded: DataFrame) -> DataFrame:
+    """``conversation, path, votes``: how often the steps of a conversation name a working directory."""
+    named = decoded.select("conversation", F.explode("directories").alias("path"))
+    return named.groupBy("conversation", "path").agg(F.count(F.lit(1)).alias("votes"))
 
 
 def most_frequent(votes: DataFrame, key: str, value: str) -> DataFrame:
     """Most frequent value per key, the smallest of equally frequent ones."""
-    tally = votes.groupBy(key, value).count()
-    return tally.groupBy(key).agg(F.min_by(value, F.struct(-F.col("count"), F.col(value))).alias(value))
+    return _ahead(votes.groupBy(key, value).agg(F.count(F.lit(1)).alias("votes")), key, value)
+
+
+def _ahead(tally: DataFrame, key: str, value: str) -> DataFrame:
+    return tally.groupBy(key).agg(F.min_by(value, F.struct(-F.col("votes"), F.col(value))).alias(value))
+
+
+def homes(tally: DataFrame) -> DataFrame:
+    """``conversation, project``: the directory with the most votes of each conversation."""
+    return _ahead(tally, "conversation", "path").withColumnRenamed("path", "project")
 
 
 def normalise(steps: DataFrame, since: int | None = None) -> common.Normalised:
     """Rows of the steps past a cursor; the working directory is voted on over all of them."""
-    new = steps if since is None else steps.filter(F.col("idx") > since)
-    homes = most_frequent(workspace_votes(steps), "conversation", "path").withColumnRenamed("path", "project")
+    decoded = cut_lineage(decode_steps(steps))
+    new = decoded if since is None else decoded.filter(F.col("idx") > since)
+    return _rows(new, homes(workspace_votes(decoded)), decoded.select("conversation").distinct())
+
+
+def read_on(tables: Mapping[str, DataFrame], stored: Callable[[str], DataFrame]) -> Landed | None:
+    """The steps behind each conversation's own cursor; None if there are none.
+
+    Votes for working directories are kept as a tally. Where another directory
+    takes the lead, the conversation's stored rows move to it; no step is decoded
+    a second time. A step that is written below the cursor later is not seen.
+    """
+    steps, key = tables["steps"], F.concat(F.lit(f"{AGENT}/"), "conversation")
+    ends = steps.groupBy("conversation").agg(F.max("idx").alias("end")).withColumn("source", key)
+    read = stored("cursors").filter(F.col("agent") == AGENT).select("source", "position")
+    ahead = cut_lineage(ends.join(read, "source", "left").filter("position IS NULL OR end > position"))
+    if ahead.isEmpty():
+        return None
+    grown = ahead.select("conversation")
+    new = steps.join(ahead.select("conversation", "position"), "conversation").filter("position IS NULL OR idx > position")
+    new = cut_lineage(decode_steps(new))
+    told = stored("votes").join(grown, "conversation", "left_semi")
+    tally = cut_lineage(told.unionByName(workspace_votes(new)).groupBy("conversation", "path").agg(F.sum("votes").alias("votes")))
+    home, was = homes(tally), homes(told).withColumnRenamed("project", "was")
+    begun = ahead.filter("position IS NOT NULL").select("conversation")
+    moved = home.join(was, "conversation", "left").filter("NOT (project <=> was)").join(begun, "conversation", "left_semi")
+    moved = cut_lineage(moved.select(F.col("conversation").alias("session_uid"), F.col("project").alias("_home")))
+    anew = ahead.filter("position IS NULL").select(F.col("conversation").alias("uid"))
+    rows = _rows(new, home, grown)
+    spans = stored("identities").select("uid", F.nullif("seen_first_ts", F.lit(0)).alias("_low"), F.nullif("seen_last_ts", F.lit(0)).alias("_high"))
+    spanned = rows.identities.join(spans, "uid", "left")
+    seen = spanned.withColumns({
+        "seen_first_ts": F.coalesce(F.least(F.nullif("seen_first_ts", F.lit(0)), "_low"), F.lit(0)),
+        "seen_last_ts": F.coalesce(F.greatest(F.nullif("seen_last_ts", F.lit(0)), "_high"), F.lit(0)),
+    }).select(*rows.identities.columns)
+
+    def carried(table: str) -> DataFrame:
+        whole = stored(table)
+        return whole.join(moved, "session_uid").withColumn("project", F.col("_home")).select(*whole.columns)
+
+    cursors = ahead.select("source", F.lit(AGENT).alias("agent"), F.col("end").alias("position"), F.lit("").alias("ties"))
+    return Landed(
+        common.Normalised(rows.calls, rows.tools, seen), moved.select(F.col("session_uid").alias("uid")).union(anew),
+        {"cursors": cursors, "votes": tally}, {t: carried(t) for t in ("calls", "tool_calls")},
+    )
+
+
+def _rows(decoded: DataFrame, home: DataFrame, conversations: DataFrame) -> common.Normalised:
     took = F.col("end_s") - F.col("start_s")
     decoded = (
-        decode_steps(new)
-        .join(homes, "conversation", "left")
+        decoded.filter("has_meta")
+        .join(home, "conversation", "left")
         .withColumn("session_uid", F.col("conversation"))
         .withColumn("us", F.col("start_s") * 1_000_000)
         .withColumn(
@@ -228,9 +286,7 @@ def normalise(steps: DataFrame, since: int | None = None) -> common.Normalised:
         "tool", "seconds", (F.col("status") == FAILED).alias("is_error"),
     )
     known = (
-        steps.select("conversation")
-        .distinct()
-        .join(homes, "conversation", "left")
+        conversations.join(home, "conversation", "left")
         .join(
             decoded.groupBy("conversation").agg(F.min("start_s").alias("low"), F.max("start_s").alias("high")),
             "conversation",

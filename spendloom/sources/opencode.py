@@ -7,7 +7,7 @@ while it migrates. A part table's ``rowid``, where landed, orders equal starts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..functions.names import path_leaf
 from ..operators.ordered import newest_per_key
+from ..session import cut_lineage
 from . import common
+from .landed import Landed, past_cursor
 
 AGENT = "opencode"
 # Table names, newest generation first.
 SESSION_TABLES = ["session_v2", "session"]
 MESSAGE_TABLES = ["session_message", "message"]
 PART_TABLE = "part"
+# Fixed value: the column every table has its update time in.
+UPDATED = "time_updated"
 
 
 def load_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
@@ -244,3 +248,52 @@ def normalise(tables: Mapping[str, DataFrame], since: int | None = None) -> comm
         F.lit(False).alias("orphaned"),
     )
     return common.Normalised(common.finish_calls(calls, AGENT), common.finish_tools(tools, AGENT), known)
+
+
+def touched_sessions(tables: Mapping[str, DataFrame], news: Mapping[str, DataFrame]) -> DataFrame:
+    """``uid`` of every session with a new row, or with a part, new or not, whose message is new."""
+    found = [news[n].select(F.col("id").alias("uid")) for n in SESSION_TABLES if n in news]
+    found += [news[n].select(F.col("session_id").alias("uid")) for n in (*MESSAGE_TABLES, PART_TABLE) if n in news]
+    if PART_TABLE in tables:
+        for written in _landed(news, MESSAGE_TABLES):
+            of_new = tables[PART_TABLE].join(written.select(F.col("id").alias("message_id")), "message_id", "left_semi")
+            found.append(of_new.select(F.col("session_id").alias("uid")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.filter("uid IS NOT NULL").distinct()
+
+
+def narrowed(tables: Mapping[str, DataFrame], touched: DataFrame) -> dict[str, DataFrame]:
+    """The rows that some sessions' calls and tool runs come from, in every generation.
+
+    Of other sessions that is the messages their parts name, which only give
+    these parts their time.
+    """
+    out = {}
+    for name in tables:
+        key = "id" if name in SESSION_TABLES else "session_id"
+        out[name] = tables[name].join(touched.select(F.col("uid").alias(key)), key, "left_semi")
+    if PART_TABLE in out:
+        named = out[PART_TABLE].select(F.col("message_id").alias("id"), "session_id").distinct()
+        for name in MESSAGE_TABLES:
+            if name in tables:
+                elsewhere = tables[name].join(named.select("id").distinct(), "id", "left_semi")
+                elsewhere = elsewhere.join(touched.select(F.col("uid").alias("session_id")), "session_id", "left_anti")
+                out[name] = out[name].unionByName(elsewhere)
+    return out
+
+
+def read_on(tables: Mapping[str, DataFrame], stored: Callable[[str], DataFrame]) -> Landed | None:
+    """The sessions that rows past the tables' cursors touch, worked out whole; None if there are none.
+
+    So a part or a message that comes passes after what it belongs to, a message
+    that moves to the newer generation, and a session's own change give what one
+    reading of everything gives, also where rows stored before are no longer due.
+    Only positions are compared for the other sessions.
+    """
+    news, cursors = past_cursor(tables, stored("cursors"), AGENT, UPDATED)
+    if not news:
+        return None
+    touched = cut_lineage(touched_sessions(tables, news))
+    return Landed(normalise(narrowed(tables, touched)), touched, {"cursors": cursors})

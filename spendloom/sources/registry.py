@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claude, codex, gemini, pi
+from . import agy, claude, codex, gemini, opencode, pi
 from .common import Normalised
+from .landed import TableSource
 from .lines import discover, read_lines
 from .resume import NeedsOf
 
@@ -53,11 +54,19 @@ NORMALISERS = {agent: module.normalise for agent, module in FORMATS.items()}
 def log_sources(home: str) -> list[LogSource]:
     """The four line-oriented sources below a home directory, local or on shared storage.
 
-    The two table-backed agents are read from landed tables, see ``opencode`` and
-    ``agy``.
+    The two table-backed agents are read from landed tables, see :func:`table_sources`.
     """
     home = home.rstrip("/")
     return [
         LogSource(agent, tuple(f"{home}/{root}" for root in HOME_ROOTS[agent]), module.normalise, needs=module.needs)
         for agent, module in FORMATS.items()
     ]
+
+
+def table_sources(database: str | None = None, steps: str | None = None) -> list[TableSource]:
+    """The two table-backed sources: the tables of an opencode store as they lie in a database of the catalogue, and
+    the name of the table with the steps of all agy conversations."""
+    out = [TableSource(opencode.AGENT, lambda spark: opencode.load_tables(spark, database), opencode.read_on)]
+    if steps is not None:
+        out.append(TableSource(agy.AGENT, lambda spark: {"steps": spark.table(steps)}, agy.read_on))
+    return out
