@@ -1,5 +1,6 @@
 """Landed tables in a pass: several passes give what one gives, whatever comes late, and only what is touched is written."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -9,10 +10,9 @@ from spendloom.plans import fixture_logs as logs
 from spendloom.plans import fixtures as fx
 from spendloom.plans import ingest
 from spendloom.plans.store import Store
+from spendloom.schemas import CURSORS
 from spendloom.sources import agy, opencode
 from spendloom.sources.landed import TableSource, past_cursor
-from spendloom.session import cut_lineage
-from spendloom.schemas import CURSORS
 
 READ_ON = {"opencode": opencode.read_on, "agy": agy.read_on}
 NOW = datetime(2024, 1, 31)
@@ -39,8 +39,6 @@ def same(store, other, tables=("calls", "tool_calls", "identities", "sessions"))
 
 
 def data(**fields):
-    import json
-
     return json.dumps(fields)
 
 
@@ -65,71 +63,52 @@ def store_tables(spark, session, message, part):
     }
 
 
-S1, S2 = ("s1", "/w/a", "one", "m", 1000, 10), ("s2", "/w/b", "two", "m", 1000, 10)
-GROWTH = {
-    "a part comes passes after its message, in place of the tool inside it": (
-        ([S1, S2], [asked("m1", tool="in"), asked("m2", sid="s2")], []), ([S1, S2], [asked("m1", tool="in"), asked("m2", sid="s2")], [ran("p1", "m1", 20)])),
-    "a message comes after its part, in another session": (
-        ([S1, S2], [asked("m1")], [ran("p1", "m2")]), ([S1, S2], [asked("m1"), asked("m2", 20, "s2")], [ran("p1", "m2")])),
-    "a session comes after its messages": (
-        ([S2], [asked("m1"), asked("m2", sid="s2")], [ran("p1", "m1")]), ([("s1", "/w/a", "one", "m", 1000, 20), S2], [asked("m1"), asked("m2", sid="s2")], [ran("p1", "m1")])),
-    "a message is written again without its tool": (
-        ([S1], [asked("m1", tool="in"), asked("m2", tool="on")], []), ([S1], [asked("m1", 20, tokens=9), asked("m2", tool="on")], [])),
-    "a row lands late with the position of the cursor": (
-        ([S1], [asked("m1", tool="in")], []), ([S1], [asked("m1", tool="in"), asked("m2")], [])),
-    "a row without an update time lands late": (
-        ([S1], [asked("m1", tool="in")], []), ([S1], [asked("m1", tool="in"), asked("m2", None)], [])),
+# What a session's rows are in the first pass and in the second: of sessions, messages and parts.
+SESSIONS = {
+    "part": "a part comes passes after its message, in place of the tool inside it",
+    "message": "a message comes after its part",
+    "session": "a session comes after its messages",
+    "again": "a message is written again without its tool",
+    "tie": "a row lands late with the position of the cursor",
+    "null": "a row without an update time lands late",
+    "moved": "a message moves to the newer generation with another figure",
+    "still": "nothing comes",
 }
 
 
-@pytest.mark.parametrize("case", GROWTH)
-def test_two_opencode_passes_equal_one(spark, tmp_path, prices, case):
-    first, second = (store_tables(spark, *x) for x in GROWTH[case])
-    store, once = Store(spark, str(tmp_path / "two")), Store(spark, str(tmp_path / "one"))
-    a_pass(spark, store, prices, "opencode", first)
-    a_pass(spark, store, prices, "opencode", second)
-    a_pass(spark, once, prices, "opencode", second)
-    for table in ("calls", "tool_calls", "sessions"):
-        assert rows(store, table) == rows(once, table), table
-    assert rows(once, "calls")
+def owner(sid, updated=10):
+    return (sid, f"/w/{sid}", sid, "m", 1000, updated)
 
 
-def test_a_store_in_migration(spark, tmp_path, prices, sf):
-    """The old generation alone, then both: what has moved comes from the newer one."""
-    every = {name: cut_lineage(t) for name, t in logs.opencode_tables(spark, sf).items()}
-    old = {name: every[name] for name in ("session", "message", "part")}
-    store, once = Store(spark, str(tmp_path / "two")), Store(spark, str(tmp_path / "one"))
-    a_pass(spark, store, prices, "opencode", old)
-    a_pass(spark, store, prices, "opencode", every)
-    a_pass(spark, once, prices, "opencode", every)
-    same(store, once, ("calls", "tool_calls"))
+def growth(spark):
+    late = {"part": [ran("p1", "m1", 20, "part")]}
+    messages = [asked("m1", sid="part", tool="in"), asked("m3", sid="session"), asked("m5", sid="tie", tool="in"), asked("m7", sid="null"),
+                asked("m9", sid="moved", tool="in"), asked("m0", 5, "still", tool="in")]
+    again = asked("m4", sid="again", tool="in")
+    parts = [ran("p2", "m2", sid="message"), ran("p3", "m3", sid="session")]
+    first = store_tables(spark, [owner(s) for s in SESSIONS if s != "session"], [*messages, again], parts)
+    more = [asked("m2", 20, "still-other"), asked("m4", 20, "again", tokens=9), asked("m6", sid="tie"), asked("m8", None, "null")]
+    second = store_tables(spark, [owner(s, 20 if s == "session" else 10) for s in SESSIONS], [*messages, *more], [*parts, *late["part"]])
+    second["session_message"] = spark.createDataFrame(
+        [("m9", "moved", "assistant", 1000, 10, data(modelID="o3", tokens={"input": 99}))], MESSAGE.replace("time_created", "type STRING, time_created"))
+    return first, second
 
 
-def test_an_idle_pass_writes_nothing_and_an_update_touches_one_session(spark, tmp_path, prices):
-    session, message = [S1, S2], [asked("m1"), asked("m2", sid="s2")]
-    store = Store(spark, str(tmp_path / "s"))
-    assert a_pass(spark, store, prices, "opencode", store_tables(spark, session, message, [])).changed == 2
-    version = store.version()
-    assert a_pass(spark, store, prices, "opencode", store_tables(spark, session, message, [])).changed == 0
-    assert store.version() == version
-    more = store_tables(spark, session, [*message, asked("m3", 30, "s2")], [])
-    assert a_pass(spark, store, prices, "opencode", more).changed == 1
+def test_two_opencode_passes_equal_one(spark, tmp_path, prices):
+    """Whatever comes late; the pass writes the sessions it touches, and one that finds nothing writes nothing."""
+    first, second = growth(spark)
+    store, once = Store(spark, str(tmp_path / "two")), Store(spark, str(tmp_path / "one"))
+    assert a_pass(spark, store, prices, "opencode", first).changed == len(SESSIONS) - 1
+    assert {r.call_key for r in store.read("tool_calls").collect()} == {"inline:m1:x", "inline:m4:x", "inline:m5:x", "inline:m9:x", "inline:m0:x"}
+    assert a_pass(spark, store, prices, "opencode", second).changed == len(SESSIONS) - 1
+    a_pass(spark, once, prices, "opencode", second)
+    same(store, once, ("calls", "tool_calls", "sessions"))
+    assert {r.call_key for r in store.read("tool_calls").collect()} == {"part:p1", "part:p2", "part:p3", "inline:m5:x", "inline:m0:x"}
+    assert {r.session_uid: r.input_tokens for r in store.read("calls").collect() if r.session_uid in ("again", "moved")} == {"again": 9, "moved": 99}
     last = max(store.passes(), key=lambda r: r.number)["pass"]
-    assert {r.session_uid for r in store.deltas("calls").filter(F.col("pass") == last).collect()} == {"s2"}
-    status = store.read("scan_status").first()
-    assert (status.agent, status.files_seen, status.files_changed, status.calls_ingested, status.error) == ("opencode", 1, 1, 2, "")
-
-
-def test_a_source_that_fails_leaves_the_other_alone(spark, tmp_path, prices):
-    def broken(_):
-        raise ValueError
-
-    store = Store(spark, str(tmp_path / "s"))
-    tables = store_tables(spark, [S1], [asked("m1")], [])
-    sources = [TableSource("agy", broken, agy.read_on), TableSource("opencode", lambda _: tables, opencode.read_on)]
-    result = ingest.run_pass(spark, store, sources, prices, NOW)
-    assert result.errors == {"agy": "ValueError: "} and store.read("calls").count() == 1
-    assert {r.agent: r.error for r in store.read("scan_status").collect()} == {"agy": "ValueError: ", "opencode": ""}
+    assert {r.session_uid for r in store.deltas("calls").filter(F.col("pass") == last).collect()} == {"part", "session", "again", "tie", "null", "moved"}
+    version = store.version()
+    assert a_pass(spark, store, prices, "opencode", second).changed == 0 and store.version() == version
 
 
 def test_cursor_of_an_empty_table(spark):
@@ -141,27 +120,31 @@ def test_cursor_of_an_empty_table(spark):
     assert past_cursor(one, ends, "a", "time_updated")[0]["t"].count() == 1
 
 
-def agy_steps(spark, homes):
-    """One step that runs a tool or calls a model per directory named, in one conversation."""
+def agy_steps(spark, homes, upto=99):
+    """Conversations with one step that runs a tool or calls a model per directory named."""
     from tests.test_logs import num, sub
 
     made = []
-    for i, home in enumerate(homes, 1):
-        times = sub(1, num(1, 1767225600 + i)) + sub(8, num(1, 1767225604 + i))
-        meta = times + (sub(9, num(1, 1402) + num(2, 10) + num(3, 20)) if i % 2 else sub(4, sub(2, b"view")))
-        made.append(("c1", i, 15 if i % 2 else 132, 3, bytearray(meta), bytearray(sub(28, sub(2, home.encode()))) if home else None))
+    for name, named in homes.items():
+        for i, home in enumerate(named[:upto], 1):
+            times = sub(1, num(1, 1767225600 + i)) + sub(8, num(1, 1767225604 + i))
+            meta = times + (sub(9, num(1, 1402) + num(2, 10) + num(3, 20)) if i % 2 else sub(4, sub(2, b"view")))
+            made.append((name, i, 15 if i % 2 else 132, 3, bytearray(meta), bytearray(sub(28, sub(2, home.encode()))) if home else None))
     return {"steps": spark.createDataFrame(made, agy.STEPS)}
 
 
-@pytest.mark.parametrize("homes", [["/b", "/a", "/a"], ["/b", "/b", "/a", "/a", "/a"], ["", "", "/a"], ["/b", "/b", "/b", "/a"]])
-def test_agy_passes_step_by_step_equal_one(spark, tmp_path, prices, homes):
+HOMES = {"turns": ["/b", "/b", "/a", "/a", "/a"], "begins": ["", "", "/a"], "stays": ["/b", "/b", "/b", "/a"], "ties": ["/b", "/b", "/a", "/a"], "ends": ["/c"]}
+
+
+def test_agy_passes_equal_one(spark, tmp_path, prices):
     """The lead changes, comes about or stays; stored rows follow it without being decoded again."""
     store, once = Store(spark, str(tmp_path / "two")), Store(spark, str(tmp_path / "one"))
-    for n in (1, len(homes) - 1, len(homes), len(homes)):
-        a_pass(spark, store, prices, "agy", agy_steps(spark, homes[:n]))
-    a_pass(spark, once, prices, "agy", agy_steps(spark, homes))
-    assert store.version() == len({1, len(homes) - 1, len(homes)})
+    for upto, changed in ((2, 5), (99, 4), (99, 0)):
+        assert a_pass(spark, store, prices, "agy", agy_steps(spark, HOMES, upto)).changed == changed
+    assert store.version() == 2
+    a_pass(spark, once, prices, "agy", agy_steps(spark, HOMES))
     same(store, once, ("calls", "tool_calls", "identities", "sessions", "votes"))
+    assert {r.uid: r.project for r in store.read("sessions").collect()} == {"turns": "/a", "begins": "/a", "stays": "/b", "ties": "/a", "ends": "/c"}
 
 
 def test_agy_decodes_once(spark, sf):
@@ -170,19 +153,23 @@ def test_agy_decodes_once(spark, sf):
         assert "MapInPandas" not in frame._jdf.queryExecution().toString()
 
 
-def test_reread_of_one_agent(spark, tmp_path, prices, monkeypatch):
-    """After a normaliser changes, one agent is read again; its rows stay visible until then, the others are not read."""
+def test_a_failing_source_and_a_reread_of_one_agent(spark, tmp_path, prices, monkeypatch):
+    """A source that fails leaves the other alone. After a normaliser changes, one agent is read again; its rows stay
+    visible until then, and the other is not read."""
+    def broken(_):
+        raise ValueError
+
     store = Store(spark, str(tmp_path / "s"))
-    steps, tables = agy_steps(spark, ["/b", "/a", "/a"]), store_tables(spark, [S1], [asked("m1")], [ran("p1", "m1")])
-    sources = [TableSource("agy", lambda _: steps, agy.read_on), TableSource("opencode", lambda _: tables, opencode.read_on)]
-    ingest.run_pass(spark, store, sources, prices, NOW)
+    steps, tables = agy_steps(spark, {"c1": ["/b", "/a", "/a"]}), store_tables(spark, [owner("s1")], [asked("m1")], [ran("p1", "m1")])
+    good, other = TableSource("agy", lambda _: steps, agy.read_on), TableSource("opencode", lambda _: tables, opencode.read_on)
+    result = ingest.run_pass(spark, store, [TableSource("agy", broken, agy.read_on), other], prices, NOW)
+    assert result.errors == {"agy": "ValueError: "} and store.read("calls").count() == 1
+    assert {r.agent: r.error for r in store.read("scan_status").collect()} == {"agy": "ValueError: ", "opencode": ""}
+    assert ingest.run_pass(spark, store, [good, other], prices, NOW).changed == 1
     before = rows(store, "calls")
-    monkeypatch.setattr(agy, "UNKNOWN_LABEL", "Other ")
     monkeypatch.setitem(agy.MODEL_LABELS, 1402, "Renamed")
     ingest.reread(store, "agy")
     assert rows(store, "calls") == before
-    result = ingest.run_pass(spark, store, sources, prices, NOW)
-    assert result.changed == 1
+    assert ingest.run_pass(spark, store, [good, other], prices, NOW).changed == 1
     assert {(r.agent, r.model) for r in store.read("calls").collect()} == {("agy", "renamed"), ("opencode", "o3")}
     assert {(r.path, r.votes) for r in store.read("votes").collect()} == {("/a", 2), ("/b", 1)}
-    assert ingest.run_pass(spark, store, sources, prices, NOW).changed == 0
