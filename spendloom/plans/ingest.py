@@ -15,7 +15,8 @@ from ..session import cut_lineage
 from ..sources import resume
 from ..sources.common import Normalised
 from ..sources.landed import TableSource
-from ..sources.lines import can_seek, read_ranges, unreadable, windows
+from ..sources.lines import read_ranges, unreadable, windows
+from ..sources.listing import can_seek
 from ..sources.registry import LogSource
 from .store import TABLES, OldBaseError, Store
 
@@ -75,13 +76,12 @@ def _resume(source: LogSource, grown: DataFrame, known: DataFrame, tails: DataFr
     )
 
 
-def _read(source: LogSource, paths: list[str], picked: DataFrame, known: DataFrame, book: PriceList) -> _Read:
+def _read(source: LogSource, picked: DataFrame, known: DataFrame, book: PriceList) -> _Read:
     """Rows and new file states of some logs, all of them written out before any is used."""
-    lines = cut_lineage(source.lines(picked.sparkSession, paths))
+    lines = cut_lineage(source.lines(picked))
     # Only what was picked is compared with what was consumed of it before.
     digests = cut_lineage(state.file_digests(lines, known))
-    mine = picked.where(F.col("path").isin(paths)) if len(paths) <= 100 else picked
-    chosen = state.classify_files(mine.join(digests.select("path", "same_head"), "path", "left"), known)
+    chosen = state.classify_files(picked.join(digests.select("path", "same_head"), "path", "left"), known)
     chosen = chosen.join(digests.select("path", F.col("consumed").alias("read"), "prefix_hash", "prefix_len"), "path", "left")
     rows: Normalised = source.rows(lines)
     kept = over = None
@@ -99,45 +99,48 @@ def _told(error: Exception) -> str:
     return f"{type(error).__name__}: {lines[0] if lines else ''}"
 
 
-def _read_what_can_be(source: LogSource, paths: list[str], picked: DataFrame, known: DataFrame,
-                      book: PriceList) -> tuple[list[_Read], list[tuple[str, str]]]:
-    """Read all logs at once; what was read, and (path, error) of every log that fails by itself.
+def _read_what_can_be(source: LogSource, picked: DataFrame, known: DataFrame, book: PriceList) -> tuple[list[_Read], DataFrame | None]:
+    """Read all picked logs at once; what was read, and ``path, error`` of every log that fails by itself, None if none does.
 
     Where that fails, one job finds all logs that cannot be opened or read to
     their end, and the others are read at once. If their rows fail, halves are
     read, down to the logs that fail by themselves, however many they are. A
-    source that fails without a line gives no log.
+    source that fails without a line gives no log. Logs are halved by a bit of
+    the hash of their path, so no list of them is ever on the driver but of
+    those that fail by their rows, each of which took some reads.
     """
     spark = picked.sparkSession
     failed: list[tuple[str, str]] = []
 
-    def some(part: list[str], error: Exception | None = None) -> list[_Read]:
-        if not part:
-            return []
+    def side(bit: int):
+        return F.shiftright(F.xxhash64("path"), bit).bitwiseAND(1)
+
+    def some(part: DataFrame, bit: int = 0, error: Exception | None = None) -> list[_Read]:
         if error is None:
-            here = picked if len(part) == len(paths) else picked.join(
-                spark.createDataFrame([(p,) for p in part], "path STRING"), "path", "left_semi").select(*picked.columns)
             try:
-                return [_read(source, part, here, known, book)]
+                return [_read(source, part, known, book)]
             except Exception as raised:  # noqa: BLE001 - one bad log must not stop the rest
                 error = raised
-        if len(part) == 1:
-            failed.append((part[0], _told(error)))
+        sizes = dict(part.groupBy(side(bit).alias("side")).count().collect()) if bit < 64 else {}
+        if bit == 64 or sum(sizes.values()) == 1:
+            failed.extend((r.path, _told(error)) for r in part.select("path").collect())
             return []
-        half = len(part) // 2
-        return some(part[:half]) + some(part[half:])
+        if len(sizes) == 1:
+            return some(part, bit + 1, error)
+        return some(part.filter(side(bit) == 0), bit + 1) + some(part.filter(side(bit) == 1), bit + 1)
 
     try:
-        return [_read(source, paths, picked, known, book)], failed
+        return [_read(source, picked, known, book)], None
     except Exception as raised:  # noqa: BLE001
         first = raised
-    bad = unreadable(spark, paths)
-    failed.extend(sorted(bad.items()))
+    bad = unreadable(picked)
+    others = picked.join(bad, "path", "left_anti").select(*picked.columns)
     try:
-        _read(source, [], picked.limit(0), known, book)
+        _read(source, picked.limit(0), known, book)
     except Exception as raised:  # noqa: BLE001
-        return [], failed + [(p, _told(raised)) for p in paths if p not in bad]
-    return some([p for p in paths if p not in bad], None if bad else first), failed
+        return [], bad.unionByName(others.select("path", F.lit(_told(raised)).alias("error")))
+    got = [] if others.isEmpty() else some(others, error=first if bad.isEmpty() else None)
+    return got, bad.unionByName(spark.createDataFrame(failed, "path STRING, error STRING"))
 
 
 def _read_on(source: LogSource, grown: DataFrame, known: DataFrame, store: Store, version: int, book: PriceList) -> _Read | None:
@@ -199,7 +202,7 @@ def run_pass(
     landed: dict[str, _Tables | None] = {}
     files: DataFrame | None = None
     waiting: list[DataFrame] = []
-    unread: list[tuple[str, str, str]] = []
+    unread: list[DataFrame] = []
 
     def stacked(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -222,8 +225,8 @@ def run_pass(
             grown = picked.join(guess.filter("action = 'append'").select("path"), "path", "left_semi")
             on = _read_on(source, grown, known, store, version, book)
             rest = picked if on is None else picked.join(on.actions.select("path"), "path", "left_anti")
-            paths = [r.path for r in rest.select("path").orderBy("path").collect()]
-            got, failed = _read_what_can_be(source, paths, rest if on is None else cut_lineage(rest), known, book) if paths else ([], [])
+            rest = rest if on is None else cut_lineage(rest)
+            got, failed = ([], None) if rest.isEmpty() else _read_what_can_be(source, rest, known, book)
             if on is not None:
                 got.append(on)
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
@@ -232,9 +235,11 @@ def run_pass(
         files = guess if files is None else files.unionByName(guess)
         parts += got
         waiting.append(guess.filter(F.col("action").isin("append", "replace")).select("path").join(picked, "path", "left_anti"))
-        unread += [(path, source.agent, error) for path, error in failed]
-        if failed:
-            errors[source.agent] = f"{len(failed)} of {picked.count()} failed; first: {failed[0][0]}: {failed[0][1]}"
+        if failed is not None:
+            n, first = failed.agg(F.count(F.lit(1)), F.min(F.struct("path", "error"))).first()
+            if n:
+                unread.append(failed.select("path", F.lit(source.agent).alias("agent"), "error"))
+                errors[source.agent] = f"{n} of {picked.count()} failed; first: {first.path}: {first.error}"
 
     listing = files if files is not None else spark.createDataFrame([], "path STRING")
     whole = [s.agent for s in sources if files is not None and (s.agent not in errors or " failed; first: " in errors[s.agent])]
@@ -282,7 +287,7 @@ def run_pass(
     resets["file_state"] = gone.select("path")
     resets["failures"] = over
     if unread:
-        changes["failures"] = spark.createDataFrame(unread, "path STRING, agent STRING, error STRING").withColumn("failed_at", stamp)
+        changes["failures"] = stacked(unread).withColumn("failed_at", stamp)
 
     counted = spark.createDataFrame([], "agent STRING, calls BIGINT")
     if facts:

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .listing import NOISE_DIRS, can_seek, dealt, opened, walk
 
 #: Bytes at the start and at the end of what was consumed whose digest tells whether a log still begins with it.
 WINDOW = 4096
 #: Bytes of a file that one task reads from an offset.
 RANGE = 64 << 20
-# Directories below a root that hold no logs.
-NOISE_DIRS = ["node_modules", ".git", "__pycache__", "target", "dist", "build"]
 
 
 # ---------------------------------------------------------------- discovery
@@ -85,7 +84,12 @@ def _shown(files: DataFrame, roots: Sequence[str], recurse: bool) -> DataFrame:
 def discover(
     spark: SparkSession, roots: Sequence[str], ext: str = ".jsonl", recurse: bool = True
 ) -> DataFrame:
-    """``path, size, mtime`` of the log files below some roots. Missing roots are skipped."""
+    """``path, size, mtime`` of the log files below some roots, in no order. Missing roots are skipped.
+
+    Tasks walk the directories; only a file system that they cannot open is listed by the driver.
+    """
+    if all(map(can_seek, roots)):
+        return walk(spark, roots, ext, recurse)
     dirs, more = _underscored(spark, roots, recurse)
     named = [(p, n, t) for p, n, t in more if p.lower().endswith(ext.lower())]
     found = spark.createDataFrame(named, "path STRING, size BIGINT, ms BIGINT").select(
@@ -104,7 +108,7 @@ def discover(
             )
         )
         found = listed.unionByName(found)
-    return _shown(found, roots, recurse).distinct().orderBy("path")
+    return _shown(found, roots, recurse).distinct()
 
 
 # ---------------------------------------------------------------- lines
@@ -178,11 +182,10 @@ def _stream_lines(files: DataFrame) -> DataFrame:
         import io
 
         import pyarrow as pa
-        from pyarrow import fs
 
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                system, inner = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+                system, inner = opened(path)
                 rows, held = [], 0
                 with system.open_input_stream(inner) as raw:
                     for i, line in enumerate(io.BufferedReader(raw, 1 << 20)):
@@ -199,22 +202,6 @@ def _stream_lines(files: DataFrame) -> DataFrame:
     return rows.select(_plain_path(F.col("path")).alias("path"), "ordinal", F.col("raw").cast("string").alias("line"))
 
 
-def _opened(path: str):
-    """The file system of a path, and the path as it names it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
-
-
-def can_seek(path: str) -> bool:
-    """Whether tasks can open a path of this kind at an offset."""
-    try:
-        _opened(path)
-    except Exception:  # noqa: BLE001 - a file system that pyarrow does not know
-        return False
-    return True
-
-
 def windows(files: DataFrame) -> DataFrame:
     """``path, windows`` of ``files(path, upto)``: a digest of the first and the last WINDOW bytes before ``upto``.
 
@@ -230,7 +217,7 @@ def windows(files: DataFrame) -> DataFrame:
             out = []
             for path, upto in zip(batch.column("path").to_pylist(), batch.column("upto").to_pylist(), strict=True):
                 try:
-                    system, inner = _opened(path)
+                    system, inner = opened(path)
                     with system.open_input_file(inner) as raw:
                         head = raw.read(min(WINDOW, upto))
                         raw.seek(max(0, upto - WINDOW))
@@ -241,7 +228,8 @@ def windows(files: DataFrame) -> DataFrame:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "windows"])
 
-    return files.select("path", F.col("upto").cast("bigint").alias("upto")).mapInArrow(digest, "path STRING, windows STRING")
+    files = cut_lineage(files.select("path", F.col("upto").cast("bigint").alias("upto")))
+    return dealt(files, files.count(), "path").mapInArrow(digest, "path STRING, windows STRING")
 
 
 def read_ranges(files: DataFrame, agent: str, chunk: int = RANGE) -> DataFrame:
@@ -249,19 +237,42 @@ def read_ranges(files: DataFrame, agent: str, chunk: int = RANGE) -> DataFrame:
 
     ``start`` is where a line begins and ``first`` its number. A file is cut into
     ranges of ``chunk`` bytes, each read by a task that opens it there; a line
-    belongs to the range it begins in, and is numbered from what the ranges
-    before hold.
+    belongs to the range it begins in. Of files of several ranges the line ends
+    are counted first, so that a line is numbered where it is read.
     """
 
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for job in batch.to_pylist():
+                system, inner = opened(job["path"])
+                at, n = max(job["start"], job["begin"] - 1), 0
+                with system.open_input_file(inner) as raw:
+                    raw.seek(at)
+                    while at < job["end"] - 1:
+                        block = raw.read(min(1 << 22, job["end"] - 1 - at))
+                        if not block:
+                            break
+                        n += block.count(b"\n")
+                        at += len(block)
+                out.append({"path": job["path"], "begin": job["begin"], "n": n})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("begin", pa.int64()), ("n", pa.int64())]))
+
     def read(batches):
         import io
 
         import pyarrow as pa
 
-        names = ["path", "begin", "at", "raw"]
+        def packed(path, first, rows):
+            n = len(rows)
+            columns = [pa.array([path] * n), pa.array(range(first, first + n), pa.int64()), pa.array(rows, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "ordinal", "raw"])
+
         for batch in batches:
             for job in batch.to_pylist():
-                system, inner = _opened(job["path"])
+                system, inner = opened(job["path"])
                 with system.open_input_file(inner) as raw:
                     at = job["begin"]
                     # A range that does not begin a file begins behind the next newline.
@@ -269,49 +280,63 @@ def read_ranges(files: DataFrame, agent: str, chunk: int = RANGE) -> DataFrame:
                     source = io.BufferedReader(raw, 1 << 20)
                     if at > job["start"]:
                         at += len(source.readline()) - 1
-                    rows, held, n = [], 0, 0
+                    rows, held, n = [], 0, job["first"]
                     while at < job["end"]:
                         line = source.readline()
                         if not line.endswith(b"\n"):
                             break
-                        rows.append((job["path"], job["begin"], n, line[:-1]))
+                        rows.append(line[:-1])
                         at += len(line)
                         held += len(line)
-                        n += 1
                         if held > 1 << 22:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-                            rows, held = [], 0
+                            yield packed(job["path"], n, rows)
+                            rows, held, n = [], 0, n + len(rows)
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                        yield packed(job["path"], n, rows)
 
     begins = F.sequence("start", F.greatest("start", F.col("size") - 1), F.lit(chunk).cast("bigint"))
-    ranges = files.filter("size > start").select("path", "start", "size", F.explode(begins).alias("begin"))
-    ranges = ranges.select("path", "start", "begin", F.least("size", F.col("begin") + chunk).alias("end")).repartition("path", "begin")
-    rows = cut_lineage(ranges.mapInArrow(read, "path STRING, begin BIGINT, at BIGINT, raw BINARY"))
-    before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    shift = rows.groupBy("path", "begin").agg(F.count(F.lit(1)).alias("n")).select(
-        "path", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    return rows.join(shift, ["path", "begin"]).join(files.select("path", "first"), "path").select(
-        "path", F.lit(agent).alias("agent"), (F.col("first") + F.col("shift") + F.col("at")).alias("ordinal"), F.col("raw").cast("string").alias("line"))
+    ranges = cut_lineage(files.filter("size > start").select("path", "start", "size", "first", F.explode(begins).alias("begin")).select(
+        "path", "start", "first", "begin", F.least("size", F.col("begin") + chunk).alias("end"), (F.col("size") - F.col("start") > chunk).alias("cut")))
+    known = ranges.agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("cut")).first()
+    numbered = ranges
+    if known.cut:
+        counted = dealt(ranges.filter("cut"), known.cut, "path", "begin").mapInArrow(count, "path STRING, begin BIGINT, n BIGINT")
+        before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+        # Lines that begin before a later range: one, and one behind every newline.
+        shift = counted.select("path", "begin", (1 + F.sum("n").over(before)).alias("shift"))
+        numbered = ranges.join(shift, ["path", "begin"], "left").withColumn("first", F.col("first") + F.coalesce("shift", F.lit(0)))
+    jobs = numbered.select("path", "start", F.col("first").cast("bigint").alias("first"), "begin", "end")
+    rows = dealt(jobs, known.n, "path", "begin").mapInArrow(read, "path STRING, ordinal BIGINT, raw BINARY")
+    return rows.select("path", F.lit(agent).alias("agent"), "ordinal", F.col("raw").cast("string").alias("line"))
+
+
+def read_files(files: DataFrame, roots: Sequence[str], agent: str, ext: str = ".jsonl", chunk: int = RANGE) -> DataFrame:
+    """Complete lines of ``files(path, size)``, up to the sizes they were listed with.
+
+    Their names stay a table. Only files that tasks cannot open at an offset are
+    named to Spark's own reader by the driver.
+    """
+    if all(map(can_seek, roots)):
+        from_start = files.select("path", F.lit(0).cast("bigint").alias("start"), "size", F.lit(0).cast("bigint").alias("first"))
+        return read_ranges(from_start, agent, chunk)
+    return read_lines(files.sparkSession, roots, agent, ext, files=[r.path for r in files.select("path").collect()])
 
 
-def unreadable(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
-    """The error of every file that cannot be opened or read to its end, found by one job.
+def unreadable(files: DataFrame) -> DataFrame:
+    """``path, error`` of every one of ``files(path)`` that cannot be opened or read to its end, found by one job.
 
     A file system that is unknown to pyarrow says nothing about its files.
     """
 
     def probe(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         for batch in batches:
             rows = []
             for path in batch.column("path").to_pylist():
-                try:
-                    system, inner = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
-                except Exception:  # noqa: BLE001
+                if not can_seek(path):
                     continue
+                system, inner = opened(path)
                 try:
                     with system.open_input_stream(inner) as raw:
                         while raw.read(1 << 20):
@@ -321,9 +346,7 @@ def unreadable(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    tasks = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    dealt = spark.createDataFrame([(p,) for p in files], "path STRING").repartition(tasks, "path")
-    return {r.path: r.error for r in dealt.mapInArrow(probe, "path STRING, error STRING").collect()}
+    return cut_lineage(dealt(files.select("path"), files.count(), "path").mapInArrow(probe, "path STRING, error STRING"))
 
 
 def _split_lines(split: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import agy, claude, codex, gemini, opencode, pi
 from .common import Normalised
 from .landed import TableSource
-from .lines import discover, read_lines
+from .lines import discover, read_files
 from .resume import NeedsOf
 
 
@@ -30,8 +30,9 @@ class LogSource:
     def files(self, spark: SparkSession) -> DataFrame:
         return discover(spark, self.roots, self.ext, self.recurse)
 
-    def lines(self, spark: SparkSession, files: list[str] | None = None) -> DataFrame:
-        return read_lines(spark, self.roots, self.agent, self.ext, self.recurse, files=files)
+    def lines(self, files: DataFrame) -> DataFrame:
+        """Lines of listed ``files(path, size)``."""
+        return read_files(files, self.roots, self.agent, self.ext)
 
     def rows(self, lines: DataFrame) -> Normalised:
         return self.normalise(lines, **self.options)

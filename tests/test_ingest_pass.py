@@ -9,8 +9,10 @@ import pytest
 from spendloom.operators import rollups
 from spendloom.plans import ingest
 from spendloom.plans.store import Store
-from spendloom.sources import claude, gemini, pi, registry
-from spendloom.sources.lines import discover, read_lines
+from spendloom.session import cut_lineage
+from spendloom.sources import claude, gemini, listing, pi, registry
+from spendloom.sources import lines as lines_module
+from spendloom.sources.lines import discover, read_files, read_lines
 from spendloom.sources.prices import builtin_prices
 
 NOW = datetime(2026, 1, 1)
@@ -129,10 +131,10 @@ def test_discovery(spark, tmp_path):
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text('{"a":1}\n{"a":2}\nrest')
-    found = [os.path.relpath(r.path, root) for r in discover(spark, [str(root), str(tmp_path / "absent")]).collect()]
+    found = sorted(os.path.relpath(r.path, root) for r in discover(spark, [str(root), str(tmp_path / "absent")]).collect())
     assert found == ["_d/w.jsonl", "a.jsonl", "b.JSONL", "sub dir/z.jsonl"]
     assert discover(spark, [str(tmp_path / "absent")]).count() == 0
-    flat = [os.path.relpath(r.path, root) for r in discover(spark, [str(root)], recurse=False).collect()]
+    flat = sorted(os.path.relpath(r.path, root) for r in discover(spark, [str(root)], recurse=False).collect())
     assert flat == ["a.jsonl", "b.JSONL"]
 
 
@@ -173,6 +175,52 @@ def test_deep_and_underscore_names_are_found(spark, tmp_path):
     assert got == sorted(names)
 
 
+@pytest.mark.parametrize("entries", [1, 40, 100_000])
+def test_any_tree_is_walked_by_tasks(spark, tmp_path, entries, monkeypatch):
+    """5,000 directories, wide and deep, in rounds of any size; neither the driver nor Spark's listing looks at one of them."""
+    wide = 4900 if entries > 1000 else 150
+    deep, want = tmp_path, set()
+    for i in range(100 if entries > 1000 else 12):
+        deep = deep / ("_under" if i % 7 == 3 else f"level {i}")
+        deep.mkdir()
+        (deep / f"n%{i}.jsonl").write_text("x\n" * i)
+        want.add((str(deep / f"n%{i}.jsonl"), 2 * i))
+    for i in range(wide):
+        folder = tmp_path / f"w{i % 70}" / f"d{i}"
+        folder.mkdir(parents=True)
+        if i % 3 == 0:
+            (folder / "_s.JSONL").write_text("y")
+            want.add((str(folder / "_s.JSONL"), 1))
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "x.jsonl").write_text("z")
+    (tmp_path / ".x.jsonl").write_text("z")
+
+    def none(*_):
+        raise AssertionError("listed on the driver")
+
+    monkeypatch.setattr(lines_module, "_existing", none)
+    monkeypatch.setattr(lines_module, "_underscored", none)
+    monkeypatch.setattr(listing, "ENTRIES", entries)
+    found = listing.walk(spark, [str(tmp_path), str(tmp_path / "w3"), str(tmp_path / "none"), f"{deep}/n%1.jsonl"], ".jsonl", True, entries)
+    rows = [(r.path, r.size) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert discover(spark, [f"file://{tmp_path}"]).select("path", "size").exceptAll(found.select("path", "size")).isEmpty()
+
+
+def test_listed_files_are_read_in_ranges(spark, tmp_path):
+    """Whatever the length of a range, lines have the numbers they have in the file, and what comes after the listing waits."""
+    texts = {"a b.jsonl": "".join("é" * (i % 9) + f"{i}\n" for i in range(400)) + "half", "c%20.jsonl": "\n\n\nx\n", "d.jsonl": "no end", "e.jsonl": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    files = cut_lineage(discover(spark, [str(tmp_path)]))
+    with open(tmp_path / "c%20.jsonl", "a") as f:
+        f.write("later\n")
+    want = {(n, i): x for n, t in texts.items() for i, x in enumerate(t.split("\n")[:-1])}
+    for chunk in (7, 64, 1 << 20):
+        got = [((os.path.basename(r.path), r.ordinal), r.line) for r in read_files(files, [str(tmp_path)], "x", chunk=chunk).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_all_changed_logs_come_in_with_one_pass(world):
     root, store, run, write, _ = world
     for i in range(300):
@@ -244,16 +292,17 @@ def test_any_number_of_logs_whose_rows_fail_leaves_the_others(spark, monkeypatch
     bad = set(paths[:40]) | {paths[77]}
 
     def read(source, part, *_):
-        if bad & set(part):
+        names = [r.path for r in part.collect()]
+        if bad & set(names):
             raise ValueError("rows")
-        return part
+        return names
 
     monkeypatch.setattr(ingest, "_read", read)
-    monkeypatch.setattr(ingest, "unreadable", lambda spark, files: {})
-    picked = spark.createDataFrame([(p,) for p in paths], "path STRING")
-    got, failed = ingest._read_what_can_be(None, paths, picked, None, None)
+    monkeypatch.setattr(ingest, "unreadable", lambda files: spark.createDataFrame([], "path STRING, error STRING"))
+    picked = spark.createDataFrame([(p,) for p in paths], "path STRING").coalesce(1).cache()
+    got, failed = ingest._read_what_can_be(None, picked, None, None)
     assert sorted(p for part in got for p in part) == sorted(set(paths) - bad)
-    assert sorted(failed) == [(p, "ValueError: rows") for p in sorted(bad)]
+    assert sorted(map(tuple, failed.collect())) == [(p, "ValueError: rows") for p in sorted(bad)]
 
 
 def test_all_or_nothing_of_a_source(world):
