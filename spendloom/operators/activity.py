@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import whole_div
@@ -126,3 +126,30 @@ def activity_summary(buckets: DataFrame, step: int) -> DataFrame:
     return sums.withColumn("throughput", ratio(F.col("output_tokens"), F.col("llm_seconds"))).withColumn(
         "avg_response", ratio(F.col("llm_seconds"), F.col("messages"))
     )
+
+
+def activity_sessions(calls: DataFrame, gap: int, by: str = "project") -> DataFrame:
+    """Spells of work per ``by``: a dated call more than ``gap`` seconds after the one before begins a new one.
+
+    ``start`` and ``end`` are the times of a spell's first and last call. Calls of
+    one epoch-aligned bucket of ``gap`` seconds are of one spell in any case, so
+    they are added up first; what is then ordered per key is a row per bucket,
+    however many calls a key has.
+    """
+    if gap <= 0:
+        raise ValueError(f"gap must be positive, got {gap}")
+    sums = ["messages", *BUCKET_SUMS, "llm_us", "cost_usd", "unpriced"]
+    dated = calls.filter("ts > 0")
+    buckets = dated.groupBy(by, whole_div(F.col("ts"), gap).alias("bucket")).agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("messages"),
+        *[zero_sum(c).alias(c) for c in BUCKET_SUMS], zero_sum(micros("llm_seconds")).alias("llm_us"),
+        zero_sum("cost_usd").alias("cost_usd"), flag_sum(~F.col("priced")).alias("unpriced"),
+    )
+    along = Window.partitionBy(by).orderBy("bucket")
+    opens = F.coalesce(F.col("start") - F.lag("end").over(along) > gap, F.lit(True))
+    numbered = buckets.withColumn("_opens", opens).withColumn("spell", F.count_if("_opens").over(along))
+    return (
+        numbered.groupBy(by, "spell")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), *[F.sum(c).alias(c) for c in sums])
+        .select(by, "start", "end", *[c for c in sums if c != "llm_us"], (F.col("llm_us") / 1e6).alias("llm_seconds"))
+    )

@@ -132,3 +132,26 @@ def sort_keys(by: str, ascending: bool) -> list[Column]:
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 0) of an ordered DataFrame."""
     return df.offset(number * size).limit(size)
+
+
+def page_after(df: DataFrame, by: str, ascending: bool, tie: Sequence[str], size: int, last: Mapping | None = None) -> DataFrame:
+    """The ``size`` rows that follow row ``last`` in the order of :func:`sort_rows`; without it the first page.
+
+    ``last`` has the values of ``by`` and ``tie`` of the last row seen. Where a page
+    begins is a filter, so however deep it lies, every task keeps ``size`` rows
+    and no earlier row is passed on. ``tie`` ends in something unique.
+    """
+    if last is not None:
+        def keys(value: Column) -> Column:
+            number = F.btrim(value.cast("string")).try_cast("double")
+            text = F.when(number.isNull(), F.lower(F.coalesce(value.cast("string"), F.lit(""))))
+            # A number comes before any text; of each only one of the two counts.
+            return F.struct(F.when(number.isNotNull(), 0).otherwise(1), number, text)
+
+        def seen(column: str) -> Column:
+            return F.lit(last[column]).cast(df.schema[column].dataType)
+
+        here, there = keys(F.col(by)), keys(seen(by))
+        rest = F.struct(*tie) > F.struct(*map(seen, tie))
+        df = df.filter((here > there if ascending else here < there) | ((here == there) & rest))
+    return sort_rows(df, by, ascending, tie).limit(size)

@@ -620,6 +620,16 @@ def sessions_rollup(spark, sf):
     return with_money(session_table(spark, sf)).drop("path", "title")
 
 
+@query
+def sessions_after(spark, sf):
+    """The second page of the newest sessions, from the last row of the first one on."""
+    every = session_table(spark, sf)
+    first = filters.page_after(every, "last_ts", False, ["uid"], 100)
+    last = first.select("last_ts", "uid").orderBy("last_ts", F.desc("uid")).first()
+    following = filters.page_after(every, "last_ts", False, ["uid"], 100, last and last.asDict())
+    return with_money(following).select("uid", "last_ts", "calls", "cost")
+
+
 @query
 def sessions_top(spark, sf):
     return with_money(sessions.sessions_top(session_table(spark, sf), 100)).select("uid", "last_ts", "calls", "cost")
@@ -660,6 +670,12 @@ def activity_hourly(spark, sf):
     return with_money(act.activity(fx.calls(spark, sf), 3600))
 
 
+@query
+def activity_sessions(spark, sf):
+    """Spells of work per project, two hours without a call apart."""
+    return with_money(act.activity_sessions(fx.calls(spark, sf), 7200))
+
+
 @query
 def activity_5min(spark, sf):
     return with_money(act.activity(fx.calls(spark, sf), 300))

@@ -648,3 +648,8 @@ SELECT *, state IN ('error', 'empty') AS attention FROM j"""
 ORACLE["resumed_read"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLE[f'ingest_{agent}']})" for agent in ("pi", "claude", "codex", "gemini"))
 ORACLE["sessions_maintained"] = ORACLE["sessions_rollup"]
 ORACLE["reprice_changed"] = ORACLE["reprice"]
+ORACLE["sessions_after"] = f"{ALL} SELECT uid, last_ts, calls, {MONEY} FROM sessions ORDER BY last_ts DESC, uid LIMIT 100 OFFSET 100"
+ORACLE["activity_sessions"] = f"""{ONLY_CALLS}, d AS (SELECT *, lag(ts) OVER (PARTITION BY project ORDER BY ts, session_uid, call_key) AS before FROM calls WHERE ts > 0),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY project ORDER BY ts, session_uid, call_key) AS spell FROM d)
+SELECT project, min(ts) AS start, max(ts) AS "end", {BUCKET}
+FROM n GROUP BY project, spell"""

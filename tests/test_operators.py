@@ -283,3 +283,41 @@ def test_status_remembers(spark):
 def test_cursor_reset(spark):
     st = spark.createDataFrame([("/a", "pi"), ("/b", "claude")], "path STRING, agent STRING")
     assert [r.path for r in state.reset_cursors(st, "claude").collect()] == ["/a"]
+
+
+def test_pages_by_key_are_the_order(spark):
+    """Numbers, numbers as text, text of any case, nulls and equal values, page by page in both directions."""
+    values = ["10", "9", " 9 ", "b", "B", "a", None, "", "-1", "NaN", "1e3", "b", None, "z", "9"]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v STRING, id INT").cache()
+    for up in (True, False):
+        want = [r.id for r in filters.sort_rows(df, "v", up, ["id"]).collect()]
+        got, last = [], None
+        while True:
+            rows = filters.page_after(df, "v", up, ["id"], 4, last).collect()
+            if not rows:
+                break
+            got, last = got + [r.id for r in rows], rows[-1].asDict()
+        assert got == want
+
+
+def test_spells_against_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([0, None, *range(1, 4000)])) for _ in range(400)] + [("c", 100), ("c", 160), ("c", 221)]
+    zero = ", ".join(f"1L AS {c}" for c in activity.BUCKET_SUMS)
+    calls = spark.createDataFrame(rows, "project STRING, ts BIGINT").selectExpr(
+        "*", *zero.split(", "), "0.5D AS llm_seconds", "CAST(1 AS DECIMAL(24,12)) AS cost_usd", "true AS priced")
+    want = []
+    for who in {p for p, _ in rows}:
+        spell = []
+        for ts in [*sorted(t for p, t in rows if p == who and t), None]:
+            if spell and (ts is None or ts - spell[-1] > 60):
+                want.append((who, spell[0], spell[-1], len(spell)))
+                spell = []
+            spell.append(ts)
+    got = activity.activity_sessions(calls, 60)
+    assert sorted(map(str, got.select("project", "start", "end", "messages").collect())) == sorted(
+        f"Row(project={p!r}, start={s}, end={e}, messages={n})" for p, s, e, n in want)
+    assert got.filter("input_tokens != messages OR cost_usd != messages OR llm_seconds != messages / 2").isEmpty()
+    assert activity.activity_sessions(calls.limit(0), 60).isEmpty()
