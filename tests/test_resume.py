@@ -192,7 +192,7 @@ def test_consumed_bytes_are_not_read_again(home, monkeypatch):
     open(path, "wb").write(bytes(data))
     write("claude", "s.jsonl", [json.dumps(c_said(1, "n1")), json.dumps(c_said(2, "n2"))], "a")
     asked = []
-    monkeypatch.setattr(registry.LogSource, "lines", lambda self, spark, files=None: asked.append(files))
+    monkeypatch.setattr(registry.LogSource, "lines", lambda self, files: asked.append(files))
     run()
     assert asked == [] and store.read("calls").count() == 202
     newest = store.passes()[-1]["pass"]
