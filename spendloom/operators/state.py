@@ -21,7 +21,9 @@ def _stack(stored: DataFrame, incoming: DataFrame, seq: str | None) -> DataFrame
     new = incoming.withColumn("_batch", F.lit(1)).withColumn(
         "_seq", F.struct(*_order(incoming, seq)) if seq is None else F.struct(F.col(seq))
     )
-    old = stored.withColumn("_batch", F.lit(0)).withColumn("_seq", F.lit(None).cast(new.schema["_seq"].dataType))
+    # Where a row is its own order, stored rows have theirs as well: it is then the only copy of a row.
+    own = F.struct(*_order(incoming, seq)) if seq is None and set(_order(incoming, seq)) <= set(stored.columns) else F.lit(None).cast(new.schema["_seq"].dataType)
+    old = stored.withColumn("_batch", F.lit(0)).withColumn("_seq", own)
     return old.unionByName(new)
 
 
@@ -47,13 +49,28 @@ def upsert(
     keep = [c for c in keep if c in stored.columns]
     position = F.struct("_batch", "_seq")
     plain = [c for c in stored.columns if c not in [*keys, *keep, *keep_if_empty]]
-    aggs = [F.max_by(F.struct(*plain), position).alias("_new")] if plain else []
-    aggs += [F.min_by(c, position).alias(c) for c in keep]
+    rows = _stack(stored, incoming, seq).withColumn("_at", position)
+    if seq is None and set(stored.columns) == set(_order(incoming, seq)):
+        # The order of the rows is the rows: the greatest and the least are all there is to keep of a key.
+        aggs = [F.max("_at").alias("_last")] + ([F.min("_at").alias("_first")] if keep else [])
+        aggs += [F.max(F.when(F.col(c) != "", F.struct("_batch", "_seq"))).alias(f"_full_{c}") for c in keep_if_empty]
+        merged = rows.groupBy(*keys).agg(*aggs)
+
+        def of(c: str):
+            if c in keys:
+                return F.col(c)
+            if c in keep_if_empty:
+                return F.coalesce(f"_full_{c}._seq.{c}", f"_last._seq.{c}").alias(c)
+            return F.col(f"_first._seq.{c}" if c in keep else f"_last._seq.{c}").alias(c)
+
+        return merged.select(*map(of, stored.columns))
+    aggs = [F.max_by(F.struct(*plain), "_at").alias("_new")] if plain else []
+    aggs += [F.min_by(c, "_at").alias(c) for c in keep]
     aggs += [
-        F.coalesce(F.max_by(c, F.when(F.col(c) != "", position)), F.max_by(c, position)).alias(c)
+        F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("_at"))), F.max_by(c, "_at")).alias(c)
         for c in keep_if_empty
     ]
-    merged = _stack(stored, incoming, seq).groupBy(*keys).agg(*aggs)
+    merged = rows.groupBy(*keys).agg(*aggs)
     return merged.select(
         *[F.col(f"_new.{c}").alias(c) if c in plain else F.col(c) for c in stored.columns]
     )

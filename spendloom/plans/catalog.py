@@ -838,11 +838,13 @@ def resumed_read(spark, sf):
     out = None
     for module, made in ((pi, logs.pi_lines), (claude, logs.claude_lines), (codex, logs.codex_lines), (gemini, logs.gemini_lines)):
         every = cut_lineage(made(spark, sf))
-        halves = every.join(every.groupBy("path").agg(F.max("ordinal").alias("end")), "path")
-        first, second = (cut_lineage(halves.filter(test).drop("end")) for test in ("2 * ordinal <= end", "2 * ordinal > end"))
-        rest, again = resume.read_on(module.normalise, module.needs, first, second)
+        ends = cut_lineage(every.groupBy("path").agg(F.max("ordinal").alias("end")))
+        halves = cut_lineage(every.join(ends, "path"))
+        first, second = (halves.filter(test).drop("end") for test in ("2 * ordinal <= end", "2 * ordinal > end"))
+        begun = module.events(first)
+        rest, again = resume.read_on(module.normalise, module.needs, (first, begun), second, module.events)
         whole = module.normalise(every.join(again, "path", "left_semi")).calls
-        calls = cut_lineage(state.upsert_calls(module.normalise(first).calls, rest.calls.unionByName(whole)))
+        calls = cut_lineage(state.upsert_calls(module.normalise(begun).calls, rest.calls.unionByName(whole)))
         out = calls if out is None else out.unionByName(calls)
     return priced_calls(spark, common.Normalised(out, out, out))
 

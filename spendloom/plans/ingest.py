@@ -63,7 +63,7 @@ def _resume(source: LogSource, grown: DataFrame, known: DataFrame, tails: DataFr
     late = cut_lineage(resume.late(source.needs(resume.flagged(lines)), closed))
     files, lines = files.join(late, "path", "left_anti"), lines.join(late, "path", "left_anti")
     both = cut_lineage(resume.replaying(lines, kept))
-    rows, needs = source.rows(both), source.needs(both)
+    rows, needs = source.rows(both), resume.settled(source.needs(both))
     one_line = F.xxhash64("ordinal", "line").cast("decimal(20,0)")
     sums = lines.groupBy("path").agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count(F.lit(1)).alias("n"), F.sum(one_line).alias("sum"))
     digest = F.coalesce(F.nullif("digest", F.lit("")), F.lit("0")).cast("decimal(38,0)") + F.coalesce("sum", F.lit(0))
@@ -86,7 +86,7 @@ def _read(source: LogSource, picked: DataFrame, known: DataFrame, book: PriceLis
     rows: Normalised = source.rows(lines)
     kept = over = None
     if source.needs is not None:
-        needs = source.needs(resume.flagged(lines))
+        needs = resume.settled(source.needs(resume.flagged(lines)))
         kept, over = cut_lineage(resume.tails(lines, needs)), cut_lineage(resume.closed(lines, needs))
     return _Read(
         cut_lineage(price_calls(rows.calls, book).drop("sized")), cut_lineage(rows.tools), cut_lineage(rows.identities),

@@ -6,6 +6,8 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Settings every session needs for right results, and the ones that make the
 # physical plans adapt to size and skew at run time.
@@ -53,6 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table. Its plan is known to be empty, so no task reads it and joins and unions with it go away."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields]
+    return spark.range(1).filter(F.lit(False)).select(*columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back."""
     shared_folder(df.sparkSession)

@@ -18,7 +18,7 @@ AGENT = "claude"
 SYNTHETIC = "<synthetic>"
 
 
-def events(lines: DataFrame) -> DataFrame:
+def _decoded(lines: DataFrame) -> DataFrame:
     r, m = F.col("r"), F.col("r.message")
     rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).filter("r is not null").select(
         "path",
@@ -79,6 +79,11 @@ def events(lines: DataFrame) -> DataFrame:
     )
 
 
+def events(lines: DataFrame) -> DataFrame:
+    """The events of lines, decoded once for all that is made of them; events stay as they are."""
+    return resume.events_once(lines, _decoded)
+
+
 def opened(ev: DataFrame) -> DataFrame:
     """Add ``response``, what groups the lines of one response, and ``opener``, the line that opened it.
 

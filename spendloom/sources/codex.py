@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators.ordered import ROWS_PER_CHUNK, carry
+from ..session import no_rows
 from . import common, resume
 from .lines import decode
 
@@ -31,7 +32,7 @@ def _stated(usage: Column) -> Column:
     )
 
 
-def events(lines: DataFrame) -> DataFrame:
+def _decoded(lines: DataFrame) -> DataFrame:
     r, p = F.col("r"), F.col("r.payload")
     rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).select(
         "path",
@@ -66,6 +67,11 @@ def events(lines: DataFrame) -> DataFrame:
     )
 
 
+def events(lines: DataFrame) -> DataFrame:
+    """The events of lines, decoded once for all that is made of them; events stay as they are."""
+    return resume.events_once(lines, _decoded)
+
+
 def counter_deltas(rows: DataFrame) -> DataFrame:
     """Per-call usage from ``total``, ``last`` and ``before``, the running total so far.
 
@@ -125,8 +131,8 @@ def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.
         "sized",
     )
     # The log names no tool runs.
-    no_tools = lines.sparkSession.createDataFrame(
-        [], "session_uid STRING, call_key STRING, project STRING, tool STRING, us BIGINT, seconds DOUBLE, is_error BOOLEAN"
+    no_tools = no_rows(
+        lines.sparkSession, "session_uid STRING, call_key STRING, project STRING, tool STRING, us BIGINT, seconds DOUBLE, is_error BOOLEAN"
     )
     return common.Normalised(
         common.finish_calls(calls, AGENT), common.finish_tools(no_tools, AGENT), common.identities(ev, AGENT)

@@ -16,7 +16,7 @@ AGENT = "gemini"
 SLOWEST_RESPONSE = 300
 
 
-def events(lines: DataFrame) -> DataFrame:
+def _decoded(lines: DataFrame) -> DataFrame:
     r = F.col("r")
     rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).filter("r is not null").select(
         "path",
@@ -64,6 +64,11 @@ def events(lines: DataFrame) -> DataFrame:
     )
 
 
+def events(lines: DataFrame) -> DataFrame:
+    """The events of lines, decoded once for all that is made of them; events stay as they are."""
+    return resume.events_once(lines, _decoded)
+
+
 def chat_project(path):
     """<project> of .../<project>/chats/<file>, else ''."""
     return F.regexp_extract(path, r"([^/]+)/chats/[^/]+\z", 1)

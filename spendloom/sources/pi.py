@@ -15,7 +15,7 @@ MEMBERS = """type: STRING, id: VARIANT, cwd: VARIANT, timestamp: VARIANT,
 AGENT = "pi"
 
 
-def events(lines: DataFrame) -> DataFrame:
+def _decoded(lines: DataFrame) -> DataFrame:
     r, m = F.col("r"), F.col("r.message")
     rec = decode(resume.flagged(lines), MEMBERS, ("path", "ordinal", "replayed")).select(
         "path",
@@ -94,6 +94,11 @@ def events(lines: DataFrame) -> DataFrame:
     )
 
 
+def events(lines: DataFrame) -> DataFrame:
+    """The events of lines, decoded once for all that is made of them; events stay as they are."""
+    return resume.events_once(lines, _decoded)
+
+
 def normalise(lines: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> common.Normalised:
     ev = events(lines)
     rows = carry(

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, no_rows
 
 #: A response stays open for so many lines after its last one, and the log's last response as long as it is that.
 RECENT_LINES = 64
@@ -45,6 +45,16 @@ def flagged(lines: DataFrame) -> DataFrame:
     return lines if "replayed" in lines.columns else lines.withColumn("replayed", F.lit(False))
 
 
+def events_once(lines: DataFrame, decode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Events of lines, written out so that no JSON is decoded twice; what has no ``line`` is events already."""
+    return cut_lineage(decode(lines)) if "line" in lines.columns else lines
+
+
+def settled(needs: Needs) -> Needs:
+    """The same needs, worked out once for the tails and for what is closed."""
+    return Needs(needs.points, None if needs.keyed is None else cut_lineage(needs.keyed))
+
+
 def points(ev: DataFrame, last: tuple[str, ...] = ()) -> DataFrame:
     """(path, ordinal) of the first line that has each of a session's marks, of its last time, and of the last that has each of ``last``."""
     firsts = [c for c in ("uid_seen", "project_seen", "title_seen", "us") if c in ev.columns]
@@ -68,7 +78,7 @@ def tails(lines: DataFrame, needs: Needs) -> DataFrame:
 def closed(lines: DataFrame, needs: Needs) -> DataFrame:
     """(path, key) of all that is over."""
     if needs.keyed is None:
-        return lines.sparkSession.createDataFrame([], CLOSED)
+        return no_rows(lines.sparkSession, CLOSED)
     return needs.keyed.filter("NOT open").select("path", "key").distinct()
 
 
@@ -81,17 +91,28 @@ def late(needs_of_new: Needs, known_closed: DataFrame) -> DataFrame:
 
 def replaying(new_lines: DataFrame, kept: DataFrame) -> DataFrame:
     """New lines and, before them, the tails of their logs."""
+    return new_lines.select("path", "agent", "ordinal", "line", F.lit(False).alias("replayed")).unionByName(_replayed(new_lines, kept))
+
+
+def _replayed(new_lines: DataFrame, kept: DataFrame) -> DataFrame:
     old = kept.join(new_lines.select("path", "agent").distinct(), "path").select("path", "agent", F.explode("lines").alias("l"))
-    old = old.select("path", "agent", "l.ordinal", "l.line", F.lit(True).alias("replayed"))
-    return new_lines.select("path", "agent", "ordinal", "line", F.lit(False).alias("replayed")).unionByName(old)
+    return old.select("path", "agent", "l.ordinal", "l.line", F.lit(True).alias("replayed"))
 
 
-def read_on(normalise, needs: NeedsOf, first: DataFrame, second: DataFrame):
+def read_on(normalise, needs: NeedsOf, first: DataFrame, second: DataFrame, events=None):
     """Rows of the lines ``second`` that follow ``first`` in their logs, from the tails of ``first`` alone.
 
     Returns the rows of all logs but those that come back to something closed, and the paths of these.
+    With ``events``, which turns lines into events one by one, the new lines are decoded once for their
+    needs and their rows, and ``first`` may be a pair of lines and their events.
     """
-    before = needs(flagged(first))
+    first, begun = first if isinstance(first, tuple) else (first, flagged(first))
+    before = settled(needs(begun))
     kept, over = cut_lineage(tails(first, before)), cut_lineage(closed(first, before))
+    if events is not None:
+        new = events(flagged(second))
+        again = cut_lineage(late(needs(new), over))
+        replayed = events(_replayed(second.join(again, "path", "left_anti"), kept))
+        return normalise(cut_lineage(new.join(again, "path", "left_anti").unionByName(replayed))), again
     again = cut_lineage(late(needs(flagged(second)), over))
     return normalise(cut_lineage(replaying(second.join(again, "path", "left_anti"), kept))), again

@@ -205,3 +205,14 @@ def test_consumed_bytes_are_not_read_again(home, monkeypatch):
     write("claude", "s.jsonl", body[:3])
     run()
     assert store.read("calls").count() == 3
+
+
+@pytest.mark.parametrize("module", [claude, pi, codex, gemini])
+def test_lines_are_decoded_once_for_rows_and_needs(spark, module):
+    """What is made of a log's events holds no JSON any more, and events are not decoded again."""
+    lines = spark.createDataFrame([("/l/a.jsonl", "x", i, json.dumps(r)) for i, r in enumerate(CLAUDE[:6] + PI[:4])], "path STRING, agent STRING, ordinal BIGINT, line STRING")
+    events = module.events(resume.flagged(lines))
+    rows, needs = module.normalise(lines), resume.settled(module.needs(events))
+    frames = [rows.calls, rows.identities, needs.points, *([needs.keyed] if needs.keyed is not None else [])]
+    assert module.events(events) is events
+    assert not any("from_json" in f._jdf.queryExecution().toString() for f in frames)
