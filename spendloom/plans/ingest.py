@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import state
 from ..operators.pricing import PriceList, affected_calls, price_calls, reprice
 from ..operators.sessions import session_calls, sessions_rollup
-from ..session import cut_lineage
+from ..session import cut_lineage, no_rows
 from ..sources import resume
 from ..sources.common import Normalised
 from ..sources.landed import TableSource
@@ -241,7 +241,7 @@ def run_pass(
                 unread.append(failed.select("path", F.lit(source.agent).alias("agent"), "error"))
                 errors[source.agent] = f"{n} of {picked.count()} failed; first: {first.path}: {first.error}"
 
-    listing = files if files is not None else spark.createDataFrame([], "path STRING")
+    listing = files if files is not None else no_rows(spark, "path STRING")
     whole = [s.agent for s in sources if files is not None and (s.agent not in errors or " failed; first: " in errors[s.agent])]
     gone = cut_lineage(state.vanished(known.filter(F.col("agent").isin(whole)), listing))
     n_gone = gone.count()
@@ -259,7 +259,7 @@ def run_pass(
     resets: dict[str, DataFrame] = {}
     lost = gone.select(F.col("session_uid").alias("uid"))
     old = store.read("identities", version)
-    back = spark.createDataFrame([], "uid STRING")
+    back = no_rows(spark, "uid STRING")
     seen = lost
     facts = [*parts, *rows_of]
     if facts:
@@ -272,7 +272,7 @@ def run_pass(
             changes["file_state"] = _file_rows(actions, of_logs, stamp)
             resets["closed"] = anew
         for table, rows in (("calls", stacked([p.calls for p in facts])), ("tool_calls", stacked([p.tools for p in facts]))):
-            columns = spark.createDataFrame([], TABLES[table][1]).columns
+            columns = no_rows(spark, TABLES[table][1]).columns
             changes[table] = state.inherit_project(rows.select(*columns), identities)
             resets[table] = stacked(replaced)
         back = identities.select("uid")
@@ -289,10 +289,10 @@ def run_pass(
     if unread:
         changes["failures"] = stacked(unread).withColumn("failed_at", stamp)
 
-    counted = spark.createDataFrame([], "agent STRING, calls BIGINT")
+    counted = no_rows(spark, "agent STRING, calls BIGINT")
     if facts:
         counted = stacked([p.calls.select("agent") for p in facts]).groupBy("agent").agg(F.count(F.lit(1)).alias("calls"))
-    failed = spark.createDataFrame(list(errors.items()), "agent STRING, error STRING")
+    failed = spark.createDataFrame(list(errors.items()), "agent STRING, error STRING") if errors else no_rows(spark, "agent STRING, error STRING")
     # A source of landed tables counts as one file.
     classified = spark.createDataFrame([(a, "unchanged" if t is None else "append") for a, t in landed.items()], "agent STRING, action STRING")
     if files is not None:
@@ -373,20 +373,24 @@ def publish(store: Store, changes: dict[str, DataFrame], resets: dict[str, DataF
     """Append a pass, and with it the rows of the sessions whose calls, tool calls or identity it touches.
 
     Only these sessions are rolled up again, from their own rows; all others keep the row they have.
+    Which they are is read from what the pass has written, so the work behind its rows is done once.
     """
     resets = dict(resets or {})
-    sides = [changes[t].select(F.col(TABLES[t][0][0]).alias("uid")) for t in FACTS if t in changes]
-    sides += [resets[t].select(F.col(resets[t].columns[0]).alias("uid")) for t in FACTS if t in resets]
-    if not sides:
+    if not any(t in changes or t in resets for t in FACTS):
         return store.append(changes, resets, after)
-    touched = sides[0]
-    for more in sides[1:]:
-        touched = touched.union(more)
-    touched = cut_lineage(touched.distinct())
-    named = [r.uid for r in touched.limit(NAMED_SESSIONS + 1).collect()]
-    resets["sessions"] = touched
-
-    def rolled(read) -> dict[str, DataFrame]:
+    known: list = []
+
+    def rolled(read, written) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        first = not known
+        if first:
+            touched = written("resets").filter(F.col("target").isin(*FACTS)).select(F.col("key").alias("uid"))
+            for table in FACTS:
+                if table in changes:
+                    touched = touched.union(written(table).select(F.col(TABLES[table][0][0]).alias("uid")))
+            touched = cut_lineage(touched.distinct())
+            known.extend([touched, [r.uid for r in touched.limit(NAMED_SESSIONS + 1).collect()]])
+        touched, named = known
+
         def own(table: str) -> DataFrame:
             key = TABLES[table][0][0]
             rows = read(table)
@@ -394,8 +398,8 @@ def publish(store: Store, changes: dict[str, DataFrame], resets: dict[str, DataF
                 return rows.filter(F.col(key).isin(named))
             return rows.join(touched.select(F.col("uid").alias(key)), key, "left_semi")
 
-        columns = store.spark.createDataFrame([], TABLES["sessions"][1]).columns
-        return {"sessions": sessions_rollup(*map(own, FACTS)).select(*columns)}
+        columns = no_rows(store.spark, TABLES["sessions"][1]).columns
+        return {"sessions": sessions_rollup(*map(own, FACTS)).select(*columns)}, {"sessions": touched} if first else {}
 
     return store.append(changes, resets, after, rolled)
 

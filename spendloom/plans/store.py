@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import state
+from ..session import no_rows
 from ..sources import resume
 
 # Key columns, schema, columns that stay as first written, and those that only a non-empty value replaces.
@@ -58,7 +59,7 @@ class Store:
 
     def _load(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        empty = self.spark.createDataFrame([], schema)
+        empty = no_rows(self.spark, schema)
         if not self._exists(path):
             return empty
         return self.spark.read.schema(empty.schema).parquet(path).select(*empty.columns)
@@ -114,7 +115,7 @@ class Store:
         shown = [*self._shown(version), *(also or [])]
         base = [r for r in shown if len(r.replaces)]
         newer = [r for r in shown if not len(r.replaces)]
-        none = self.spark.createDataFrame([], f"at STRING, {schema}")
+        none = no_rows(self.spark, f"at STRING, {schema}")
 
         def merged(rows: DataFrame) -> DataFrame:
             # With the pass in front, the order of rows is by pass and then total.
@@ -131,14 +132,15 @@ class Store:
         return whole.join(touched, keys, "left_anti").select(*again.columns).unionByName(again)
 
     def append(self, changes: dict[str, DataFrame], resets: dict[str, DataFrame] | None = None, after: int | None = None,
-               derive: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]] | None = None) -> int:
+               derive: Callable[[Callable[[str], DataFrame], Callable[[str], DataFrame]], tuple[dict, dict]] | None = None) -> int:
         """Write rows of some tables, and keys whose earlier rows no longer count, and publish both at once.
 
         ``after`` is the version the rows were derived from where they hold only
         if nothing came since; a newer one raises OldBaseError before anything
-        is published. ``derive`` gives rows of further tables from a reader of
-        the tables as this pass leaves them; it is asked again if another pass
-        comes in between.
+        is published. ``derive`` gives rows and resets of further tables from a
+        reader of the tables as this pass leaves them and one of what the pass
+        itself has written, its resets among it; it is asked again if another
+        pass comes in between.
         """
         if after is not None and self.version() != after:
             raise OldBaseError(f"version {self.version()} is newer than {after}, which this write was made from")
@@ -147,7 +149,7 @@ class Store:
         number = self.version() + 1
         while derive is not None:
             own = [Row(**{"pass": name, "number": number, "rank": number, "replaces": []})]
-            self._write(name, derive(lambda table, base=number - 1, own=own: self.read(table, base, own)), {})
+            self._write(name, *derive(lambda table, base=number - 1, own=own: self.read(table, base, own), lambda table: self._written(name, table)))
             if self.version() + 1 == number:
                 break
             number = self.version() + 1
@@ -157,6 +159,9 @@ class Store:
         self._publish([(name, number, number, [])])
         return number
 
+    def _written(self, name: str, table: str) -> DataFrame:
+        return self._load(f"{table}/pass={name}", TABLES[table][1] if table in TABLES else "target STRING, key STRING")
+
     def _write(self, name: str, changes: dict[str, DataFrame], resets: dict[str, DataFrame]) -> None:
         for table, rows in changes.items():
             # What is derived anew replaces what was derived before.
@@ -174,7 +179,7 @@ class Store:
         version = self.version()
         names = [r["pass"] for r in self._shown(version)]
         name = uuid.uuid4().hex
-        self._write(name, {t: self.read(t, version) for t in TABLES}, {})
+        self._write(name, {t: self.read(t, version) for t in TABLES if self.has(t)}, {})
         number = self.version() + 1
         self._publish([(name, number, version, names)])
         return number

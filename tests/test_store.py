@@ -113,3 +113,24 @@ def test_only_calls_whose_price_changes_are_priced_again(spark, sf, tmp_path):
     # A model that only the new list knows resolves anew.
     more = new.unionByName(new.limit(1).withColumn("key", F.lit("mystery-1")).withColumn("source", F.lit("override")))
     assert pricing.affected_calls(calls, lists[1], pricing.PriceList(more)).select("model").distinct().collect()[0].model == "mystery-1"
+
+
+def counted(spark, rows):
+    """The same rows, and how many of them were worked out so far."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            n.add(len(batch))
+            yield batch
+
+    return rows.mapInPandas(run, rows.schema), n
+
+
+def test_the_work_behind_a_pass_is_done_once(spark, tmp_path, facts):
+    """Which sessions a pass touches is read from what it wrote."""
+    calls, _ = facts
+    rows, n = counted(spark, calls)
+    store = Store(spark, str(tmp_path / "once"))
+    ingest.publish(store, {"calls": rows})
+    assert n.value == calls.count() and store.read("sessions").count() == calls.select("session_uid").distinct().count()
