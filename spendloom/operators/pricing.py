@@ -113,12 +113,13 @@ def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def with_rate_key(calls: DataFrame, prices: PriceList) -> DataFrame:
+def with_rate_key(calls: DataFrame, prices: PriceList, models: DataFrame | None = None) -> DataFrame:
     """Add ``rate_key``; null where nothing prices the model.
 
     Distinct models are resolved, once each, and joined back; how is Spark's choice.
+    ``models`` are those of the calls, and may be more, where they are known already.
     """
-    resolved = resolve_models(calls.select("model"), prices.prices)
+    resolved = resolve_models(calls.select("model") if models is None else models, prices.prices)
     return calls.join(resolved, "model", "left")
 
 
@@ -140,14 +141,14 @@ def cost_units() -> Column:
     return sum(products[1:], products[0])
 
 
-def price_calls(calls: DataFrame, prices: PriceList) -> DataFrame:
+def price_calls(calls: DataFrame, prices: PriceList, models: DataFrame | None = None) -> DataFrame:
     """Set ``cost_usd`` and ``priced`` on every call from its token columns.
 
     A call whose ``sized`` column is false happened but its size is unknown: it
     stays unpriced. Each call meets exactly one band of its rate key.
     """
     sized = F.col("sized") if "sized" in calls.columns else F.lit(True)
-    keyed = with_rate_key(calls.drop("cost_usd", "priced"), prices).withColumn("_prompt", prompt_tokens())
+    keyed = with_rate_key(calls.drop("cost_usd", "priced"), prices, models).withColumn("_prompt", prompt_tokens())
     bands = rate_bands(prices.prices).withColumnRenamed("rate_key", "_band_key")
     hit = (
         (F.col("rate_key") == F.col("_band_key"))
@@ -166,24 +167,24 @@ def price_calls(calls: DataFrame, prices: PriceList) -> DataFrame:
     )
 
 
-def reprice(calls: DataFrame, prices: PriceList) -> DataFrame:
+def reprice(calls: DataFrame, prices: PriceList, models: DataFrame | None = None) -> DataFrame:
     """Cost and priced flag of stored calls under another price list.
 
     Everything needed is in the stored columns. A call stored without any token
     is one whose size was never known, so it stays unpriced.
     """
     known = prompt_tokens() + F.col("billable_output_tokens") > 0
-    return price_calls(calls.withColumn("sized", known), prices).drop("sized")
+    return price_calls(calls.withColumn("sized", known), prices, models).drop("sized")
 
 
-def affected_calls(calls: DataFrame, old: PriceList, new: PriceList) -> DataFrame:
+def affected_calls(calls: DataFrame, old: PriceList, new: PriceList, models: DataFrame | None = None) -> DataFrame:
     """The calls that two price lists may price differently; all others have the same cost under both.
 
     A call is among them if its model resolves to another key, or if its prompt
     size lies in a band of its key that only one of the lists has. Both tests
     are made on distinct models and on bands; calls are only looked up.
     """
-    models = calls.select("model").distinct()
+    models = calls.select("model").distinct() if models is None else models
     was = resolve_models(models, old.prices).select("model", F.col("rate_key").alias("_old_key"))
     now = resolve_models(models, new.prices).select("model", F.col("rate_key").alias("_new_key"))
     resolved = was.join(now, "model")

@@ -329,9 +329,11 @@ def reprice_store(store: Store, prices: DataFrame, before: DataFrame | None = No
     while True:
         version = store.version()
         rows = store.read("calls", version)
+        # Names of models are looked up in the rows as written, so that these are merged only once.
+        models = cut_lineage(store.deltas("calls", version).select("model").distinct())
         if before is not None:
-            rows = affected_calls(rows, PriceList(before), PriceList(prices))
-        new = reprice(rows.withColumn("_cost", F.col("cost_usd")).withColumn("_was", F.col("priced")), PriceList(prices))
+            rows = affected_calls(rows, PriceList(before), PriceList(prices), models)
+        new = reprice(rows.withColumn("_cost", F.col("cost_usd")).withColumn("_was", F.col("priced")), PriceList(prices), models)
         changed = cut_lineage(new.filter("NOT (cost_usd <=> _cost AND priced <=> _was)").select(*rows.columns))
         if changed.isEmpty():
             return version

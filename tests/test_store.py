@@ -134,3 +134,15 @@ def test_the_work_behind_a_pass_is_done_once(spark, tmp_path, facts):
     store = Store(spark, str(tmp_path / "once"))
     ingest.publish(store, {"calls": rows})
     assert n.value == calls.count() and store.read("sessions").count() == calls.select("session_uid").distinct().count()
+
+
+def test_repricing_merges_stored_calls_once(spark, facts):
+    """With the models at hand neither the choice of calls nor their new price looks at the calls a second time."""
+    calls, _ = facts
+    rows, n = counted(spark, calls)
+    was, now, models = fx.price_list(spark), fx.doubled_price_list(spark), calls.select("model").distinct()
+    got = pricing.reprice(pricing.affected_calls(rows, was, now, models), now, models)
+    want = pricing.reprice(pricing.affected_calls(calls, was, now), now)
+    got = sorted(map(str, got.select(*calls.columns).collect()))
+    assert n.value == calls.count()
+    assert got and got == sorted(map(str, want.select(*calls.columns).collect()))
