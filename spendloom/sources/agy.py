@@ -17,6 +17,7 @@ from ..functions.names import hyphenate_label
 from ..session import cut_lineage
 from . import common
 from .landed import Landed
+from .listing import dealt
 
 AGENT = "agy"
 
@@ -144,6 +145,10 @@ def _plain_text(blob: bytes) -> str:
     return "" if any(0x80 <= b < 0xC0 for b in blob) else blob.decode("utf-8", "replace")
 
 
+#: So many steps are worth a task that decodes them.
+STEPS_PER_TASK = 2000
+
+
 def decode_steps(steps: DataFrame) -> DataFrame:
     """Times, usage and tool name of every step, and every absolute path where its working directory may be.
 
@@ -224,7 +229,8 @@ def read_on(tables: Mapping[str, DataFrame], stored: Callable[[str], DataFrame])
         return None
     grown = ahead.select("conversation")
     new = steps.join(ahead.select("conversation", "position"), "conversation").filter("position IS NULL OR idx > position")
-    new = cut_lineage(decode_steps(new))
+    # Blobs are small and dear: by their bytes they would all be one task's.
+    new = cut_lineage(decode_steps(dealt(new, 1 + new.count() // STEPS_PER_TASK, "conversation", "idx")))
     told = stored("votes").join(grown, "conversation", "left_semi")
     tally = cut_lineage(told.unionByName(workspace_votes(new)).groupBy("conversation", "path").agg(F.sum("votes").alias("votes")))
     home, was = homes(tally), homes(told).withColumnRenamed("project", "was")

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from spendloom import schemas
 from spendloom.plans import fixture_logs as logs
 from spendloom.plans import fixtures as fx
 from spendloom.plans import ingest
@@ -173,3 +174,14 @@ def test_a_failing_source_and_a_reread_of_one_agent(spark, tmp_path, prices, mon
     assert ingest.run_pass(spark, store, [good, other], prices, NOW).changed == 1
     assert {(r.agent, r.model) for r in store.read("calls").collect()} == {("agy", "renamed"), ("opencode", "o3")}
     assert {(r.path, r.votes) for r in store.read("votes").collect()} == {("/a", 2), ("/b", 1)}
+
+
+def test_steps_are_decoded_by_many_tasks(spark, sf, monkeypatch):
+    """Blobs that are small in bytes are not put into one task."""
+    steps, dealt_to, decode = logs.agy_steps(spark, sf), [], agy.decode_steps
+    monkeypatch.setattr(agy, "STEPS_PER_TASK", 20, raising=False)
+    monkeypatch.setattr(agy, "decode_steps", lambda rows: dealt_to.append(rows.rdd.getNumPartitions()) or decode(rows))
+    stored = {"cursors": schemas.CURSORS, "votes": schemas.VOTES, "identities": schemas.IDENTITIES, "calls": schemas.CALLS, "tool_calls": schemas.TOOL_CALLS}
+    got = agy.read_on({"steps": steps}, lambda table: spark.createDataFrame([], stored[table]))
+    assert dealt_to and dealt_to[0] > 1
+    assert got.rows.calls.count() == agy.normalise(steps).calls.count()
