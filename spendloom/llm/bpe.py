@@ -13,8 +13,11 @@ import heapq
 import json
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +29,14 @@ from .common import remembered, working
 TABLE = 1 << 18
 #: Words of at most this many bytes are merged in the rank array, longer ones through a heap.
 SHORT = 128
+#: Bytes of text that are encoded at once.
+BLOCK = 1 << 22
 NONE = 1 << 63
 LOW = (1 << 32) - 1
 
 # Fixed values of the format: how byte-level BPE cuts a text into words.
+#: Printable ASCII that is neither letter, digit nor the apostrophe of short forms.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -125,22 +132,28 @@ class _Irregular(Exception):
     """A text whose white space does not fall between single words."""
 
 
-class _Words(dict):
+class _Table(dict):
+    """Ids, as bytes, by text: bounded, and without long texts."""
+
+    def keep(self, text: str, ids: bytes) -> bytes:
+        if len(self) >= TABLE:
+            self.clear()
+        if len(text) <= SHORT:
+            self[text] = ids
+        return ids
+
+
+class _Words(_Table):
     """Ids, as bytes, of each word as the format cuts it."""
 
     def __init__(self, merge: Callable[[bytes], list[int]]) -> None:
         self.merge = merge
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
-        if len(self) >= TABLE:
-            self.clear()
-        if len(word) <= SHORT:
-            self[word] = ids
-        return ids
+        return self.keep(word, array("I", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes())
 
 
-class _Spans(dict):
+class _Spans(_Table):
     """Ids, as bytes, of what stands between two single spaces, with the space or line end before it."""
 
     def __init__(self, encoder: Encoder) -> None:
@@ -149,21 +162,25 @@ class _Spans(dict):
     def __missing__(self, span: str) -> bytes:
         if not span or span[-1].isspace():
             raise _Irregular
-        ids = self.encoder.plain(span if span[0] == "\n" else " " + span)
-        if len(self) >= TABLE:
-            self.clear()
-        if len(span) <= SHORT:
-            self[span] = ids
-        return ids
+        return self.keep(span, self.encoder.plain(span if span[0] == "\n" else " " + span))
 
 
 class Encoder:
-    """Whole texts to ids as little-endian unsigned 32-bit integers."""
+    """Whole texts to ids as little-endian unsigned 32-bit integers.
+
+    ``merge`` gives the ids of one word; ``merge_all``, where many cost less together, the ids as bytes of many words
+    that are a space and letters each.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, merge: Callable[[bytes], list[int]] | None = None) -> None:
+    def __init__(self, vocabulary: Vocabulary, merge: Callable[[bytes], list[int]] | None = None,
+                 merge_all: Callable[[list[str]], list[bytes]] | None = None) -> None:
         self.vocabulary = vocabulary
-        self.words = _Words(merge or vocabulary.merge_word)
+        self.merge = merge or vocabulary.merge_word
+        self.merge_all = merge_all or (lambda words: [array("I", self.merge(word.encode())).tobytes() for word in words])
+        self.words = _Words(self.merge)
         self.spans = _Spans(self)
+        # Letters with signs behind them need no expression to be cut, unless an added token could stand in them.
+        self.direct = not any(all(c.isalpha() for c in mark.rstrip(SIGNS)) for mark in vocabulary.special)
 
     def plain(self, text: str) -> bytes:
         """The ids of a text by the format's own cut, added tokens first."""
@@ -189,6 +206,71 @@ class Encoder:
         except _Irregular:
             return self.plain(text)
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        """``encode`` of every text of a column in turn; null counts as empty.
+
+        Of a block of texts each distinct span is looked up once, and the ids of all are gathered by its number.
+        """
+        stops = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < len(texts):
+            stop = int(np.searchsorted(stops, done + BLOCK, "right"))
+            if stop > at:
+                yield from self._block(pc.fill_null(texts.slice(at, stop - at), ""))
+            else:
+                stop = at + 1
+                yield self.encode(texts[at].as_py())
+            at, done = stop, int(stops[stop - 1])
+
+    def _block(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts = cut.offsets.to_numpy()
+        heads = cut.values.take(cut.offsets[:-1]).to_pylist()
+        spans = cut.values.dictionary_encode()
+        distinct = spans.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = spans.indices.to_numpy().copy()
+        number[starts[:-1]] = np.arange(len(distinct), len(distinct) + len(heads), dtype=number.dtype)
+        ids = self._looked_up(distinct, np.bincount(number, minlength=len(distinct)).tolist())
+        irregular = {i for i, head in enumerate(heads) if not head or head[-1].isspace()}
+        odd = [i for i, data in enumerate(ids) if data is None]
+        if odd:
+            irregular.update((np.searchsorted(starts, np.flatnonzero(np.isin(number, odd)), "right") - 1).tolist())
+        ids += [b"" if i in irregular else self.plain(head) for i, head in enumerate(heads)]
+        _, ends, data = pa.array(ids, pa.binary()).take(pa.array(number)).buffers()
+        ends, data = np.frombuffer(ends, np.int32)[starts].tolist(), memoryview(data or b"")
+        for i, (start, stop) in enumerate(zip(ends, ends[1:], strict=False)):
+            yield self.plain(texts[i].as_py()) if i in irregular else data[start:stop]
+
+    def _looked_up(self, spans: list[str], times: list[int]) -> list[bytes | None]:
+        """The ids of distinct spans, None if irregular, empty if not used; words that no table has are merged together."""
+        table, words = self.spans, self.words
+        ids = list(map(table.get, spans))
+        lacking, cores, new = [], [], {}
+        for i, data in enumerate(ids):
+            if data is None and times[i]:
+                span = spans[i]
+                letters = (span if span.isalpha() else span.rstrip(SIGNS)) if self.direct else ""
+                lacking.append(i)
+                cores.append(letters)
+                if letters.isalpha() and letters not in table:
+                    new[letters] = b""
+            elif data is None:
+                ids[i] = b""
+        new = dict(zip(new, self.merge_all([" " + letters for letters in new]), strict=True))
+        for i, letters in zip(lacking, cores, strict=True):
+            span = spans[i]
+            if data := new.get(letters) or (table.get(letters) if letters.isalpha() else None):
+                if len(letters) < len(span):
+                    table.keep(letters, data)
+                    data += words[span[len(letters):]]
+                ids[i] = table.keep(span, data)
+            else:
+                try:
+                    ids[i] = table[span]
+                except _Irregular:
+                    pass
+        return ids
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included; broken UTF-8 becomes replacement characters."""
         of = self.vocabulary.bytes_of
@@ -215,16 +297,14 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                         *([("ids", pa.list_(pa.int32()))] if ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         working("bpe")
         coder = encoder(path)
         for whole in batches:
+            every = coder.encode_all(whole.column("text"))
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 n, one, two, lists = [], [], [], []
-                for text in batch.column("text"):
-                    data = coder.encode(text.as_py() or "")
+                for data in islice(every, batch.num_rows):
                     n.append(len(data) // 4)
                     one.append(hashlib.sha256(data).hexdigest())
                     two.append(hashlib.sha256(coder.decode(data).encode()).hexdigest())

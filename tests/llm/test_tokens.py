@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -52,6 +53,40 @@ def test_full_tables_start_anew(monkeypatch, library):
     assert len(coder.words) <= 3
 
 
+@pytest.mark.parametrize("table, block", [(1 << 18, 1 << 22), (3, 60), (40, 1)])
+def test_columns_of_texts_encode_as_the_library_does(monkeypatch, library, table, block):
+    monkeypatch.setattr(bpe, "TABLE", table)
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    monkeypatch.setattr(packing, "_CODERS", {})
+    draw = random.Random(7)
+    parts = [*PARTS, *[" " + w for w in ["voilà", "à", "Àà", "ost***", "don't", "dogs'.", "it.'s", "naïve,", "e\u0301a", "x_", "3a", "\xa0", "à\xa0", "¡sí", "ª"]]]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(1500)]
+    texts += [None, "", " ", *[" ".join(draw.choice(["à", "og", "the", "enà", "漢à", "zz..."]) for _ in range(90)) for _ in range(20)]]
+    column = pa.array(["left out", *texts]).slice(1)
+    for coder in packing.coder(tokenizer()), bpe.Encoder(bpe.Vocabulary(tokenizer())):
+        got = [np.frombuffer(data, "<u4").tolist() for data in coder.encode_all(column)]
+        assert got == [ids(library, text) for text in texts]
+        assert len(coder.spans) <= table
+        assert list(coder.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_new_words_of_a_column_are_merged_in_few_calls(monkeypatch, library):
+    monkeypatch.setattr(packing, "_CODERS", {})
+    calls, together = [], packing._together
+
+    def counted(merge, vocab):
+        return together(lambda row: calls.append(row) or merge(row), vocab)
+
+    monkeypatch.setattr(packing, "_together", counted)
+    coder = packing.coder(tokenizer())
+    monkeypatch.setattr(coder.words, "merge", lambda word: calls.append(word) or library.encode(word.decode(), add_special_tokens=False).ids)
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(3000)]
+    texts = ["start " + " ".join(words[i:i + 100]) for i in range(0, 3000, 100)]
+    assert [np.frombuffer(data, "<u4").tolist() for data in coder.encode_all(pa.array(texts))] == [ids(library, t) for t in texts]
+    assert len(calls) <= 100
+
+
 def test_broken_bytes_decode_to_replacement(library):
     coder = bpe.Encoder(bpe.Vocabulary(tokenizer()))
     some = [ids(library, "é")[0], ids(library, "漢")[0], 50256]
