@@ -49,15 +49,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query when it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     It cuts the lineage like a checkpoint, survives lost executors, and later
-    readers take only the columns they need.
+    readers take only the columns they need. What was shuffled for it is removed
+    once the table is written, so a job holds the shuffles of one table at a time.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

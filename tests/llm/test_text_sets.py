@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -116,6 +117,21 @@ def test_near_empty(no_docs):
     assert near_dedup.near_groups(no_docs).count() == 0
 
 
+def test_stored_tables_leave_no_shuffles(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {n for n in (str(f.getName()) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles())) if n.startswith("shuffle_")}
+    before, conf = left(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    rows = spark.range(0, 10_000, 1, 4).withColumn("k", F.col("id") % 100)
+    frame = rows.groupBy("k").count().join(rows.hint("merge"), "k").distinct()
+    once, again = common.store(frame), common.store(frame)
+    deadline = time.time() + 20
+    while left() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left() - before
+    assert once.count() == again.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == conf
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (None, 3)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a BIGINT, b BIGINT")).collect()}
