@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import components, keep_documents, store, working
 from .shingles import U, WIDTH, mix, shared, shingle_set, stream
@@ -35,8 +36,6 @@ SMALL = 100
 STAR_SHARE = 250
 #: Documents and shingles of a block that the rest of its family is looked up in, and documents of a share of the family.
 BLOCK_DOCS, BLOCK_SHINGLES, SHARE_DOCS = 4096, 1 << 20, 2000
-#: Cells of the table of counts that orders shingles by rarity.
-CELLS = 1 << 18
 _ORDERS: dict[int, np.ndarray] = {}
 
 
@@ -112,8 +111,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    wanted = docs.join(ids.hint("merge"), docs.doc_id == ids.id).select("id", "text")
-    return store(wanted.mapInArrow(run, "id BIGINT, hashes BINARY").dropDuplicates(["id"]))
+    wanted = docs.join(ids.hint("merge"), docs.doc_id == ids.id).select("id", "text").dropDuplicates(["id"])  # where the join put them
+    return store(wanted.mapInArrow(run, "id BIGINT, hashes BINARY"))
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -157,42 +156,31 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(key, rep, n_shingles): the rarest shingles of every set, enough that two sets that link share one.
+    """(key, rep, n_shingles): of the rarest shingles of every set, enough that two sets that link share one, those in more sets.
 
     Sets that link share at least the threshold's part of each, so in any one
     order of all shingles the first n - ceil(part * n) + 1 of both have one in
-    common. The order is by how often a cell of a fixed table of counts was hit,
-    then by hash: what many documents share comes last and is no key.
+    common. The order is by the number of sets that hold a shingle, then by
+    hash: what many documents share comes last and is no key, at any size of the
+    table. Shingles of one set alone come first and take their places, but pair
+    nothing and are left out before the rows are sorted.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("hashes"):
-                np.add.at(cells, (np.frombuffer(data.as_buffer(), U) % U(CELLS)).astype(np.int64), 1)
-        hit = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(cells[hit])], names=["cell", "n"])
-
-    table = np.zeros(CELLS, np.int64)
-    for cell, n in sets.select("hashes").mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        table[cell] = n
-    seen = sets.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                keys, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for ident, data in zip(part.column("id").to_pylist(), part.column("hashes"), strict=True):
-                    values = np.frombuffer(data.as_buffer(), U)
-                    n = len(values)
-                    order = np.lexsort((values, seen.value[(values % U(CELLS)).astype(np.int64)]))
-                    first = values[order[: n - -(-threshold * n // 100) + 1]].view(np.int64)
-                    keys.append(first)
-                    ids.append(np.full(len(first), ident))
-                    sizes.append(np.full(len(first), n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (keys, ids, sizes)], names=["key", "rep", "n_shingles"])
-
-    return sets.mapInArrow(run, "key BIGINT, rep BIGINT, n_shingles BIGINT")
+            for part in _pieces(batch, 50):
+                n = [len(data) // 8 for data in part.column("hashes").to_pylist()]
+                keys = np.concatenate([np.frombuffer(data.as_buffer(), np.int64) for data in part.column("hashes")])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in (keys, np.repeat(part.column("id").to_numpy(), n), np.repeat(n, n))], names=["key", "rep", "n_shingles"])
+
+    every = sets.mapInArrow(spread, "key BIGINT, rep BIGINT, n_shingles BIGINT")
+    common = store(every.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    own = Window.partitionBy("rep")
+    return (
+        every.join(common.hint("merge"), "key")
+        .withColumn("place", F.row_number().over(own.orderBy("sets", "key")) + F.col("n_shingles") - F.count(F.lit(1)).over(own))
+        .where(F.expr(f"place <= n_shingles - (({int(threshold)} * n_shingles + 99) DIV 100) + 1")).select("key", "rep", "n_shingles")
+    )
 
 
 def _more_links(members: DataFrame, seen: DataFrame, found: DataFrame, sets: DataFrame, small: DataFrame,

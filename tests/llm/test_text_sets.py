@@ -113,6 +113,19 @@ def test_small_sets_link_whatever_buckets_they_share(spark):
     assert sum(d != c for d, (_, c) in want.items()) > 50
 
 
+def test_rarest_shingles_are_rare_whatever_the_size(spark):
+    """Every set shares a tenth with the next one and a passage with all: too little to link, so no key may bring two together."""
+    passage, at = shingles.stream(100, 1), shingles.stream(300 * 1900, 1000)
+    own = [at[1900 * i:1900 * i + 1900] for i in range(300)]
+    rows = [(i, np.unique(np.concatenate([own[i], own[i - 1][:200], passage])).tobytes()) for i in range(300)]
+    rows += [(1000 + i, np.unique(np.concatenate([own[i][:1900 - i], passage])).tobytes()) for i in range(3)]
+    sets = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id BIGINT, hashes BINARY")
+    keys = near_dedup._prefixes(sets, 75)
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.collect_set("rep").alias("reps")).where("n > 1")
+    assert {tuple(sorted(r.reps)) for r in shared.collect()} == {(i, 1000 + i) for i in range(3)}
+    assert keys.count() == keys.distinct().count() and {r.n_shingles for r in keys.where("rep < 1000").collect()} == {2200}
+
+
 def test_near_empty(no_docs):
     assert near_dedup.near_groups(no_docs).count() == 0
 
